@@ -51,11 +51,11 @@ def student_upper_tail(t: float, df: float) -> float:
     return half if t >= 0 else 1.0 - half
 
 
-@F.pandas_udf("double")
-def _upper_tail(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([student_upper_tail(a, b) for a, b in zip(t, df)], dtype="float64")
-
-
 def upper_tail(t: Column | str, df: Column | str) -> Column:
     """Column form; meant for aggregate results of a few rows."""
-    return F.nanvl(_upper_tail(t, df), F.lit(None).cast("double"))
+
+    @F.pandas_udf("double")
+    def tail(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([student_upper_tail(a, b) for a, b in zip(t, df)], dtype="float64")
+
+    return F.nanvl(tail(t, df), F.lit(None).cast("double"))

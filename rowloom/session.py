@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(app: str = "rowloom", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benches; on a cluster use the one you are given."""
@@ -36,3 +40,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="rowloom-checkpoint-")
     context.setCheckpointDir(configured)
     return configured
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster, once per application; nothing to do in local mode."""
+    context = spark.sparkContext
+    if context.master.startswith("local") or context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="rowloom-")) / "rowloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in root.rglob("*.py"):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
