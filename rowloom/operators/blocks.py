@@ -37,4 +37,5 @@ def over_chunk_pairs(
     right = right.withColumn("_r", F.pmod(F.xxhash64(right_key), F.lit(right_chunks)).cast("int")).withColumn(
         "_l", F.explode(F.sequence(F.lit(0), F.lit(left_chunks - 1)))
     )
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # fresh columns where both sides are one table
     return left.groupBy("_l", "_r").cogroup(right.groupBy("_l", "_r")).applyInArrow(work, schema)

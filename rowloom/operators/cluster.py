@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -18,6 +22,7 @@ from rowloom.operators.sampling import cached, subsample
 
 MAX_CENTROIDS = 65_536
 SLICE_CELLS = 1 << 22
+FITS_AT_ONCE = 4
 EXACT_PAIRS = 1 << 16
 
 
@@ -41,12 +46,7 @@ def assign_nearest(df: DataFrame, centres: DataFrame, vector: str, label: str, c
     @F.arrow_udf(f"struct<label:{kind},distance:double>")
     def lookup(vectors: pa.Array) -> pa.Array:
         block = matrix(vectors) if len(vectors) else np.zeros((0, points.shape[1]))
-        best = np.zeros(len(block), np.int64)
-        step = max(1, SLICE_CELLS // len(points))
-        for start in range(0, len(block), step):
-            part = block[start : start + step]
-            d2 = (points * points).sum(axis=1)[None, :] - 2.0 * (part @ points.T)
-            best[start : start + step] = d2.argmin(axis=1)
+        best = nearest_rows(block, points)
         length = np.sqrt(((block - points[best]) ** 2).sum(axis=1))
         return pa.StructArray.from_arrays([labels.take(pa.array(best)), pa.array(length)], ["label", "distance"])
 
@@ -56,6 +56,29 @@ def assign_nearest(df: DataFrame, centres: DataFrame, vector: str, label: str, c
     return found.drop("_near")
 
 
+def nearest_rows(block: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Index of the nearest point per row; ties go to the first."""
+    best = np.zeros(len(block), np.int64)
+    step = max(1, SLICE_CELLS // len(points))
+    norms = (points * points).sum(axis=1)
+    for start in range(0, len(block), step):
+        best[start : start + step] = (norms[None, :] - 2.0 * (block[start : start + step] @ points.T)).argmin(axis=1)
+    return best
+
+
+def nearest_ids(centres: list[np.ndarray]):
+    """Column function: index of the nearest centre for each of several sets of centres."""
+
+    @F.arrow_udf("array<int>")
+    def lookup(vectors: pa.Array) -> pa.Array:
+        block = matrix(vectors) if len(vectors) else np.zeros((0, centres[0].shape[1]))
+        ids = np.stack([nearest_rows(block, c) for c in centres], axis=1).astype(np.int32)
+        ends = pa.array(np.arange(len(block) + 1, dtype=np.int32) * len(centres))
+        return pa.ListArray.from_arrays(ends, pa.array(ids.reshape(-1)))
+
+    return lookup
+
+
 def cluster_distance_sums(df: DataFrame, key: str, vector: str, clusters: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Sum of Euclidean distances from every row to the members of every cluster.
 
@@ -151,15 +174,16 @@ def kmeans_sweep(df: DataFrame, key: str, vector: str, ks: tuple[int, ...] = K_V
         train.select("v").distinct().select(array_to_vector("v").alias("features"))
     )
     held = work.filter(F.col("split").isin("validation", "test"))
-    labels = []
-    for k in ks:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(train)
-        centres = np.stack(model.clusterCenters())
-        table = df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "id int, centroid array<double>")
-        held = assign_nearest(held, table, "v", "id", output=f"_c{k}", distance=None)
-        labels.append(f"_c{k}")
+    train.count()
+
+    def fit(k: int) -> np.ndarray:
+        return np.stack(KMeans(k=k, seed=seed, maxIter=max_iter).fit(train).clusterCenters())
+
+    with ThreadPoolExecutor(min(len(ks), FITS_AT_ONCE)) as pool:
+        found = [pool.submit(inheritable_thread_target(df.sparkSession)(partial(fit, k))) for k in ks]
+        centres = [f.result() for f in found]
     train.unpersist()
-    held = cached(held.select(key, "split", "v", F.array(*labels).alias("clusters")))
+    held = cached(held.select(key, "split", "v", nearest_ids(centres)("v").alias("clusters")))
     scores = None
     for split in ("validation", "test"):
         part = silhouette_score(held.filter(F.col("split") == split), key, "v", "clusters")
