@@ -24,7 +24,7 @@ BETAS, EPSILON, DECAY = (0.9, 0.999), 1e-8, 1e-5
 CHUNK = 1 << 16
 MAX_STATE_BYTES = 1 << 30
 DRIVER_AVERAGE_BYTES = 64 << 20
-ROWS_PER_PARTITION = 65_536
+BATCHES_PER_PARTITION = 32
 STATE_SCHEMA = "chunk int, state array<double>, rows bigint, steps bigint, loss double, batches bigint"
 
 
@@ -183,7 +183,9 @@ def train(df: DataFrame, key: str, design: Design, settings: Settings, start: np
     state = np.concatenate([weights, np.zeros(2 * len(weights))])
     rows = df.select(key, "split", "packed", "target")
     training = rows.filter(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
-    partitions = settings.partitions or _partitions(training.count(), settings.batch_size)
+    partitions = settings.partitions or _partitions(
+        training.count(), settings.batch_size, df.sparkSession.sparkContext.defaultParallelism
+    )
     held = _spread(rows.filter(F.col("split") == "validation"), key, max(1, partitions // 8)).persist(StorageLevel.MEMORY_AND_DISK)
     result, steps, best, best_weights, waiting = Trained(design, weights), 0, None, None, 0
     for epoch in range(settings.epochs):
@@ -205,6 +207,6 @@ def train(df: DataFrame, key: str, design: Design, settings: Settings, start: np
     return result
 
 
-def _partitions(rows: int, batch_size: int) -> int:
-    """About ``ROWS_PER_PARTITION`` rows per task, and never less than a few batches."""
-    return max(1, rows // max(ROWS_PER_PARTITION, 8 * batch_size))
+def _partitions(rows: int, batch_size: int, cores: int) -> int:
+    """One task per core, as long as every task has a good number of batches between two averages."""
+    return max(1, min(cores, rows // (BATCHES_PER_PARTITION * batch_size)))

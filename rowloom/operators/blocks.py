@@ -29,8 +29,12 @@ def over_chunk_pairs(
     right_chunks: int,
     work: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
+    within: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Run ``work(left chunk, right chunk)`` for every chunk pair; union of its results."""
+    """Run ``work(left chunk, right chunk)`` for every chunk pair; union of its results.
+
+    ``within`` names columns of both sides; only rows that agree on them meet.
+    """
     left = left.withColumn("_l", F.pmod(F.xxhash64(left_key), F.lit(left_chunks)).cast("int")).withColumn(
         "_r", F.explode(F.sequence(F.lit(0), F.lit(right_chunks - 1)))
     )
@@ -38,4 +42,4 @@ def over_chunk_pairs(
         "_l", F.explode(F.sequence(F.lit(0), F.lit(left_chunks - 1)))
     )
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # fresh columns where both sides are one table
-    return left.groupBy("_l", "_r").cogroup(right.groupBy("_l", "_r")).applyInArrow(work, schema)
+    return left.groupBy(*within, "_l", "_r").cogroup(right.groupBy(*within, "_l", "_r")).applyInArrow(work, schema)

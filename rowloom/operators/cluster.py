@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 from rowloom.functions.vectors import doubles, matrix
 from rowloom.operators.blocks import CHUNK_ROWS, chunk_count, over_chunk_pairs
 from rowloom.operators.knn import K_VALUES, choose_k
-from rowloom.operators.lookup import lookup_join
 from rowloom.operators.sampling import cached, subsample
 
 MAX_CENTROIDS = 65_536
 SLICE_CELLS = 1 << 22
-FITS_AT_ONCE = 4
+FITS_AT_ONCE = 9
 EXACT_PAIRS = 1 << 16
 
 
@@ -79,23 +78,29 @@ def nearest_ids(centres: list[np.ndarray]):
     return lookup
 
 
-def cluster_distance_sums(df: DataFrame, key: str, vector: str, clusters: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Sum of Euclidean distances from every row to the members of every cluster.
+def cluster_distance_sums(
+    df: DataFrame, key: str, vector: str, clusters: str, group: str | None = None, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Sum of Euclidean distances from every row to the members of every cluster, and how many members there are.
 
     ``clusters`` is an array column with one cluster id per clustering, so several clusterings share one pass
-    over the pairs. Result: (key, which, cluster, total).
+    over the pairs; with ``group`` only rows of one group meet. Result, hash-partitioned by key:
+    (key, group, which, own, cluster, total, n).
     """
     chunks = chunk_count(df.count(), chunk_rows)
-    side = df.select(F.col(key).alias("_key"), doubles(vector).alias("v"), F.col(clusters).cast("array<int>").alias("c"))
+    grouped = F.col(group).cast("string") if group else F.lit("")
+    side = df.select(
+        F.col(key).alias("_key"), grouped.alias("_group"), doubles(vector).alias("v"), F.col(clusters).cast("array<int>").alias("c")
+    )
     kind = side.schema["_key"].dataType.simpleString()
+    names = ["_key", "_group", "which", "own", "cluster", "total", "n"]
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["_key", "which", "cluster", "total"]
         if not len(left) or not len(right):
-            return pa.table([left.column("_key").slice(0, 0), pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.float64())], names)
+            left, right = left.slice(0, 0), right.slice(0, 0)
         a, b = matrix(left.column("v")), matrix(right.column("v"))
-        ids = matrix(right.column("c")).astype(np.int32)
-        members, which, cluster = [], [], []
+        own, ids = (matrix(t.column("c")).astype(np.int32) for t in (left, right))
+        members, which, cluster = [np.zeros((len(b), 0))], [], []
         for w in range(ids.shape[1]):
             found, codes = np.unique(ids[:, w], return_inverse=True)
             hot = np.zeros((len(b), len(found)))
@@ -104,8 +109,9 @@ def cluster_distance_sums(df: DataFrame, key: str, vector: str, clusters: str, c
             which += [w] * len(found)
             cluster += found.tolist()
         members = np.concatenate(members, axis=1)
-        totals = np.empty((len(a), members.shape[1]))
-        step = max(1, SLICE_CELLS // len(b))
+        width, which = members.shape[1], np.array(which, np.int32)
+        totals = np.empty((len(a), width))
+        step = max(1, SLICE_CELLS // max(1, len(b)))
         for start in range(0, len(a), step):
             part = a[start : start + step]
             d2 = (part * part).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (part @ b.T)
@@ -114,32 +120,37 @@ def cluster_distance_sums(df: DataFrame, key: str, vector: str, clusters: str, c
                 p, q = i[at : at + EXACT_PAIRS], j[at : at + EXACT_PAIRS]
                 d2[p, q] = ((part[p] - b[q]) ** 2).sum(axis=1)
             totals[start : start + step] = np.sqrt(d2) @ members
-        width = members.shape[1]
         rows = pa.array(np.repeat(np.arange(len(a)), width))
+        mine = own[:, which].reshape(-1) if width else np.zeros(0, np.int32)
         return pa.table(
             [
                 left.column("_key").combine_chunks().take(rows),
-                pa.array(np.tile(np.array(which, np.int32), len(a))),
+                left.column("_group").combine_chunks().take(rows),
+                pa.array(np.tile(which, len(a))),
+                pa.array(mine),
                 pa.array(np.tile(np.array(cluster, np.int32), len(a))),
                 pa.array(totals.reshape(-1)),
+                pa.array(np.tile(members.sum(axis=0).astype(np.int64), len(a))),
             ],
             names,
         )
 
-    pairs = over_chunk_pairs(side, side, "_key", "_key", chunks, chunks, work,
-                             f"_key {kind}, which int, cluster int, total double")
-    return pairs.groupBy(F.col("_key").alias(key), "which", "cluster").agg(F.sum("total").alias("total"))
+    schema = f"_key {kind}, _group string, which int, own int, cluster int, total double, n bigint"
+    pairs = over_chunk_pairs(side, side, "_key", "_key", chunks, chunks, work, schema, ("_group",))
+    return pairs.repartition("_key").groupBy(*names[:5]).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
 
+def silhouettes(
+    df: DataFrame, key: str, vector: str, clusters: str, group: str | None = None, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Exact Euclidean silhouette of every row for every clustering: (key, group, which, cluster, silhouette).
 
-def silhouettes(df: DataFrame, key: str, vector: str, clusters: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Exact Euclidean silhouette of every row for every clustering: (key, which, cluster, silhouette)."""
-    own = df.select(key, F.posexplode(F.col(clusters).cast("array<int>")).alias("which", "own"))
-    sizes = own.groupBy("which", F.col("own").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
-    sums = cluster_distance_sums(df, key, vector, clusters, chunk_rows)
+    A row alone in its cluster scores 0; where there is only one cluster the silhouette is null.
+    """
     same = F.col("cluster") == F.col("own")
     per_row = (
-        lookup_join(sums.join(own, [key, "which"]), sizes, ["which", "cluster"])
-        .groupBy(key, "which", "own")
+        cluster_distance_sums(df, key, vector, clusters, group, chunk_rows)
+        .groupBy("_key", "_group", "which", "own")
         .agg(
             F.max(F.when(same, F.col("n"))).alias("n"),
             F.max(F.when(same & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
@@ -150,13 +161,17 @@ def silhouettes(df: DataFrame, key: str, vector: str, clusters: str, chunk_rows:
         F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
     )
     return per_row.select(
-        key, "which", F.col("own").alias("cluster"), F.when(F.col("b").isNotNull(), value).alias("silhouette")
+        F.col("_key").alias(key), F.col("_group").alias("group"), "which", F.col("own").alias("cluster"),
+        F.when(F.col("b").isNotNull(), value).alias("silhouette"),
     )
 
 
-def silhouette_score(df: DataFrame, key: str, vector: str, clusters: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Mean silhouette per clustering; null where there is only one cluster: (which, score)."""
-    return silhouettes(df, key, vector, clusters, chunk_rows).groupBy("which").agg(F.avg("silhouette").alias("score"))
+def silhouette_score(
+    df: DataFrame, key: str, vector: str, clusters: str, group: str | None = None, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Mean silhouette per group and clustering: (group, which, score)."""
+    rows = silhouettes(df, key, vector, clusters, group, chunk_rows)
+    return rows.groupBy("group", "which").agg(F.avg("silhouette").alias("score"))
 
 
 def kmeans_sweep(df: DataFrame, key: str, vector: str, ks: tuple[int, ...] = K_VALUES, seed: int = 0,
@@ -184,13 +199,7 @@ def kmeans_sweep(df: DataFrame, key: str, vector: str, ks: tuple[int, ...] = K_V
         centres = [f.result() for f in found]
     train.unpersist()
     held = cached(held.select(key, "split", "v", nearest_ids(centres)("v").alias("clusters")))
-    scores = None
-    for split in ("validation", "test"):
-        part = silhouette_score(held.filter(F.col("split") == split), key, "v", "clusters")
-        score = F.coalesce("score", F.lit(0.0)) if split == "validation" else F.col("score")
-        part = part.select(
-            F.element_at(F.array(*[F.lit(k) for k in ks]), F.col("which") + 1).alias("k"),
-            F.lit(split).alias("split"), score.alias("score"),
-        )
-        scores = part if scores is None else scores.unionByName(part)
-    return choose_k(scores, greater=True)
+    scored = silhouette_score(held, key, "v", "clusters", "split").collect()
+    held.unpersist()
+    rows = [(ks[r["which"]], r["group"], r["score"] if r["group"] == "test" else r["score"] or 0.0) for r in scored]
+    return choose_k(df.sparkSession.createDataFrame(rows, "k int, split string, score double"), greater=True)

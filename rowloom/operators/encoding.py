@@ -173,7 +173,7 @@ def one_hot_sparse(df: DataFrame, cat: list[str], num: list[str], output: str =
         indexed, coded = [f"_i_{i}" for i in range(len(cat))], [f"_v_{i}" for i in range(len(cat))]
         stages = [
             StringIndexer(inputCols=cat, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True, handleInvalid="keep"),
+            OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True),
         ]
     else:
         indexed, coded = [], []

@@ -177,12 +177,14 @@ def knn_sweep(
 
 def choose_k(scores: DataFrame, greater: bool) -> DataFrame:
     """From (k, split, score) rows to one row per k with the chosen k marked; ties keep the smaller k."""
-    wide = scores.groupBy("k").pivot("split", ["validation", "test"]).agg(F.first("score"))
-    merit = F.col("validation") if greater else -F.col("validation")
-    best = wide.filter(F.col("validation").isNotNull()).agg(F.max_by("k", F.struct(merit, -F.col("k"))).alias("best"))
-    return wide.select(
-        "k",
-        F.col("validation").alias("validation_score"),
-        F.col("test").alias("test_score"),
-        (F.col("k") == F.coalesce(best.scalar(), F.lit(min(K_VALUES)))).alias("chosen"),
+    wide = scores.groupBy("k").agg(
+        *[F.max(F.when(F.col("split") == s, F.col("score"))).alias(f"{s}_score") for s in ("validation", "test")]
+    )
+    merit = F.col("validation_score") if greater else -F.col("validation_score")
+    tried = wide.agg(
+        F.collect_list(F.struct("k", "validation_score", "test_score")).alias("tried"),
+        F.max_by("k", F.struct(merit, -F.col("k"))).alias("best"),
+    )
+    return tried.select("best", F.inline("tried")).select(
+        "k", "validation_score", "test_score", (F.col("k") == F.col("best")).alias("chosen")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.hashing import HASH_RANGE, hash32, split_name
@@ -24,17 +24,16 @@ def with_split(df: DataFrame, key: str, seed: int | None = None, exact: bool = F
     n_test = math.ceil(0.1 * n)
     n_validation = math.ceil(0.1 * (n - n_test))
     hashed = df.withColumn("_h", hash32(*parts))
-    test_cut = _cut(hashed, key, n_test)
-    validation_cut = _cut(hashed, key, n_test + n_validation)
-    place = F.struct("_h", F.col(key).alias("_k"))
-    split = (
-        F.when(place <= F.struct(F.lit(test_cut[0]), F.lit(test_cut[1])), "test")
-        .when(place <= F.struct(F.lit(validation_cut[0]), F.lit(validation_cut[1])), "validation")
-        .otherwise("train")
-    )
+    upto = [_upto(key, *_cut(hashed, key, rank)) for rank in (n_test, n_test + n_validation)]
+    split = F.when(upto[0], "test").when(upto[1], "validation").otherwise("train")
     return hashed.withColumn("split", split).drop("_h")
 
 
+def _upto(key: str, h: int, value) -> Column:
+    """Rows not after (h, value) in the order of (hash, key)."""
+    return (F.col("_h") < h) | ((F.col("_h") == h) & (F.col(key) <= F.lit(value)))
+
+
 def _cut(hashed: DataFrame, key: str, rank: int) -> tuple:
     """(hash, key) of the row at the given rank in hash order: counts per hash range, then one range."""
     ranges = 65_536

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from rowloom.functions.vectors import doubles, matrix, vector_array
 from rowloom.operators.encoding import rank_levels
 from rowloom.operators.lookup import lookup_join
 from rowloom.operators.sampling import cached
+from rowloom.session import ensure_checkpoint_dir
 
 COMPONENTS = 10  # fixed value: components kept for text and dense variables
 OVERSAMPLE = 8
@@ -42,18 +44,28 @@ class TextComponents:
     n_terms: int
 
     @classmethod
-    def fit(cls, df: DataFrame, key: str, text: str, width: int = COMPONENTS, seed: int = 0, passes: int = PASSES) -> "TextComponents":
+    def fit(
+        cls,
+        df: DataFrame,
+        key: str,
+        text: str,
+        width: int = COMPONENTS,
+        seed: int = 0,
+        passes: int = PASSES,
+        max_basis_bytes: int = MAX_BASIS_BYTES,
+    ) -> "TextComponents":
         """Subspace iteration on the centred count matrix of the train rows, over the whole vocabulary.
 
-        Counts stay on the executors as (document, term, n) grouped by document; each pass broadcasts the basis (terms
-        by a few columns, size checked) and returns per-task sums in term chunks.
+        Counts stay on the executors. While the basis (terms by a few columns) is small enough it is broadcast
+        and each pass returns per-task sums in term chunks; a larger basis is a table and each pass is two joins.
         """
         train = df.filter(F.col("split") == "train")
-        numbered = cached(_numbered_terms(vocabulary(train, text)))
-        n_terms, n_docs = numbered.count(), train.count()
+        words = cached(vocabulary(train, text))
+        n_terms, n_docs = words.count(), train.count()
         k = min(width + OVERSAMPLE, n_terms, max(1, n_docs))
-        if n_terms * k * 8 > MAX_BASIS_BYTES:
-            raise ValueError("the vocabulary is too large for a broadcast basis")
+        if n_terms * k * 8 > max_basis_bytes:
+            return _fit_by_joins(cls, train, key, text, words, n_terms, n_docs, k, width, passes)
+        numbered = cached(_numbered_terms(words))
         docs = cached(_counts(train, key, text, numbered, n_terms))
         mean = _term_means(numbered, n_docs)
         basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, k)))[0]
@@ -64,6 +76,7 @@ class TextComponents:
         loadings = basis @ turn[:, ::-1][:, :width]
         loadings = loadings * np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
         docs.unpersist()
+        words.unpersist()
         shared = df.sparkSession.sparkContext.broadcast(loadings)
 
         @F.arrow_udf("array<double>")
@@ -107,43 +120,103 @@ def _term_means(numbered: DataFrame, n_docs: int) -> np.ndarray:
     return mean
 
 
+def _slices(ends: np.ndarray, cells: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Runs of documents with about ``cells`` counts each."""
+    first = 0
+    for last in range(1, len(ends)):
+        if ends[last] - ends[first] >= cells or last == len(ends) - 1:
+            yield first, last
+            first = last
+
+
 def _gram_product(docs: DataFrame, basis: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """Xc' Xc basis for the centred counts Xc, one pass over the documents."""
+    """Xc' Xc basis for the centred counts Xc, one pass over the documents.
+
+    The scores Xc basis add up to zero over all documents, so X' may stand for Xc' on the left.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((basis, mean @ basis))
     width = basis.shape[1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, shift = shared.value
-        sums, weight, seen = np.zeros_like(table), np.zeros(width), False
+        sums, seen = np.zeros_like(table), False
         for batch in batches:
             lists = batch.column("terms")
             ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
             terms, ns = lists.flatten().to_numpy(), batch.column("ns").flatten().to_numpy()
-            for at in range(0, len(lists), 256):
-                bounds = ends[at : at + 257]
-                part = slice(bounds[0], bounds[-1])
-                owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                scores = np.zeros((len(bounds) - 1, width))
-                np.add.at(scores, owner, table[terms[part]] * ns[part, None])
-                scores -= shift
-                np.add.at(sums, terms[part], scores[owner] * ns[part, None])
-                weight += scores.sum(axis=0)
+            for first, last in _slices(ends):
+                bounds, part = ends[first : last + 1], slice(ends[first], ends[last])
+                cells, n = terms[part], ns[part, None]
+                scores = np.add.reduceat(table[cells] * n, bounds[:-1] - bounds[0], axis=0) - shift
+                order = np.argsort(cells, kind="stable")
+                found, starts = np.unique(cells[order], return_index=True)
+                pulls = np.repeat(scores, np.diff(bounds), axis=0) * n
+                sums[found] += np.add.reduceat(pulls[order], starts, axis=0)
                 seen = True
         if seen:
             for i, at in enumerate(range(0, len(sums), CHUNK_TERMS)):
                 cells = sums[at : at + CHUNK_TERMS].reshape(1, -1)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), vector_array(cells), vector_array(weight[None, :])], ["chunk", "sums", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), vector_array(cells)], ["chunk", "sums"])
 
     def add(states: pa.Table) -> pa.Table:
-        return pa.table({"chunk": states.column("chunk").slice(0, 1),
-                         "sums": vector_array(matrix(states.column("sums")).sum(axis=0)[None, :]),
-                         "weight": vector_array(matrix(states.column("weight")).sum(axis=0)[None, :])})
+        return pa.table({"chunk": states.column("chunk").slice(0, 1), "sums": vector_array(matrix(states.column("sums")).sum(axis=0)[None, :])})
 
-    schema = "chunk int, sums array<double>, weight array<double>"
+    schema = "chunk int, sums array<double>"
     parts = docs.mapInArrow(work, schema).groupBy("chunk").applyInArrow(add, schema).toArrow().sort_by("chunk")
     shared.unpersist()
-    sums = np.concatenate([matrix(parts.column("sums").slice(i, 1)).reshape(-1, width) for i in range(len(parts))])
-    return sums - mean[:, None] * matrix(parts.column("weight").slice(0, 1))[0][None, :]
+    return np.concatenate([matrix(parts.column("sums").slice(i, 1)).reshape(-1, width) for i in range(len(parts))])
+
+
+def _turned(columns: str, turn: np.ndarray):
+    """The array column times a small matrix, as an array of weighted sums."""
+    return F.array(*[
+        reduce(lambda a, b: a + b, [F.col(columns)[i] * F.lit(float(w)) for i, w in enumerate(column)]) for column in turn.T
+    ])
+
+
+def _products(table: DataFrame, left: str, right: str, k: int) -> np.ndarray:
+    """left' right over all rows: a k by k matrix from one aggregate."""
+    cells = [F.sum(F.col(left)[i] * F.col(right)[j]).alias(f"p{i}_{j}") for i in range(k) for j in range(k)]
+    return np.array(list(table.agg(*cells).first())).reshape(k, k)
+
+
+def _fit_by_joins(cls, train: DataFrame, key: str, text: str, words: DataFrame, n_terms: int, n_docs: int, k: int, width: int, passes: int):
+    """The same iteration with the basis as a table (token, mean, b) and every pass as joins and partial sums."""
+    ensure_checkpoint_dir(train.sparkSession)
+    cells = cached(
+        train.select(key, F.explode(tokens(text)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    )
+    start = F.array(*[F.xxhash64("token", F.lit(i)) / float(1 << 63) for i in range(k)])
+    basis = words.select("token", (F.col("n") / n_docs).alias("mean"), start.alias("b"))
+
+    def orthonormal(table: DataFrame) -> DataFrame:
+        root = np.linalg.cholesky(_products(table, "b", "b", k))
+        return table.withColumn("b", _turned("b", np.linalg.inv(root).T)).checkpoint()
+
+    def multiplied(table: DataFrame) -> DataFrame:
+        """Add ``p``: the centred product with the current basis."""
+        shift = list(table.agg(*[F.sum(F.col("mean") * F.col("b")[i]) for i in range(k)]).first())
+        near = lookup_join(cells, table.select("token", "b"), ["token"], "inner", MAX_BROADCAST_TERMS, n_terms)
+        scores = near.groupBy(key).agg(*[(F.sum(F.col("n") * F.col("b")[i])).alias(f"s{i}") for i in range(k)])
+        centred = scores.select(key, *[(F.col(f"s{i}") - F.lit(float(shift[i]))).alias(f"s{i}") for i in range(k)])
+        sums = cells.join(centred, key).groupBy("token").agg(*[F.sum(F.col("n") * F.col(f"s{i}")).alias(f"q{i}") for i in range(k)])
+        return table.join(sums, "token").select("token", "mean", "b", F.array(*[f"q{i}" for i in range(k)]).alias("p"))
+
+    basis = orthonormal(basis)
+    for _ in range(passes):
+        basis = orthonormal(multiplied(basis).select("token", "mean", F.col("p").alias("b")))
+    final = multiplied(basis).checkpoint()
+    inner = _products(final, "b", "p", k)
+    _, turn = np.linalg.eigh((inner + inner.T) / 2)
+    loadings = final.select("token", "mean", _turned("b", turn[:, ::-1][:, :width]).alias("l"))
+    kept = min(width, k)
+    tops = loadings.agg(
+        *[F.max_by(F.col("l")[i], F.abs(F.col("l")[i])).alias(f"t{i}") for i in range(kept)],
+        *[F.sum(F.col("mean") * F.col("l")[i]).alias(f"o{i}") for i in range(kept)],
+    ).first()
+    signs = [-1.0 if tops[f"t{i}"] < 0 else 1.0 for i in range(kept)]
+    table = loadings.select("token", F.array(*[F.col("l")[i] * F.lit(s) for i, s in enumerate(signs)]).alias("loadings"))
+    return cls(table.checkpoint(), [signs[i] * tops[f"o{i}"] for i in range(kept)], kept, n_terms)
 
 
 def dense_components(df: DataFrame, vector: str, output: str, width: int = COMPONENTS) -> DataFrame:

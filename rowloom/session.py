@@ -13,7 +13,7 @@ _shipped: set[str] = set()
 
 def local_session(app: str = "rowloom", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benches; on a cluster use the one you are given."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -25,6 +25,8 @@ def local_session(app: str = "rowloom", cores: int | str = "*", shuffle_partitio
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -43,9 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster, once per application; nothing to do in local mode."""
+    """Make this package importable in Python workers, wherever they run; once per application."""
     context = spark.sparkContext
-    if context.master.startswith("local") or context.applicationId in _shipped:
+    if context.applicationId in _shipped:
         return
     root = Path(__file__).parent
     archive = Path(tempfile.mkdtemp(prefix="rowloom-")) / "rowloom.zip"
