@@ -1,7 +1,8 @@
 """Data-parallel training by local SGD: every task runs its own batches from shared weights, then weights are averaged.
 
-One partition reproduces plain sequential training. Rows are spread by a hash of (key, epoch), so partitions
-and batches are even and repeatable whatever the keys look like.
+Rows are spread over the tasks once, by a hash of their key, and every epoch sorts each task's rows anew by a
+hash of (key, epoch): partitions are even and batches repeatable whatever the keys look like, and no epoch moves
+rows between machines. One partition reproduces plain sequential training.
 """
 
 from __future__ import annotations
@@ -103,9 +104,15 @@ def run_batches(design: Design, state: np.ndarray, steps: int, batches, settings
     return np.concatenate([w, m, v]), steps, rows, losses, count
 
 
-def _spread(df: DataFrame, key: str, partitions: int, *salt: int) -> DataFrame:
+def _spread(df: DataFrame, key: str, partitions: int) -> DataFrame:
+    """Even partitions by key hash, materialised."""
+    return df.repartition(partitions, F.xxhash64(key)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _shuffled(spread: DataFrame, key: str, *salt: int) -> DataFrame:
+    """Each partition's rows in a fresh pseudo-random order."""
     place = F.xxhash64(F.col(key), *[F.lit(s) for s in salt])
-    return df.withColumn("_h", place).repartition(partitions, "_h").sortWithinPartitions("_h", key).select("packed", "target")
+    return spread.withColumn("_h", place).sortWithinPartitions("_h", key).select("packed", "target")
 
 
 def _epoch(train: DataFrame, key: str, design: Design, state: np.ndarray, steps: int, epoch: int, partitions: int, settings: Settings):
@@ -127,7 +134,7 @@ def _epoch(train: DataFrame, key: str, design: Design, state: np.ndarray, steps:
                 ["chunk", "state", "rows", "steps", "loss", "batches"],
             )
 
-    parts = _spread(train, key, partitions, settings.seed, epoch).mapInArrow(work, STATE_SCHEMA)
+    parts = _shuffled(train, key, settings.seed, epoch).mapInArrow(work, STATE_SCHEMA)
     if state.nbytes * partitions > DRIVER_AVERAGE_BYTES:
         parts = parts.groupBy("chunk").applyInArrow(_average, STATE_SCHEMA)
     table = parts.toArrow()
@@ -182,16 +189,18 @@ def train(df: DataFrame, key: str, design: Design, settings: Settings, start: np
         raise ValueError("the optimizer state exceeds its bound; lower the widths or the level counts")
     state = np.concatenate([weights, np.zeros(2 * len(weights))])
     rows = df.select(key, "split", "packed", "target")
-    training = rows.filter(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
+    training = rows.filter(F.col("split") == "train")
     partitions = settings.partitions or _partitions(
         training.count(), settings.batch_size, df.sparkSession.sparkContext.defaultParallelism
     )
-    held = _spread(rows.filter(F.col("split") == "validation"), key, max(1, partitions // 8)).persist(StorageLevel.MEMORY_AND_DISK)
+    training = _spread(training, key, partitions)
+    held = _spread(rows.filter(F.col("split") == "validation"), key, max(1, partitions // 8))
+    held_rows = _shuffled(held, key, settings.seed)
     result, steps, best, best_weights, waiting = Trained(design, weights), 0, None, None, 0
     for epoch in range(settings.epochs):
         state, steps, train_loss = _epoch(training, key, design, state, steps, epoch, partitions, settings)
         result.weights = state[: len(weights)]
-        valid_loss = evaluate(held, design, result.weights, settings.batch_size)
+        valid_loss = evaluate(held_rows, design, result.weights, settings.batch_size)
         result.track.append((epoch, train_loss, valid_loss))
         if settings.patience <= 0 or valid_loss is None:
             continue

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +60,11 @@ def apply_functions(df: DataFrame, functions: dict) -> DataFrame:
     return df.withColumns({c: f(F.col(f"`{c}`")) for c, f in functions.items()})
 
 
+def map_batches(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Apply a frame-to-frame function to batches of rows, lazily; for what no expression can say."""
+    return df.mapInPandas(lambda frames: map(function, frames), schema)
+
+
 def union_named(tables: dict[str, DataFrame], label: str) -> DataFrame:
     """Stack tables with different columns; the table's name goes to column ``label``."""
     labelled = [df.withColumn(label, F.lit(name)) for name, df in tables.items()]

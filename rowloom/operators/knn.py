@@ -74,12 +74,12 @@ def knn_join(
         doubles(vector).alias("v"),
         (F.col(target).cast("double") if target else F.lit(None).cast("double")).alias("y"),
     )
-    size = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    if not size["n"]:
+    rows, first = points.count(), points.select(F.size("v")).first()
+    if first is None:
         raise ValueError("the train side of the kNN join has no rows")
-    if size["n"] * (size["d"] + 2) * 8 <= max_broadcast_bytes:
+    if rows * (first[0] + 2) * 8 <= max_broadcast_bytes:
         return _broadcast_join(queries, points, vector, k)
-    return _chunked_join(queries, points, query_key, vector, k, size["n"], chunk_rows)
+    return _chunked_join(queries, points, query_key, vector, k, rows, chunk_rows)
 
 
 def _sorted_points(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

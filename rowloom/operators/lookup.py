@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +20,12 @@ def lookup_join(
 ) -> DataFrame:
     """Add the columns of ``table`` (unique on ``on``) to ``df``.
 
-    The row count of ``table`` decides: up to the bound it is broadcast; beyond it every table row is
+    The row count of ``table`` decides (it is materialised once where the caller does not know it): up to the bound it is broadcast; beyond it every table row is
     repeated once per salt and the rows of ``df`` draw a salt from their own content, so a key that holds a
     large share of ``df`` is spread over ``SALTS`` tasks.
     """
     if table_rows is None:
+        table = table.persist(StorageLevel.MEMORY_AND_DISK)
         table_rows = table.count()
     if table_rows <= max_broadcast_rows:
         return df.join(F.broadcast(table), on, how)

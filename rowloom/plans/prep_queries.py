@@ -146,6 +146,17 @@ def union_missing_columns(spark: SparkSession, folder: str) -> DataFrame:
     return col_ops.union_named(_parties(spark, folder), "party").drop("balance")
 
 
+def feature_response(spark: SparkSession, folder: str) -> DataFrame:
+    card, df = inputs.PARTS, inputs.parts(spark, folder)
+    return df.select(card.key, *card.features, card.response)
+
+
+def column_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """A mapping from columns to expressions, applied to a table."""
+    df = table(spark, folder, "events").select("event_id", "event_type", "value")
+    return col_ops.apply_functions(df, {"event_type": F.upper, "value": lambda v: F.round(F.sqrt(v), 6)})
+
+
 def lookup_names(spark: SparkSession, folder: str) -> DataFrame:
     nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     return lookup_join(table(spark, folder, "supplier").select("s_suppkey", "s_nationkey"), nations, ["s_nationkey"])
@@ -179,6 +190,8 @@ QUERIES = {
     "batch_assign": batch_assign,
     "named_splits": named_splits,
     "union_missing_columns": union_missing_columns,
+    "feature_response": feature_response,
+    "column_functions": column_functions,
     "lookup_names": lookup_names,
     "prepared_documents": prepared_documents,
 }
@@ -252,6 +265,8 @@ ORACLES = {
         UNION ALL SELECT s_suppkey, s_nationkey, s_acctbal, 'supplier' FROM supplier""",
     "union_missing_columns": """SELECT c_custkey AS key, c_nationkey AS nation, c_mktsegment, NULL AS s_name, 'customer' AS party FROM customer
         UNION ALL SELECT s_suppkey, s_nationkey, NULL, s_name, 'supplier' FROM supplier""",
+    "feature_response": "SELECT p_partkey, p_brand, p_type, p_size, p_retailprice FROM part",
+    "column_functions": "SELECT event_id, upper(event_type) AS event_type, round(sqrt(value), 6) AS value FROM events",
     "lookup_names": "SELECT s_suppkey, s_nationkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey",
     "prepared_documents": f"""WITH d AS (SELECT doc_id, split, lang, source, ln(1 + n_chars) AS n_chars, {_CLEAN} AS text FROM {DOCUMENTS_SQL})
         SELECT d.doc_id, d.split, l.code AS lang, s.code AS source,

@@ -9,6 +9,7 @@ from rowloom.functions import vectors as vec
 from rowloom.operators.cluster import assign_nearest, centroids, silhouettes
 from rowloom.operators.encoding import OneHot
 from rowloom.operators.knn import knn_join, knn_sweep
+from rowloom.operators.lookup import lookup_join
 from rowloom.operators.metrics import balanced_accuracy, imputation_scores, mse
 from rowloom.operators.retrieval import batch_contrastive_loss, batch_similarity, retrieve
 from rowloom.operators.sampling import assign_batches, assign_batches_sql
@@ -66,7 +67,7 @@ def nearest_centroid_accuracy(spark: SparkSession, folder: str) -> DataFrame:
 def brand_mean_error(spark: SparkSession, folder: str) -> DataFrame:
     df = inputs.parts(spark, folder)
     means = df.filter(F.col("split") == "train").groupBy("p_brand").agg(F.avg("p_retailprice").alias("expected"))
-    return mse(df.join(means, "p_brand"), "p_retailprice", "expected", ["split"]).select("split", rounded("score"))
+    return mse(lookup_join(df, means, ["p_brand"], "inner"), "p_retailprice", "expected", ["split"]).select("split", rounded("score"))
 
 
 def silhouette_by_label(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,6 +118,16 @@ def vector_measures(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def flatten_tensor(spark: SparkSession, folder: str) -> DataFrame:
+    df = inputs.embeddings(spark, folder)
+    tensor = F.array(*[vec.part("embedding", i, PART_WIDTH) for i in reversed(range(PARTS))])
+    flat = df.select("vec_id", vec.flatten_tensor(tensor, 2).alias("flat"))
+    return flat.select(
+        "vec_id", F.size("flat").cast("long").alias("width"),
+        *[F.round(F.col("flat")[i * PART_WIDTH], 6).alias(f"head{i}") for i in range(PARTS)],
+    )
+
+
 QUERIES = {
     "knn_sweep_classification": knn_sweep_classification,
     "knn_sweep_regression": knn_sweep_regression,
@@ -130,6 +141,7 @@ QUERIES = {
     "retrieval_impute": retrieval_impute,
     "joint_mean_vector": joint_mean_vector,
     "vector_measures": vector_measures,
+    "flatten_tensor": flatten_tensor,
 }
 
 _SWEEP = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY round(d2, 9), tk) AS r FROM pairs),
@@ -224,6 +236,8 @@ ORACLES = {
     "joint_mean_vector": "SELECT vec_id, " + ", ".join(
         f"round((e[{i + 1}] + e[{i + 17}] + e[{i + 33}] + e[{i + 49}]) / 4, 6) AS j{i}" for i in range(PART_WIDTH)
     ) + " FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)",
+    "flatten_tensor": """SELECT vec_id, len(e) AS width, round(e[49], 6) AS head0, round(e[33], 6) AS head1, round(e[17], 6) AS head2,
+    round(e[1], 6) AS head3 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)""",
     "vector_measures": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[])[1:16] AS a, CAST(embedding AS DOUBLE[])[17:32] AS b FROM embeddings)
   SELECT vec_id, round(sqrt(list_inner_product(a, a)), 6) AS norm, round(list_inner_product(a, b), 6) AS dot,
     round(list_cosine_similarity(a, b), 6) AS cosine, round(pow(list_distance(a, b), 2) / 16, 6) AS squared_difference FROM v""",

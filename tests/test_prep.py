@@ -206,3 +206,8 @@ def test_presplit_recipe_fits_on_train(spark):
     out = df.agg(F.max("deadline"), F.max("goal"), F.max("disable_communication"), F.first("keywords")).first()
     assert out[0] == pytest.approx(39 / 29) and out[1] == 1.0 and out[2] == 1 and out[3] == ""
     assert card.txt == ["name", "desc", "keywords"] and card.task == "classification"
+
+
+def test_map_batches(spark):
+    out = ops.map_batches(spark.range(10), lambda frame: frame.assign(twice=frame.id * 2), "id long, twice long")
+    assert out.filter("twice <> 2 * id").count() == 0 and out.count() == 10
