@@ -84,3 +84,18 @@ def vector_array(values: np.ndarray) -> pa.Array:
     n, width = values.shape
     offsets = pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)) if width else pa.array(np.zeros(n + 1, np.int32))
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(values, dtype=np.float64).reshape(-1)))
+
+
+def squared_distances(a: np.ndarray, b: np.ndarray, categories: int = 0) -> np.ndarray:
+    """Squared Euclidean distances between the rows of two matrices.
+
+    The first ``categories`` columns hold category codes and count as one-hot vectors would: two different
+    codes are 2 apart, and a code below zero stands for an all-zero vector, 1 from any code.
+    """
+    x, y = a[:, categories:], b[:, categories:]
+    d2 = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2.0 * (x @ y.T)
+    np.maximum(d2, 0.0, out=d2)
+    for c in range(categories):
+        left, right = a[:, c], b[:, c]
+        d2 += (left[:, None] != right[None, :]) * ((left >= 0)[:, None].astype(np.float64) + (right >= 0)[None, :])
+    return d2

@@ -8,13 +8,13 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.vectors import doubles, matrix
+from rowloom.functions.vectors import doubles, matrix, squared_distances
 from rowloom.operators.blocks import CHUNK_ROWS, chunk_count, over_chunk_pairs
 from rowloom.operators.knn import K_VALUES, choose_k
 from rowloom.operators.sampling import cached, subsample
@@ -65,26 +65,15 @@ def nearest_rows(block: np.ndarray, points: np.ndarray) -> np.ndarray:
     return best
 
 
-def nearest_ids(centres: list[np.ndarray]):
-    """Column function: index of the nearest centre for each of several sets of centres."""
-
-    @F.arrow_udf("array<int>")
-    def lookup(vectors: pa.Array) -> pa.Array:
-        block = matrix(vectors) if len(vectors) else np.zeros((0, centres[0].shape[1]))
-        ids = np.stack([nearest_rows(block, c) for c in centres], axis=1).astype(np.int32)
-        ends = pa.array(np.arange(len(block) + 1, dtype=np.int32) * len(centres))
-        return pa.ListArray.from_arrays(ends, pa.array(ids.reshape(-1)))
-
-    return lookup
-
-
 def cluster_distance_sums(
-    df: DataFrame, key: str, vector: str, clusters: str, group: str | None = None, chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, key: str, vector: str, clusters: str, group: str | None = None, categories: int = 0,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Sum of Euclidean distances from every row to the members of every cluster, and how many members there are.
 
     ``clusters`` is an array column with one cluster id per clustering, so several clusterings share one pass
-    over the pairs; with ``group`` only rows of one group meet. Result, hash-partitioned by key:
+    over the pairs; with ``group`` only rows of one group meet; the first ``categories`` entries of the vectors
+    are codes that count as one-hot vectors. Result, hash-partitioned by key:
     (key, group, which, own, cluster, total, n).
     """
     chunks = chunk_count(df.count(), chunk_rows)
@@ -114,11 +103,11 @@ def cluster_distance_sums(
         step = max(1, SLICE_CELLS // max(1, len(b)))
         for start in range(0, len(a), step):
             part = a[start : start + step]
-            d2 = (part * part).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (part @ b.T)
+            d2 = squared_distances(part, b, categories)
             i, j = np.nonzero(d2 < 1e-9)  # exact differences where the expansion cancels
             for at in range(0, len(i), EXACT_PAIRS):
                 p, q = i[at : at + EXACT_PAIRS], j[at : at + EXACT_PAIRS]
-                d2[p, q] = ((part[p] - b[q]) ** 2).sum(axis=1)
+                d2[p, q] = ((part[p, categories:] - b[q, categories:]) ** 2).sum(axis=1)
             totals[start : start + step] = np.sqrt(d2) @ members
         rows = pa.array(np.repeat(np.arange(len(a)), width))
         mine = own[:, which].reshape(-1) if width else np.zeros(0, np.int32)
@@ -141,7 +130,8 @@ def cluster_distance_sums(
 
 
 def silhouettes(
-    df: DataFrame, key: str, vector: str, clusters: str, group: str | None = None, chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, key: str, vector: str, clusters: str, group: str | None = None, categories: int = 0,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Exact Euclidean silhouette of every row for every clustering: (key, group, which, cluster, silhouette).
 
@@ -149,7 +139,7 @@ def silhouettes(
     """
     same = F.col("cluster") == F.col("own")
     per_row = (
-        cluster_distance_sums(df, key, vector, clusters, group, chunk_rows)
+        cluster_distance_sums(df, key, vector, clusters, group, categories, chunk_rows)
         .groupBy("_key", "_group", "which", "own")
         .agg(
             F.max(F.when(same, F.col("n"))).alias("n"),
@@ -167,39 +157,51 @@ def silhouettes(
 
 
 def silhouette_score(
-    df: DataFrame, key: str, vector: str, clusters: str, group: str | None = None, chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, key: str, vector: str, clusters: str, group: str | None = None, categories: int = 0,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Mean silhouette per group and clustering: (group, which, score)."""
-    rows = silhouettes(df, key, vector, clusters, group, chunk_rows)
+    rows = silhouettes(df, key, vector, clusters, group, categories, chunk_rows)
     return rows.groupBy("group", "which").agg(F.avg("silhouette").alias("score"))
 
 
-def kmeans_sweep(df: DataFrame, key: str, vector: str, ks: tuple[int, ...] = K_VALUES, seed: int = 0,
-                 max_train_rows: int | None = None, max_iter: int = 20) -> DataFrame:
+def kmeans_sweep(
+    df: DataFrame,
+    key: str,
+    vector: str,
+    ks: tuple[int, ...] = K_VALUES,
+    seed: int = 0,
+    max_train_rows: int | None = None,
+    max_iter: int = 20,
+    points: str | None = None,
+    categories: int = 0,
+) -> DataFrame:
     """k-means on distinct train vectors for every k, chosen by validation silhouette.
 
-    Result: (k, validation_score, test_score, chosen). A clustering that puts all validation rows into one
-    cluster scores 0 there; on test the score is null.
+    ``points`` names an ML vector column to cluster on where ``vector`` holds category codes. Result:
+    (k, validation_score, test_score, chosen). A clustering that puts all validation rows into one cluster
+    scores 0 there; on test the score is null.
     """
-    work = df.select(key, "split", doubles(vector).alias("v"))
+    features = F.col(points) if points else array_to_vector(doubles(vector))
+    work = df.select(key, "split", doubles(vector).alias("v"), features.alias("features"))
     train = work.filter(F.col("split") == "train")
     if max_train_rows:
         train = subsample(train, key, max_train_rows, seed)
-    train = cached(
-        train.select("v").distinct().select(array_to_vector("v").alias("features"))
-    )
-    held = work.filter(F.col("split").isin("validation", "test"))
+    train = cached(train.dropDuplicates(["v"]).select("features"))
     train.count()
 
-    def fit(k: int) -> np.ndarray:
-        return np.stack(KMeans(k=k, seed=seed, maxIter=max_iter).fit(train).clusterCenters())
+    def fit(k: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed, maxIter=max_iter, predictionCol=f"_c{k}").fit(train)
 
     with ThreadPoolExecutor(min(len(ks), FITS_AT_ONCE)) as pool:
-        found = [pool.submit(inheritable_thread_target(df.sparkSession)(partial(fit, k))) for k in ks]
-        centres = [f.result() for f in found]
+        running = [pool.submit(inheritable_thread_target(df.sparkSession)(partial(fit, k))) for k in ks]
+        models = [r.result() for r in running]
     train.unpersist()
-    held = cached(held.select(key, "split", "v", nearest_ids(centres)("v").alias("clusters")))
-    scored = silhouette_score(held, key, "v", "clusters", "split").collect()
+    held = work.filter(F.col("split").isin("validation", "test"))
+    for model in models:
+        held = model.transform(held)
+    held = cached(held.select(key, "split", "v", F.array(*[f"_c{k}" for k in ks]).alias("clusters")))
+    scored = silhouette_score(held, key, "v", "clusters", "split", categories).collect()
     held.unpersist()
     rows = [(ks[r["which"]], r["group"], r["score"] if r["group"] == "test" else r["score"] or 0.0) for r in scored]
     return choose_k(df.sparkSession.createDataFrame(rows, "k int, split string, score double"), greater=True)

@@ -117,12 +117,12 @@ class LevelCodes:
 
 def one_hot(column: Column, levels: list, unseen: str = "ignore") -> Column:
     """Indicator vector over the given levels; all zeros (or an error) for a value outside them."""
-    at = F.array_position(F.array(*[F.lit(v) for v in levels]), column)
-    vector = F.transform(
-        F.sequence(F.lit(1), F.lit(len(levels))), lambda i: F.when(i == at, F.lit(1.0)).otherwise(F.lit(0.0))
-    )
+    at = F.coalesce(F.array_position(F.array(*[F.lit(v) for v in levels]), column), F.lit(0)).cast("int")
+    zeros = F.array_repeat(F.lit(0.0), len(levels))
+    hot = F.concat(F.array_repeat(F.lit(0.0), at - 1), F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), F.lit(len(levels)) - at))
+    vector = F.when(at > 0, hot).otherwise(zeros)
     if unseen == "error":
-        return F.when(F.coalesce(at, F.lit(0)) > 0, vector).otherwise(
+        return F.when(at > 0, hot).otherwise(
             F.raise_error(F.concat(F.lit("value outside the levels: "), column.cast("string"))).cast("array<double>")
         )
     return vector

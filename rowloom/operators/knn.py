@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.vectors import doubles, matrix
+from rowloom.functions.vectors import doubles, matrix, squared_distances
 from rowloom.operators.blocks import CHUNK_ROWS, chunk_count, over_chunk_pairs
 from rowloom.operators.metrics import balanced_accuracy, mse
 from rowloom.operators.sampling import subsample
@@ -19,19 +19,17 @@ NEIGHBOURS = "array<struct<d2:double,key:bigint,y:double>>"
 K_VALUES = tuple(range(2, 11))  # fixed value: the k tried by the sweeps
 
 
-def nearest(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def nearest(queries: np.ndarray, points: np.ndarray, k: int, categories: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Column indices and rounded squared distances of the k nearest points per query.
 
     Points must come in key order: equal distances then resolve to the smaller key by position.
     """
     n, k = len(queries), min(k, len(points))
     index, distance = np.empty((n, k), np.int64), np.empty((n, k))
-    squared_norms = (points * points).sum(axis=1)
     step = max(1, BLOCK_CELLS // max(1, len(points)))
     for start in range(0, n, step):
         block = queries[start : start + step]
-        d2 = (block * block).sum(axis=1)[:, None] + squared_norms[None, :] - 2.0 * (block @ points.T)
-        d2 = np.round(np.maximum(d2, 0.0), DISTANCE_DIGITS)
+        d2 = np.round(squared_distances(block, points, categories), DISTANCE_DIGITS)
         bound = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
         inside, at = d2 < bound, d2 == bound
         room = k - inside.sum(axis=1, keepdims=True)
@@ -61,6 +59,7 @@ def knn_join(
     vector: str,
     target: str | None = None,
     k: int = 10,
+    categories: int = 0,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
@@ -68,6 +67,7 @@ def knn_join(
 
     The train side is broadcast as one matrix where its measured size is below the bound. Otherwise both
     sides are cut into chunks, each chunk pair yields k candidates per query, and the candidates are merged.
+    The first ``categories`` entries of the vectors are codes that count as one-hot vectors.
     """
     points = train.select(
         F.col(train_key).cast("long").alias("key"),
@@ -78,8 +78,8 @@ def knn_join(
     if first is None:
         raise ValueError("the train side of the kNN join has no rows")
     if rows * (first[0] + 2) * 8 <= max_broadcast_bytes:
-        return _broadcast_join(queries, points, vector, k)
-    return _chunked_join(queries, points, query_key, vector, k, rows, chunk_rows)
+        return _broadcast_join(queries, points, vector, k, categories)
+    return _chunked_join(queries, points, query_key, vector, k, categories, rows, chunk_rows)
 
 
 def _sorted_points(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,20 +88,20 @@ def _sorted_points(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return matrix(table.column("v")), table.column("key").to_numpy(), y
 
 
-def _broadcast_join(queries: DataFrame, points: DataFrame, vector: str, k: int) -> DataFrame:
+def _broadcast_join(queries: DataFrame, points: DataFrame, vector: str, k: int, categories: int) -> DataFrame:
     shared = queries.sparkSession.sparkContext.broadcast(_sorted_points(points.toArrow()))
 
     @F.arrow_udf(NEIGHBOURS)
     def search(vectors: pa.Array) -> pa.Array:
         values, keys, targets = shared.value
         block = matrix(vectors) if len(vectors) else np.zeros((0, values.shape[1]))
-        return _neighbour_array(*nearest(block, values, k), keys, targets)
+        return _neighbour_array(*nearest(block, values, k, categories), keys, targets)
 
     return queries.withColumn("neighbours", search(doubles(vector)))
 
 
 def _chunked_join(
-    queries: DataFrame, points: DataFrame, query_key: str, vector: str, k: int, n_points: int, chunk_rows: int
+    queries: DataFrame, points: DataFrame, query_key: str, vector: str, k: int, categories: int, n_points: int, chunk_rows: int
 ) -> DataFrame:
     left = queries.select(F.col(query_key).alias("_q"), doubles(vector).alias("v"))
     key_type = left.schema["_q"].dataType.simpleString()
@@ -111,7 +111,7 @@ def _chunked_join(
             empty = pa.array([], pa.list_(pa.struct([("d2", pa.float64()), ("key", pa.int64()), ("y", pa.float64())])))
             return pa.table({"_q": some.column("_q").slice(0, 0), "found": empty})
         values, keys, targets = _sorted_points(others)
-        found = _neighbour_array(*nearest(matrix(some.column("v")), values, k), keys, targets)
+        found = _neighbour_array(*nearest(matrix(some.column("v")), values, k, categories), keys, targets)
         return pa.table({"_q": some.column("_q"), "found": found})
 
     found = over_chunk_pairs(

@@ -5,11 +5,14 @@ Scores travel in long form: ``section`` (the evaluation), ``task``, ``name`` (th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.stats import upper_tail
 from rowloom.operators.lookup import lookup_join
+from rowloom.operators.sampling import cached
 
 # The evaluations whose greatest value is best whatever the task.
 GREATER_IS_BETTER = ("Imputation", "Clustering")
@@ -27,8 +30,9 @@ def column_means(results: DataFrame, metrics: list[str], label: str, value: str)
 
 def row_mean(columns: list[str]):
     """Mean over columns of one row, nulls skipped."""
-    present = F.filter(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]), lambda x: x.isNotNull())
-    return F.try_divide(F.aggregate(present, F.lit(0.0), lambda total, x: total + x), F.size(present).cast("double"))
+    values = [F.col(f"`{c}`").cast("double") for c in columns]
+    present = reduce(lambda a, b: a + b, [v.isNotNull().cast("double") for v in values])
+    return F.try_divide(reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in values]), present)
 
 
 def rescale(value, low, high):
@@ -42,6 +46,7 @@ def imputation_score(cells: DataFrame, run: list[str]) -> DataFrame:
 
     Ranges come from a partial aggregate joined back, not from a window, as a table may have any number of runs.
     """
+    cells = cached(cells)
     ranges = cells.groupBy("name", "variable").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     share = rescale(F.col("value"), F.col("low"), F.col("high"))
     scaled = lookup_join(cells, ranges, ["name", "variable"]).withColumn(

@@ -23,7 +23,7 @@ from rowloom.session import ensure_checkpoint_dir
 
 COMPONENTS = 10  # fixed value: components kept for text and dense variables
 OVERSAMPLE = 8
-PASSES = 6
+PASSES = 4
 CHUNK_TERMS = 8192
 MAX_BASIS_BYTES = 1 << 29
 MAX_BROADCAST_TERMS = 250_000

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowloom.cards import DataCard
 from rowloom.operators.cluster import kmeans_sweep
-from rowloom.operators.encoding import LevelCodes, OneHot, one_hot_sparse
+from rowloom.operators.encoding import LevelCodes, one_hot_sparse
 from rowloom.operators.knn import K_VALUES, knn_sweep
 from rowloom.operators.metrics import balanced_accuracy, mse
 from rowloom.operators.sampling import MAX_TRAIN_ROWS, cached, subsample, with_split
@@ -40,27 +40,50 @@ def tree_baseline(df: DataFrame, card: DataCard, rounds: int = ROUNDS, depth: in
     return rule(scored, "target", "prediction", ["split"])
 
 
-def shallow_scores(features: DataFrame, key: str, task: str | None, ks: tuple[int, ...] = K_VALUES, max_train_rows: int | None = MAX_TRAIN_ROWS, seed: int = 0) -> tuple[float | None, float | None]:
-    """Test silhouette of the chosen k-means and test score of the chosen kNN for (key, split, features, target)."""
+def shallow_scores(
+    features: DataFrame,
+    key: str,
+    task: str | None,
+    ks: tuple[int, ...] = K_VALUES,
+    max_train_rows: int | None = MAX_TRAIN_ROWS,
+    seed: int = 0,
+    points: str | None = None,
+    categories: int = 0,
+) -> tuple[float | None, float | None]:
+    """Test silhouette of the chosen k-means and test score of the chosen kNN for (key, split, features, target).
+
+    Train rows beyond ``max_train_rows`` are left out by key hash, for both; None keeps all.
+    """
     if max_train_rows:
         train = subsample(features.filter(F.col("split") == "train"), key, max_train_rows, seed)
         features = train.unionByName(features.filter(F.col("split") != "train"))
     features = cached(features)
-    clustering = kmeans_sweep(features, key, "features", ks, seed).filter("chosen").first()
+    clustering = kmeans_sweep(features, key, "features", ks, seed, points=points, categories=categories).filter("chosen").first()
     prediction = None
     if task is not None:
-        prediction = knn_sweep(features, key, "features", "target", task, ks).filter("chosen").first()["test_score"]
+        sweep = knn_sweep(features, key, "features", "target", task, ks, categories=categories)
+        prediction = sweep.filter("chosen").first()["test_score"]
     features.unpersist()
     return (clustering["test_score"] if clustering else None), prediction
 
 
-def dense_features(df: DataFrame, card: DataCard) -> DataFrame:
-    """(key, split, features, target) with one-hot vectors fitted on train."""
-    encoded = OneHot.fit(df, card.cat_features, card.num_features).transform(df)
-    response = card.response
+def coded_features(df: DataFrame, card: DataCard) -> DataFrame:
+    """(key, split, features, points, target): category codes before numbers, and the same as sparse one-hot vectors.
+
+    Codes stand for one-hot vectors in distances, so wide categories cost no more than narrow ones. Levels that
+    train rows lack get -1, the all-zero vector.
+    """
+    sparse = one_hot_sparse(df, card.cat_features, card.num_features, output="points")
+    coded = sparse
+    if card.cat_features:
+        coded = LevelCodes.fit(df, card.cat_features, order="numeric", train_only=True, unseen="null").transform(sparse)
     if card.task == "classification":
-        encoded = LevelCodes.fit(encoded, [response], order="numeric", train_only=True, unseen="keep").transform(encoded)
-    return encoded.select(card.key, "split", "features", F.col(f"`{response}`").cast("double").alias("target"))
+        coded = LevelCodes.fit(df, [card.response], order="numeric", train_only=True, unseen="keep").transform(coded)
+    codes = [F.coalesce(F.col(f"`{v}`").cast("double"), F.lit(-1.0)) for v in card.cat_features]
+    numbers = [F.col(f"`{v}`").cast("double") for v in card.num_features]
+    return coded.select(
+        card.key, "split", F.array(*codes, *numbers).alias("features"), "points", F.col(f"`{card.response}`").cast("double").alias("target")
+    )
 
 
 def baseline_run(df: DataFrame, card: DataCard, replicate: int = 0, rounds: int = ROUNDS, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
@@ -72,7 +95,9 @@ def baseline_run(df: DataFrame, card: DataCard, replicate: int = 0, rounds: int
         raise ValueError("the baseline takes tables of categories and numbers with a response")
     df = cached(with_split(df.drop("split"), card.key, seed=replicate))
     trees = {r["split"]: r["score"] for r in tree_baseline(df, card, rounds=rounds, seed=replicate).collect()}
-    kmeans_perf, knn_perf = shallow_scores(dense_features(df, card), card.key, card.task, ks, seed=replicate)
+    kmeans_perf, knn_perf = shallow_scores(
+        coded_features(df, card), card.key, card.task, ks, seed=replicate, points="points", categories=len(card.cat_features)
+    )
     df.unpersist()
     return df.sparkSession.createDataFrame(
         [(replicate, kmeans_perf, knn_perf, trees.get("test"))],

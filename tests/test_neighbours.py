@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rowloom.functions.vectors import squared_distances
 from rowloom.operators.cluster import assign_nearest, centroids, kmeans_sweep, silhouette_score, silhouettes
 from rowloom.operators.knn import choose_k, knn_join, knn_sweep, means, nearest, votes
 from rowloom.operators.metrics import balanced_accuracy, imputation_scores, rounded_labels
@@ -93,6 +94,21 @@ def test_silhouettes_equal_brute_force(spark, chunk):
     assert all(r["silhouette"] is None for r in rows if r["which"] == 1)
 
 
+def test_codes_count_as_one_hot_vectors(spark):
+    rng = np.random.default_rng(6)
+    codes, numbers = rng.integers(-1, 4, (50, 2)).astype(float), rng.standard_normal((50, 1))
+    wide = np.concatenate([(codes[:, [c]] == np.arange(4)).astype(float) for c in range(2)] + [numbers], axis=1)
+    narrow = np.concatenate([codes, numbers], axis=1)
+    expected = ((wide[:, None] - wide[None]) ** 2).sum(-1)
+    assert np.allclose(squared_distances(narrow, narrow, 2), expected)
+    labels = rng.integers(0, 3, 50)
+    df = table(spark, narrow, labels).withColumn("c", F.array("y"))
+    got = {r["id"]: r["silhouette"] for r in silhouettes(df, "id", "v", "c", categories=2, chunk_rows=20).collect()}
+    assert np.allclose([got[i] for i in range(50)], numpy_silhouettes(wide, labels))
+    found = knn_join(df, df, "id", "id", "v", k=4, categories=2)
+    assert {r["id"]: [n["key"] for n in r["neighbours"]] for r in found.collect()} == {i: row.tolist() for i, row in enumerate(brute(wide, wide, 4))}
+
+
 def test_silhouette_groups_do_not_meet(spark):
     rng = np.random.default_rng(4)
     x, labels = rng.standard_normal((60, 2)), rng.integers(0, 2, 60)

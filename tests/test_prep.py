@@ -183,6 +183,16 @@ def test_recipe_runs_in_order(spark):
     assert out[1]["k"] == 1 and out[1]["t"] == ""
 
 
+def test_coded_features_mark_unseen_levels(spark):
+    from rowloom.plans.baseline import coded_features
+
+    rows = [(1, "a", 2.0, "p", "train"), (2, "b", 3.0, "q", "train"), (3, "z", 4.0, "q", "test")]
+    df = spark.createDataFrame(rows, "id long, k string, v double, y string, split string")
+    out = {r["id"]: r for r in coded_features(df, DataCard("id", cat=["k", "y"], num=["v"], response="y")).collect()}
+    assert out[2]["features"] == [1.0, 3.0] and out[2]["points"].toArray().tolist() == [0.0, 1.0, 3.0] and out[2]["target"] == 1.0
+    assert out[3]["features"] == [-1.0, 4.0] and out[3]["points"].toArray().tolist() == [0.0, 0.0, 4.0]
+
+
 def test_registry_names_every_dataset():
     assert len(DATASETS) == 49
     with pytest.raises(KeyError, match="airlines"):
