@@ -99,3 +99,11 @@ def squared_distances(a: np.ndarray, b: np.ndarray, categories: int = 0) -> np.n
         left, right = a[:, c], b[:, c]
         d2 += (left[:, None] != right[None, :]) * ((left >= 0)[:, None].astype(np.float64) + (right >= 0)[None, :])
     return d2
+
+
+def paired_distances(a: np.ndarray, b: np.ndarray, categories: int = 0) -> np.ndarray:
+    """Euclidean distance of each row of ``a`` to the same row of ``b``, from direct differences."""
+    gap = a[:, categories:] - b[:, categories:]
+    left, right = a[:, :categories], b[:, :categories]
+    apart = (left != right) * ((left >= 0).astype(np.float64) + (right >= 0))
+    return np.sqrt((gap * gap).sum(axis=1) + apart.sum(axis=1))

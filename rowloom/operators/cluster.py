@@ -21,7 +21,7 @@ from rowloom.operators.sampling import cached, subsample
 
 MAX_CENTROIDS = 65_536
 SLICE_CELLS = 1 << 22
-FITS_AT_ONCE = 9
+FITS_AT_ONCE = 4
 EXACT_PAIRS = 1 << 16
 
 

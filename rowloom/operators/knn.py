@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.vectors import doubles, matrix, squared_distances
+from rowloom.functions.vectors import doubles, matrix, paired_distances, squared_distances
 from rowloom.operators.blocks import CHUNK_ROWS, chunk_count, over_chunk_pairs
 from rowloom.operators.metrics import balanced_accuracy, mse
 from rowloom.operators.sampling import subsample
@@ -15,17 +15,17 @@ from rowloom.operators.sampling import subsample
 MAX_BROADCAST_BYTES = 128 << 20
 DISTANCE_DIGITS = 9  # squared distances equal to this many digits are ties; the smaller key comes first
 BLOCK_CELLS = 1 << 22
-NEIGHBOURS = "array<struct<d2:double,key:bigint,y:double>>"
+NEIGHBOURS = "array<struct<d2:double,key:bigint,y:double,distance:double>>"
 K_VALUES = tuple(range(2, 11))  # fixed value: the k tried by the sweeps
 
 
-def nearest(queries: np.ndarray, points: np.ndarray, k: int, categories: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Column indices and rounded squared distances of the k nearest points per query.
+def nearest(queries: np.ndarray, points: np.ndarray, k: int, categories: int = 0) -> tuple[np.ndarray, ...]:
+    """Indices, rounded squared distances and exact distances of the k nearest points per query.
 
     Points must come in key order: equal distances then resolve to the smaller key by position.
     """
     n, k = len(queries), min(k, len(points))
-    index, distance = np.empty((n, k), np.int64), np.empty((n, k))
+    index, rounded, distance = np.empty((n, k), np.int64), np.empty((n, k)), np.empty((n, k))
     step = max(1, BLOCK_CELLS // max(1, len(points)))
     for start in range(0, n, step):
         block = queries[start : start + step]
@@ -38,15 +38,18 @@ def nearest(queries: np.ndarray, points: np.ndarray, k: int, categories: int = 0
         found = np.take_along_axis(d2, columns, axis=1)
         order = np.argsort(found, axis=1, kind="stable")
         index[start : start + step] = np.take_along_axis(columns, order, axis=1)
-        distance[start : start + step] = np.take_along_axis(found, order, axis=1)
-    return index, distance
+        rounded[start : start + step] = np.take_along_axis(found, order, axis=1)
+        for rank in range(k):
+            partner = points[index[start : start + step, rank]]
+            distance[start : start + step, rank] = paired_distances(block, partner, categories)
+    return index, rounded, distance
 
 
-def _neighbour_array(index: np.ndarray, distance: np.ndarray, keys: np.ndarray, targets: np.ndarray) -> pa.Array:
+def _neighbour_array(index: np.ndarray, rounded: np.ndarray, distance: np.ndarray, keys: np.ndarray, targets: np.ndarray) -> pa.Array:
     n, k = index.shape
     cells = pa.StructArray.from_arrays(
-        [pa.array(distance.reshape(-1)), pa.array(keys[index].reshape(-1)), pa.array(targets[index].reshape(-1))],
-        ["d2", "key", "y"],
+        [pa.array(a.reshape(-1)) for a in (rounded, keys[index], targets[index], distance)],
+        ["d2", "key", "y", "distance"],
     )
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * k, max(k, 1), dtype=np.int32)[: n + 1]), cells)
 
@@ -63,7 +66,8 @@ def knn_join(
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add ``neighbours`` to ``queries``: the k nearest rows of ``train``, nearest first, as (d2, key, y).
+    """Add ``neighbours`` to ``queries``: the k nearest rows of ``train``, nearest first, as (d2, key, y, distance);
+    ``d2`` is the squared distance to nine digits, which decides ties.
 
     The train side is broadcast as one matrix where its measured size is below the bound. Otherwise both
     sides are cut into chunks, each chunk pair yields k candidates per query, and the candidates are merged.
@@ -108,7 +112,8 @@ def _chunked_join(
 
     def search(some: pa.Table, others: pa.Table) -> pa.Table:
         if not len(some) or not len(others):
-            empty = pa.array([], pa.list_(pa.struct([("d2", pa.float64()), ("key", pa.int64()), ("y", pa.float64())])))
+            fields = [("d2", pa.float64()), ("key", pa.int64()), ("y", pa.float64()), ("distance", pa.float64())]
+            empty = pa.array([], pa.list_(pa.struct(fields)))
             return pa.table({"_q": some.column("_q").slice(0, 0), "found": empty})
         values, keys, targets = _sorted_points(others)
         found = _neighbour_array(*nearest(matrix(some.column("v")), values, k, categories), keys, targets)

@@ -46,7 +46,7 @@ def knn_join_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     pairs = found.select("vec_id", F.posexplode("neighbours").alias("pos", "near"))
     return pairs.select(
         "vec_id", (F.col("pos") + 1).alias("rank"), F.col("near.key").alias("neighbour"),
-        F.round(F.sqrt("near.d2"), 6).alias("distance"),
+        F.round("near.distance", 6).alias("distance"),
     )
 
 
