@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rowloom.functions.vectors import doubles, matrix, squared_distances
 from rowloom.operators.blocks import CHUNK_ROWS, chunk_count, over_chunk_pairs
 from rowloom.operators.knn import K_VALUES, choose_k
-from rowloom.operators.sampling import cached, subsample
+from rowloom.operators.sampling import cached, compact, subsample
 
 MAX_CENTROIDS = 65_536
 SLICE_CELLS = 1 << 22
@@ -187,8 +187,7 @@ def kmeans_sweep(
     train = work.filter(F.col("split") == "train")
     if max_train_rows:
         train = subsample(train, key, max_train_rows, seed)
-    train = cached(train.dropDuplicates(["v"]).select("features"))
-    train.count()
+    train = compact(train.dropDuplicates(["v"]).select("features"), rows_per_partition=1024)
 
     def fit(k: int) -> KMeansModel:
         return KMeans(k=k, seed=seed, maxIter=max_iter, predictionCol=f"_c{k}").fit(train)

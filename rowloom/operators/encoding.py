@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.operators.lookup import MAX_BROADCAST_ROWS, lookup_join
+from rowloom.operators.sampling import compact
 from rowloom.session import ensure_checkpoint_dir
 
 MAX_DENSE_LEVELS = 4096
@@ -90,8 +90,7 @@ class LevelCodes:
             raise ValueError("unseen is 'error', 'skip', 'keep' or 'null'")
         if train_only:
             df = df.filter(F.col("split") == "train")
-        levels = levels_of(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
-        table = rank_levels(levels, order).persist(StorageLevel.MEMORY_AND_DISK)
+        table = compact(rank_levels(compact(levels_of(df, columns)), order))
         counted = {r["variable"]: r["count"] for r in table.groupBy("variable").count().collect()}
         return cls(columns, table, {c: counted.get(c, 0) for c in columns}, unseen)
 

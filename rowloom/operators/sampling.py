@@ -116,3 +116,12 @@ def assign_batches_sql(relation: str, key: str, batch_size: int, epoch: int = 0,
 
 def cached(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def compact(df: DataFrame, rows_per_partition: int = 4096) -> DataFrame:
+    """Materialise ``df`` and merge partitions that hold far fewer rows than a task is worth, without a shuffle."""
+    kept = cached(df)
+    wanted = max(1, math.ceil(kept.count() / rows_per_partition))
+    if kept.rdd.getNumPartitions() <= wanted:
+        return kept
+    return cached(kept.coalesce(wanted))

@@ -18,7 +18,7 @@ from rowloom.functions.text import tokens
 from rowloom.functions.vectors import doubles, matrix, vector_array
 from rowloom.operators.encoding import rank_levels
 from rowloom.operators.lookup import lookup_join
-from rowloom.operators.sampling import cached
+from rowloom.operators.sampling import cached, compact
 from rowloom.session import ensure_checkpoint_dir
 
 COMPONENTS = 10  # fixed value: components kept for text and dense variables
@@ -65,8 +65,8 @@ class TextComponents:
         k = min(width + OVERSAMPLE, n_terms, max(1, n_docs))
         if n_terms * k * 8 > max_basis_bytes:
             return _fit_by_joins(cls, train, key, text, words, n_terms, n_docs, k, width, passes)
-        numbered = cached(_numbered_terms(words))
-        docs = cached(_counts(train, key, text, numbered, n_terms))
+        numbered = compact(_numbered_terms(words), rows_per_partition=65_536)
+        docs = compact(_counts(train, key, text, numbered, n_terms), rows_per_partition=512)
         mean = _term_means(numbered, n_docs)
         basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, k)))[0]
         for _ in range(passes):
