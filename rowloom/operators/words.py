@@ -34,6 +34,11 @@ def vocabulary(train: DataFrame, text: str) -> DataFrame:
     return train.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def token_cells(df: DataFrame, key: str, text: str) -> DataFrame:
+    """How often each row's text has each of its tokens: (key, token, n)."""
+    return df.select(key, F.explode(tokens(text)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+
+
 @dataclass
 class TextComponents:
     """Fitted text projection: ``terms`` holds (token, term, loadings); ``offset`` is the projected mean."""
@@ -60,13 +65,14 @@ class TextComponents:
         and each pass returns per-task sums in term chunks; a larger basis is a table and each pass is two joins.
         """
         train = df.filter(F.col("split") == "train")
-        words = cached(vocabulary(train, text))
+        cells = cached(token_cells(train, key, text))
+        words = cached(cells.groupBy("token").agg(F.sum("n").alias("n")))
         n_terms, n_docs = words.count(), train.count()
         k = min(width + OVERSAMPLE, n_terms, max(1, n_docs))
         if n_terms * k * 8 > max_basis_bytes:
-            return _fit_by_joins(cls, train, key, text, words, n_terms, n_docs, k, width, passes)
+            return _fit_by_joins(cls, cells, key, words, n_terms, n_docs, k, width, passes)
         numbered = compact(_numbered_terms(words), rows_per_partition=65_536)
-        docs = compact(_counts(train, key, text, numbered, n_terms), rows_per_partition=512)
+        docs = compact(_counts(cells, key, numbered, n_terms), rows_per_partition=512)
         mean = _term_means(numbered, n_docs)
         basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, k)))[0]
         for _ in range(passes):
@@ -76,7 +82,7 @@ class TextComponents:
         loadings = basis @ turn[:, ::-1][:, :width]
         loadings = loadings * np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
         docs.unpersist()
-        words.unpersist()
+        cells.unpersist()
         shared = df.sparkSession.sparkContext.broadcast(loadings)
 
         @F.arrow_udf("array<double>")
@@ -88,8 +94,7 @@ class TextComponents:
 
     def transform(self, df: DataFrame, key: str, text: str, output: str) -> DataFrame:
         """Add the projection of every row's text; words outside the vocabulary count nothing."""
-        counts = df.select(key, F.explode(tokens(text)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
-        found = lookup_join(counts, self.terms, ["token"], how="inner", max_broadcast_rows=MAX_BROADCAST_TERMS, table_rows=self.n_terms)
+        found = lookup_join(token_cells(df, key, text), self.terms, ["token"], how="inner", max_broadcast_rows=MAX_BROADCAST_TERMS, table_rows=self.n_terms)
         sums = found.groupBy(key).agg(
             *[F.sum(F.col("n") * F.col("loadings")[i]).alias(f"_s{i}") for i in range(self.width)]
         )
@@ -103,10 +108,9 @@ def _numbered_terms(words: DataFrame) -> DataFrame:
     return rank_levels(cached(levels)).select(F.col("level").alias("token"), "n", F.col("code").cast("int").alias("term"))
 
 
-def _counts(train: DataFrame, key: str, text: str, numbered: DataFrame, n_terms: int) -> DataFrame:
-    counts = train.select(key, F.explode(tokens(text)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+def _counts(cells: DataFrame, key: str, numbered: DataFrame, n_terms: int) -> DataFrame:
     return (
-        lookup_join(counts, numbered.select("token", "term"), ["token"], how="inner", table_rows=n_terms)
+        lookup_join(cells, numbered.select("token", "term"), ["token"], how="inner", table_rows=n_terms)
         .groupBy(key)
         .agg(F.collect_list(F.struct("term", F.col("n").cast("double").alias("n"))).alias("cells"))
         .select(F.col("cells.term").alias("terms"), F.col("cells.n").alias("ns"))
@@ -180,12 +184,9 @@ def _products(table: DataFrame, left: str, right: str, k: int) -> np.ndarray:
     return np.array(list(table.agg(*cells).first())).reshape(k, k)
 
 
-def _fit_by_joins(cls, train: DataFrame, key: str, text: str, words: DataFrame, n_terms: int, n_docs: int, k: int, width: int, passes: int):
+def _fit_by_joins(cls, cells: DataFrame, key: str, words: DataFrame, n_terms: int, n_docs: int, k: int, width: int, passes: int):
     """The same iteration with the basis as a table (token, mean, b) and every pass as joins and partial sums."""
-    ensure_checkpoint_dir(train.sparkSession)
-    cells = cached(
-        train.select(key, F.explode(tokens(text)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    )
+    ensure_checkpoint_dir(cells.sparkSession)
     start = F.array(*[F.xxhash64("token", F.lit(i)) / float(1 << 63) for i in range(k)])
     basis = words.select("token", (F.col("n") / n_docs).alias("mean"), start.alias("b"))
 
