@@ -3,10 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowloom.llm import exact, fingerprint, mixing, shards
+from rowloom.llm import bpe, exact, fingerprint, mixing, shards, tokens
 from rowloom.llm.common import documents
 
+TOKENIZER = "byte_bpe_50k.json"
+TOKEN_LIMIT = 1024
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    counts = tokens.token_counts(documents(spark, folder), "doc_id", "text", tokenizer_path())
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, folder), "doc_id", "text", tokenizer_path())
+
 
 def op5_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.compared(documents(spark, folder))
@@ -25,5 +44,5 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(docs, "doc_id", "source", mixing.word_count("text")).drop("source")
 
 
-QUERIES = {q.__name__: q for q in (op5_fingerprint, op6_exact, op8_shards, op9_mixing)}
+QUERIES = {q.__name__: q for q in (op1_tokens, op4_bpe, op5_fingerprint, op6_exact, op8_shards, op9_mixing)}
 ORACLES: dict[str, str] = {}
