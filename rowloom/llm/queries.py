@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, exact, fingerprint, mixing, shards, tokens
+from rowloom.llm import bpe, exact, fingerprint, mixing, near, shards, tokens
 from rowloom.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def op1_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_near(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_groups(documents(spark, folder), "doc_id", "text")
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(documents(spark, folder), "doc_id", "text", tokenizer_path())
 
@@ -44,5 +48,5 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(docs, "doc_id", "source", mixing.word_count("text")).drop("source")
 
 
-QUERIES = {q.__name__: q for q in (op1_tokens, op4_bpe, op5_fingerprint, op6_exact, op8_shards, op9_mixing)}
+QUERIES = {q.__name__: q for q in (op1_tokens, op2_near, op4_bpe, op5_fingerprint, op6_exact, op8_shards, op9_mixing)}
 ORACLES: dict[str, str] = {}
