@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import Scratch, bucket_count, hash_bucket, key_hash, running_totals, words
 
-#: Ranges of virtual time; each holds about the same number of tokens.
+#: Virtual time at which the targets are reached.
 CLOCK = 1.0
 
 
@@ -73,8 +73,9 @@ def queue(docs: DataFrame, key: str, source: str, size: Column, weights: tuple[i
     copies = copies.withColumn("take", F.coalesce(take, F.lit(0)).cast("long"))
     # documents that get nothing stay, with one row, so that every document has its row in the end
     served = copies.filter("take > 0 OR epoch = 0")
-    clock = F.floor(F.least(F.coalesce(F.col("finish"), F.lit(0.0)), F.lit(CLOCK)) * buckets).cast("long")
-    served = served.withColumn("_clock", clock)
+    clock = F.floor(F.least("finish", F.lit(CLOCK)) * buckets).cast("long")
+    unserved = buckets + 1 + hash_bucket("_hash", buckets)  # nothing orders these; they are spread
+    served = served.withColumn("_clock", F.when(F.col("take") > 0, clock).otherwise(unserved))
     by_time = [F.col("finish"), F.col("_rank"), F.col("_hash"), F.col("_key"), F.col("_slot"), F.col("epoch")]
     return running_totals(served, [], "_clock", by_time, {"mix_from": "take"}).drop("_clock").withColumnRenamed("_key", key)
 
