@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, exact, fingerprint, mixing, near, shards, tokens
+from rowloom.llm import bpe, exact, fingerprint, mixing, near, quality, shards, tokens
 from rowloom.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,6 +39,10 @@ def op6_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact.duplicates(documents(spark, folder), "doc_id", "text")
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.resampled(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op8_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.sharded(documents(spark, folder), "doc_id", "text", [1.0] * 24)
 
@@ -48,5 +52,5 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(docs, "doc_id", "source", mixing.word_count("text")).drop("source")
 
 
-QUERIES = {q.__name__: q for q in (op1_tokens, op2_near, op4_bpe, op5_fingerprint, op6_exact, op8_shards, op9_mixing)}
+QUERIES = {q.__name__: q for q in (op1_tokens, op2_near, op4_bpe, op5_fingerprint, op6_exact, op7_quality, op8_shards, op9_mixing)}
 ORACLES: dict[str, str] = {}
