@@ -18,6 +18,8 @@ GRAMS = (3, 5)
 REPEAT_WEIGHT = 5
 #: The models are fitted on at most so many labelled rows, taken by key hash.
 LABELLED = 50_000
+#: One labelled row in so many is kept aside to set the sample's size.
+FOLDS = 4
 #: Pseudo-counts of the raw model in the target model, and of every bucket in the raw model.
 PRIOR, SMOOTHING = 10_000, 0.5
 #: Scores are of so many n-grams, so that length alone says nothing; shorter texts than FEW are not scaled up fully.
@@ -146,8 +148,8 @@ def resampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """One row per document: the key, score, noisy (score plus Gumbel noise) and kept.
 
     The target model is fitted on rows labelled 1, the raw model on every row. The sample's size k is the number of
-    documents whose importance is above the score that best parts the labelled classes; the k documents with the
-    highest noisy scores stay, ties included. Null and empty texts score 0 and repeated rows score alike. Without
+    documents whose importance is above the score that best parts the labelled rows kept aside from the fit; the k
+    documents with the highest noisy scores stay, ties included. Null and empty texts score 0 and repeated rows score alike. Without
     labels of both classes every document stays.
     """
     scratch = Scratch(docs.sparkSession)
@@ -155,9 +157,12 @@ def resampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     sample = sample.agg(F.min(quality).alias("_quality")).orderBy(F.xxhash64("_label_key"), "_label_key").limit(labelled)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     rows = rows.join(F.broadcast(sample), rows["_key"] == sample["_label_key"], "left").select("_key", "_quality", "_text")
-    scores = scored(rows, "_text", fit(rows, "_text", "_quality"))
+    aside = key_hash("_key") % FOLDS == 0
+    rows = rows.withColumn("_fit", F.when(~aside, F.col("_quality"))).withColumn("_aside", F.when(aside, F.col("_quality")))
+    ratio = fit(rows, "_text", "_fit")
+    scores = scored(rows.select("_key", "_fit", "_aside", "_text"), "_text", ratio)
     scores = scratch.keep(scores.withColumn("noisy", F.col("score") + gumbel("_key")).withColumn("_rank", F.floor(F.col("noisy") * UNIT).cast("long")), "scores")
-    cut = cut_between(scores, "_quality")
+    cut = cut_between(scores, "_aside") or cut_between(scores, "_fit")
     kept = F.lit(True)
     if cut is not None:
         bound = kth_largest(scores, "_rank", scores.filter(F.col("score") >= cut).count())
