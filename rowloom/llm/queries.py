@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, exact, fingerprint, mixing, near, quality, shards, tokens
+from rowloom.llm import bpe, exact, fingerprint, mixing, near, quality, shards, tokens, toxicity
 from rowloom.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -52,5 +52,9 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(docs, "doc_id", "source", mixing.word_count("text")).drop("source")
 
 
-QUERIES = {q.__name__: q for q in (op1_tokens, op2_near, op4_bpe, op5_fingerprint, op6_exact, op7_quality, op8_shards, op9_mixing)}
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+QUERIES = {q.__name__: q for q in (op1_tokens, op2_near, op4_bpe, op5_fingerprint, op6_exact, op7_quality, op8_shards, op9_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
