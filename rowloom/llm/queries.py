@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, exact, fingerprint, mixing, near, quality, shards, tokens, toxicity
+from rowloom.llm import bpe, exact, fingerprint, mixing, near, quality, shards, substring, tokens, toxicity
 from rowloom.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op2_near(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_groups(documents(spark, folder), "doc_id", "text")
 
 
+def op3_substring(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.without_repeats(documents(spark, folder), digests=True)
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(documents(spark, folder), "doc_id", "text", tokenizer_path())
 
@@ -56,5 +60,5 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
-QUERIES = {q.__name__: q for q in (op1_tokens, op2_near, op4_bpe, op5_fingerprint, op6_exact, op7_quality, op8_shards, op9_mixing, op10_toxicity)}
+QUERIES = {q.__name__: q for q in (op1_tokens, op2_near, op3_substring, op4_bpe, op5_fingerprint, op6_exact, op7_quality, op8_shards, op9_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
