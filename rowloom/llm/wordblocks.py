@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes of text whose words are hashed together.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
