@@ -18,6 +18,10 @@ SHINGLE = 5
 PERCENT = 75
 #: At the threshold a link has no common band with probability (1 - 0.75^4)^40, under one in a million.
 BANDS, ROWS = 40, 4
+#: Bits of a set's parity sketch.
+PARITY = 2048
+#: Rows of a bucket that are compared with one another at a time.
+BLOCK_ROWS = 128
 #: Up to this many 8-byte keys are sent to every task; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -65,7 +69,7 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, key: str, text: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """Rows (doc, n_shingles, digest, bands): the digest names the full set; both are null for empty sets and null keys."""
+    """Rows (doc, n_shingles, digest, bands): the digest names the full set; empty sets and null keys have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,16 +92,63 @@ def signed(docs: DataFrame, key: str, text: str, shingle: int, bands: int, rows:
     )
 
 
+def parity(flat: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+    """For each set, which of PARITY buckets hold an odd number of its shingles, as longs."""
+    place = (mix(flat + STEP) % np.uint64(PARITY)).astype(np.int64)
+    counts = np.bincount(owner * PARITY + place, minlength=sets * PARITY).reshape(sets, PARITY)
+    return np.packbits((counts & 1).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+
+
 def full_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """Rows (doc, shingles): the sorted shingle hashes as bytes."""
+    """Rows (doc, shingles, parity): the sorted shingle hashes as bytes, and their parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, flat, ends in shingle_sets(batch.column(1).to_pylist(), shingle):
                 sets = [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(sets, pa.binary())], ["doc", "shingles"])
+                bits = [p.tobytes() for p in parity(flat, np.repeat(np.arange(len(sets)), np.diff(ends)), len(sets))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(sets)), pa.array(sets, pa.binary()), pa.array(bits, pa.binary())],
+                    ["doc", "shingles", "parity"],
+                )
+
+    return docs.select("doc", text).mapInArrow(run, "doc long, shingles binary, parity binary")
+
 
-    return docs.select("doc", text).mapInArrow(run, "doc long, shingles binary")
+def possible(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (band, n, rep, group, n_shingles, parity) that share a band, are in different groups, and may
+    be a link.
+
+    Each differing bit of two parity sketches is a differing shingle, and each set has at least its share of the other's
+    size, so no link is lost. A bucket is cut into blocks by key hash; block meets block, and only what may be a link
+    leaves the task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((0, 2), np.int64)]
+            for one, two, left, right in zip(*[c.to_pylist() for c in batch.columns]):
+                sides = []
+                for side in (left, right):
+                    keys = np.array([(x["rep"], x["group"], x["n_shingles"]) for x in side], np.int64)
+                    sides.append((*keys.T, np.frombuffer(b"".join([x["parity"] for x in side]), np.uint64).reshape(len(side), -1)))
+                (rep_a, group_a, n_a, bits_a), (rep_b, group_b, n_b, bits_b) = sides
+                for i in range(len(rep_a)):
+                    near = (group_b != group_a[i]) & (100 * np.minimum(n_b, n_a[i]) >= percent * np.maximum(n_b, n_a[i]))
+                    if one == two:
+                        near &= rep_b < rep_a[i]
+                    at = np.flatnonzero(near)
+                    differ = np.bitwise_count(bits_b[at] ^ bits_a[i]).sum(1, dtype=np.int64)
+                    at = at[differ * (100 + percent) <= (n_b[at] + n_a[i]) * (100 - percent)]
+                    found.append(np.stack([np.maximum(rep_b[at], rep_a[i]), np.minimum(rep_b[at], rep_a[i])], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int"))
+    blocks = blocks.groupBy("band", "block").agg(F.collect_list(F.struct("rep", "group", "n_shingles", "parity")).alias("side"))
+    left, right = (blocks.select("band", F.col("block").alias(f"block_{s}"), F.col("side").alias(f"side_{s}")) for s in "ab")
+    met = left.join(right, "band").filter("block_a <= block_b").select("block_a", "block_b", "side_a", "side_b")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,8 +232,9 @@ def near_groups(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, pe
 
     Documents with equal sets are one class from the start. Class representatives share buckets, one per band. Links
     are looked for in three rounds of verified pairs: each representative with the bucket leader that it meets in most
-    bands; the other leaders, where the groups still differ; then every pair of a bucket whose groups still differ.
-    So each pair of a bucket is verified or already connected, and large groups of near copies cost a pair per row.
+    bands; the other leaders, where the groups still differ; then every pair of a bucket whose groups still differ and
+    whose set sizes and parity sketches allow a link. So each such pair is verified or already connected, and large groups
+    of near copies cost a pair per row.
     Keys are integers; rows that repeat a key repeat its text. Texts without words, and rows with a null key, are
     linked with nothing; a null key's component is null and the row is kept.
     """
@@ -190,7 +242,8 @@ def near_groups(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, pe
     signs = scratch.keep(signed(docs, key, text, shingle, bands, rows), "signed")
     classes = signs.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("rep"))
     members = signs.join(classes, "digest", "left").select(
-        "doc", "n_shingles", F.coalesce("rep", "doc").alias("rep"), F.when(F.col("doc") == F.col("rep"), F.col("bands")).alias("bands")
+        "doc", "n_shingles", F.coalesce("rep", "doc").alias("rep"),
+        F.when(F.col("doc") == F.col("rep"), F.col("bands")).alias("bands"),
     )
     members = scratch.keep(members, "members")
     scratch.drop("signed")
@@ -216,15 +269,15 @@ def near_groups(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, pe
     groups = components(tested.filter("linked").select("a", "b"), scratch, "second")
 
     split = labelled(buckets.select("band", "rep"), "rep", groups, "group")
-    mixed = split.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("band")
-    split = scratch.keep(split.join(mixed, "band"), "split")
-    across = split.select("band", F.col("rep").alias("a"), F.col("group").alias("ga")).join(
-        split.select("band", F.col("rep").alias("b"), F.col("group").alias("gb")), "band"
-    ).filter("a > b AND ga != gb").select("a", "b").distinct()
+    mixed = split.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
+    facts = members.filter("bands IS NOT NULL").select("rep", "n_shingles").dropDuplicates(["rep"])
+    facts = facts.join(sets.select(F.col("doc").alias("rep"), "parity"), "rep")
+    split = scratch.keep(split.join(mixed.filter("lo < hi").select("band", "n"), "band").join(facts, "rep"), "split")
+    across = possible(split, percent).distinct()
     tested = tested.union(scratch.keep(verified(across.join(tested, ["a", "b"], "left_anti"), sets, percent), "tested3"))
     groups = components(tested.filter("linked").select("a", "b"), scratch, "third")
 
-    out = labelled(members.drop("bands"), "rep", groups, "component_id")
+    out = labelled(members.drop("bands", "planes"), "rep", groups, "component_id")
     return out.select(
         F.col("doc").alias(key), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept")
     )
