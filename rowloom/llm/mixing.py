@@ -94,3 +94,15 @@ def mixture(docs: DataFrame, key: str, source: str, size: Column, weights: tuple
 
 def word_count(text: str) -> Column:
     return F.size(words(F.col(text)))
+
+
+def mixed(docs: DataFrame, key: str, source: str, size: Column, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """The rows of the mix with all their columns: each document as often as it is served whole. Rows are joined by key
+    and source, so rows that repeat a key within a source are served as often as all of them together."""
+    served = queue(docs, key, source, size, weights, most).filter("take > 0 AND take = size")
+    times = served.groupBy(F.col(key).alias("_served"), F.col("source").alias("_from")).agg(F.count("*").alias("_times"))
+    rows = docs.groupBy(key, source).agg(F.count("*").alias("_rows")).select(F.col(key).alias("_k"), F.col(source).alias("_s"), "_rows")
+    share = times.join(rows, F.col("_served").eqNullSafe(F.col("_k")) & F.col("_from").eqNullSafe(F.col("_s")))
+    share = share.select("_served", "_from", F.ceil(F.col("_times") / F.col("_rows")).cast("int").alias("_copies"))
+    out = docs.join(share, docs[key].eqNullSafe(share["_served"]) & docs[source].eqNullSafe(share["_from"]))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -51,7 +51,7 @@ def super_minhash(elements: np.ndarray, owner: np.ndarray, sets: int, size: int)
         elif not more.all():
             elements, owner, shuffled = elements[more], owner[more], shuffled[more]
             rows = np.arange(len(owner))
-        state = mix(elements + STEP * np.uint64(j + 1))
+        state = mix(elements + STEP * np.full(1, j + 1, np.uint64))
         drawn = j + (mix(state) % np.uint64(size - j)).astype(np.int64)
         place = shuffled[rows, drawn].astype(np.int64)
         shuffled[rows, drawn] = shuffled[:, j]
