@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
-def clean_text(text: Column | str, max_words: int = 200) -> Column:
-    """Null becomes empty, runs of anything but ASCII letters and digits become one space, first words kept."""
+def clean_text(text: Column | str, max_words: int | None = None) -> Column:
+    """Null becomes empty, runs of anything but ASCII letters and digits become one space; ``max_words`` cuts the rest."""
     text = F.col(text) if isinstance(text, str) else text
     spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit(" ")), "[^a-zA-Z0-9]+", " "))
-    return F.array_join(F.slice(F.split(spaced, " "), 1, max_words), " ")
+    return spaced if max_words is None else F.array_join(F.slice(F.split(spaced, " "), 1, max_words), " ")
 
 
 def tokens(text: Column | str) -> Column:

@@ -90,9 +90,11 @@ def squared_distances(a: np.ndarray, b: np.ndarray, categories: int = 0) -> np.n
     """Squared Euclidean distances between the rows of two matrices.
 
     The first ``categories`` columns hold category codes and count as one-hot vectors would: two different
-    codes are 2 apart, and a code below zero stands for an all-zero vector, 1 from any code.
+    codes are 2 apart, and a code below zero stands for an all-zero vector, 1 from any code. The product form is taken
+    about the mean of ``b``, which changes no distance; ``distance_error`` bounds its error.
     """
-    x, y = a[:, categories:], b[:, categories:]
+    centre = b[:, categories:].mean(axis=0) if len(b) else 0.0
+    x, y = a[:, categories:] - centre, b[:, categories:] - centre
     d2 = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2.0 * (x @ y.T)
     np.maximum(d2, 0.0, out=d2)
     for c in range(categories):
@@ -101,9 +103,22 @@ def squared_distances(a: np.ndarray, b: np.ndarray, categories: int = 0) -> np.n
     return d2
 
 
-def paired_distances(a: np.ndarray, b: np.ndarray, categories: int = 0) -> np.ndarray:
-    """Euclidean distance of each row of ``a`` to the same row of ``b``, from direct differences."""
+def distance_error(a: np.ndarray, b: np.ndarray, categories: int = 0) -> np.ndarray:
+    """For each row of ``a`` a bound of the error of its ``squared_distances``."""
+    centre = b[:, categories:].mean(axis=0) if len(b) else 0.0
+    x, y = a[:, categories:] - centre, b[:, categories:] - centre
+    largest = (y * y).sum(axis=1).max(initial=0.0)
+    return 4 * (a.shape[1] + 8) * np.finfo(float).eps * ((x * x).sum(axis=1) + largest + 4.0)
+
+
+def paired_squares(a: np.ndarray, b: np.ndarray, categories: int = 0) -> np.ndarray:
+    """Squared distance of each row of ``a`` to the same row of ``b``, from direct differences."""
     gap = a[:, categories:] - b[:, categories:]
     left, right = a[:, :categories], b[:, :categories]
     apart = (left != right) * ((left >= 0).astype(np.float64) + (right >= 0))
-    return np.sqrt((gap * gap).sum(axis=1) + apart.sum(axis=1))
+    return (gap * gap).sum(axis=1) + apart.sum(axis=1)
+
+
+def paired_distances(a: np.ndarray, b: np.ndarray, categories: int = 0) -> np.ndarray:
+    """Euclidean distance of each row of ``a`` to the same row of ``b``, from direct differences."""
+    return np.sqrt(paired_squares(a, b, categories))

@@ -14,15 +14,18 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.vectors import doubles, matrix, squared_distances
+from rowloom.functions.vectors import distance_error, doubles, matrix, paired_squares, squared_distances
 from rowloom.operators.blocks import CHUNK_ROWS, chunk_count, over_chunk_pairs
-from rowloom.operators.knn import K_VALUES, choose_k
+from rowloom.operators.knn import K_VALUES, choose_k, knn_join, nearest
 from rowloom.operators.sampling import cached, compact, subsample
+from rowloom.session import ensure_checkpoint_dir
 
-MAX_CENTROIDS = 65_536
+MAX_CENTROID_BYTES = 64 << 20
 SLICE_CELLS = 1 << 22
 FITS_AT_ONCE = 4
 EXACT_PAIRS = 1 << 16
+#: Squared distances below so many error bounds are measured directly.
+CANCELS = 1e6
 
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -36,9 +39,10 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 def assign_nearest(df: DataFrame, centres: DataFrame, vector: str, label: str, centroid: str = "centroid",
                    output: str = "nearest", distance: str | None = "distance") -> DataFrame:
     """Add the label of the nearest centroid (ties: smallest label) and its Euclidean distance."""
-    rows = centres.select(label, centroid).orderBy(label).limit(MAX_CENTROIDS + 1).toArrow()
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids: use knn_join with k = 1")
+    size = centres.agg(F.count("*"), F.max(F.size(centroid))).first()
+    if size[0] * ((size[1] or 0) + 2) * 8 > MAX_CENTROID_BYTES:
+        return _assign_by_join(df, centres, vector, label, centroid, output, distance)
+    rows = centres.select(label, centroid).orderBy(label).toArrow()
     labels, points = rows.column(label).combine_chunks(), matrix(rows.column(centroid))
     kind = centres.schema[label].dataType.simpleString()
 
@@ -55,14 +59,21 @@ def assign_nearest(df: DataFrame, centres: DataFrame, vector: str, label: str, c
     return found.drop("_near")
 
 
+def _assign_by_join(df: DataFrame, centres: DataFrame, vector: str, label: str, centroid: str, output: str, distance: str | None) -> DataFrame:
+    """The same where the centroids are too large to send to every task: a kNN join with k = 1 on row numbers."""
+    ensure_checkpoint_dir(df.sparkSession)
+    numbered = df.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    renamed = centres.select(F.col(label).alias("_label"), F.col(centroid).alias(vector))
+    found = knn_join(numbered, renamed, "_row", "_label", vector, k=1).withColumn("_near", F.col("neighbours")[0])
+    found = found.withColumn(output, F.col("_near.key").cast(centres.schema[label].dataType))
+    if distance:
+        found = found.withColumn(distance, F.col("_near.distance"))
+    return found.drop("_near", "_row", "neighbours")
+
+
 def nearest_rows(block: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Index of the nearest point per row; ties go to the first."""
-    best = np.zeros(len(block), np.int64)
-    step = max(1, SLICE_CELLS // len(points))
-    norms = (points * points).sum(axis=1)
-    for start in range(0, len(block), step):
-        best[start : start + step] = (norms[None, :] - 2.0 * (block[start : start + step] @ points.T)).argmin(axis=1)
-    return best
+    return nearest(block, points, 1)[0][:, 0]
 
 
 def cluster_distance_sums(
@@ -104,10 +115,10 @@ def cluster_distance_sums(
         for start in range(0, len(a), step):
             part = a[start : start + step]
             d2 = squared_distances(part, b, categories)
-            i, j = np.nonzero(d2 < 1e-9)  # exact differences where the expansion cancels
+            i, j = np.nonzero(d2 < CANCELS * distance_error(part, b, categories)[:, None])  # direct where the product form cancels
             for at in range(0, len(i), EXACT_PAIRS):
                 p, q = i[at : at + EXACT_PAIRS], j[at : at + EXACT_PAIRS]
-                d2[p, q] = ((part[p, categories:] - b[q, categories:]) ** 2).sum(axis=1)
+                d2[p, q] = paired_squares(part[p], b[q], categories)
             totals[start : start + step] = np.sqrt(d2) @ members
         rows = pa.array(np.repeat(np.arange(len(a)), width))
         mine = own[:, which].reshape(-1) if width else np.zeros(0, np.int32)
@@ -172,11 +183,11 @@ def kmeans_sweep(
     ks: tuple[int, ...] = K_VALUES,
     seed: int = 0,
     max_train_rows: int | None = None,
-    max_iter: int = 20,
+    max_iter: int = 300,
     points: str | None = None,
     categories: int = 0,
 ) -> DataFrame:
-    """k-means on distinct train vectors for every k, chosen by validation silhouette.
+    """k-means on distinct train vectors for every k, until the centres stay, chosen by validation silhouette.
 
     ``points`` names an ML vector column to cluster on where ``vector`` holds category codes. Result:
     (k, validation_score, test_score, chosen). A clustering that puts all validation rows into one cluster
@@ -190,7 +201,7 @@ def kmeans_sweep(
     train = compact(train.dropDuplicates(["v"]).select("features"), rows_per_partition=1024)
 
     def fit(k: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed, maxIter=max_iter, predictionCol=f"_c{k}").fit(train)
+        return KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-6, predictionCol=f"_c{k}").fit(train)
 
     with ThreadPoolExecutor(min(len(ks), FITS_AT_ONCE)) as pool:
         running = [pool.submit(inheritable_thread_target(df.sparkSession)(partial(fit, k))) for k in ks]

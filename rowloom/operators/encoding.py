@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -69,13 +69,15 @@ class LevelCodes:
     """Codes of categorical columns, fitted on the whole table or on train rows.
 
     ``unseen`` decides about levels without a code: ``error`` raises when such a row is read, ``skip`` drops
-    the row, ``keep`` gives the code after the last one, ``null`` leaves null.
+    the row, ``keep`` gives the code after the last one, ``null`` leaves null. With ``null_level`` null is a level
+    too, the last one, where the fitted rows have it; otherwise it is a level without a code.
     """
 
     columns: list[str]
     table: DataFrame
     sizes: dict[str, int]
     unseen: str = "error"
+    nulls: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def fit(
@@ -85,6 +87,7 @@ class LevelCodes:
         order: str = "lexical",
         train_only: bool = False,
         unseen: str = "error",
+        null_level: bool = False,
     ) -> "LevelCodes":
         if unseen not in ("error", "skip", "keep", "null"):
             raise ValueError("unseen is 'error', 'skip', 'keep' or 'null'")
@@ -92,7 +95,12 @@ class LevelCodes:
             df = df.filter(F.col("split") == "train")
         table = compact(rank_levels(compact(levels_of(df, columns)), order))
         counted = {r["variable"]: r["count"] for r in table.groupBy("variable").count().collect()}
-        return cls(columns, table, {c: counted.get(c, 0) for c in columns}, unseen)
+        sizes, nulls = {c: counted.get(c, 0) for c in columns}, {}
+        if null_level and columns:
+            present = df.agg(*[F.coalesce(F.max(F.col(f"`{c}`").isNull()), F.lit(False)).alias(c) for c in columns]).first()
+            nulls = {c: sizes[c] for c in columns if present[c]}
+            sizes |= {c: n + 1 for c, n in nulls.items()}
+        return cls(columns, table, sizes, unseen, nulls)
 
     def transform(self, df: DataFrame) -> DataFrame:
         order = df.columns
@@ -102,6 +110,8 @@ class LevelCodes:
             )
             present = F.col(f"`{name}`").cast("string")
             df = lookup_join(df.withColumn("_level", present), codes, ["_level"], table_rows=self.sizes[name])
+            if name in self.nulls:
+                df = df.withColumn("_code", F.when(F.col("_level").isNull(), F.lit(self.nulls[name]).cast("long")).otherwise(F.col("_code")))
             if self.unseen == "skip":
                 df = df.filter(F.col("_code").isNotNull())
             code = F.col("_code")

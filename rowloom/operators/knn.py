@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from rowloom.functions.vectors import doubles, matrix, paired_distances, squared_distances
+from rowloom.functions.vectors import distance_error, doubles, matrix, paired_squares, squared_distances
 from rowloom.operators.blocks import CHUNK_ROWS, chunk_count, over_chunk_pairs
 from rowloom.operators.metrics import balanced_accuracy, mse
 from rowloom.operators.sampling import subsample
@@ -15,40 +16,48 @@ from rowloom.operators.sampling import subsample
 MAX_BROADCAST_BYTES = 128 << 20
 DISTANCE_DIGITS = 9  # squared distances equal to this many digits are ties; the smaller key comes first
 BLOCK_CELLS = 1 << 22
-NEIGHBOURS = "array<struct<d2:double,key:bigint,y:double,distance:double>>"
+PAIRS_AT_ONCE = 1 << 18
 K_VALUES = tuple(range(2, 11))  # fixed value: the k tried by the sweeps
 
 
 def nearest(queries: np.ndarray, points: np.ndarray, k: int, categories: int = 0) -> tuple[np.ndarray, ...]:
     """Indices, rounded squared distances and exact distances of the k nearest points per query.
 
-    Points must come in key order: equal distances then resolve to the smaller key by position.
+    Points must come in key order: equal distances then resolve to the smaller key by position. The product form only
+    picks candidates: whatever its error could hide among the nearest is measured again by direct differences.
     """
     n, k = len(queries), min(k, len(points))
     index, rounded, distance = np.empty((n, k), np.int64), np.empty((n, k)), np.empty((n, k))
     step = max(1, BLOCK_CELLS // max(1, len(points)))
     for start in range(0, n, step):
         block = queries[start : start + step]
-        d2 = np.round(squared_distances(block, points, categories), DISTANCE_DIGITS)
-        bound = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
-        inside, at = d2 < bound, d2 == bound
-        room = k - inside.sum(axis=1, keepdims=True)
-        keep = inside | (at & (np.cumsum(at, axis=1) <= room))
-        columns = np.nonzero(keep)[1].reshape(len(block), k)
-        found = np.take_along_axis(d2, columns, axis=1)
-        order = np.argsort(found, axis=1, kind="stable")
-        index[start : start + step] = np.take_along_axis(columns, order, axis=1)
-        rounded[start : start + step] = np.take_along_axis(found, order, axis=1)
-        for rank in range(k):
-            partner = points[index[start : start + step, rank]]
-            distance[start : start + step, rank] = paired_distances(block, partner, categories)
+        d2 = squared_distances(block, points, categories)
+        slack = 2 * distance_error(block, points, categories) + 10.0**-DISTANCE_DIGITS
+        bound = np.partition(d2, k - 1, axis=1)[:, k - 1] + slack
+        rows, columns = np.nonzero(d2 <= bound[:, None])
+        exact = np.empty(len(rows))
+        for at in range(0, len(rows), PAIRS_AT_ONCE):
+            some = slice(at, at + PAIRS_AT_ONCE)
+            exact[some] = paired_squares(block[rows[some]], points[columns[some]], categories)
+        ties = np.round(exact, DISTANCE_DIGITS)
+        order = np.lexsort((columns, ties, rows))
+        firsts = np.searchsorted(rows, np.arange(len(block)))
+        best = order[firsts[:, None] + np.arange(k)]
+        index[start : start + step] = columns[best]
+        rounded[start : start + step] = ties[best]
+        distance[start : start + step] = np.sqrt(exact[best])
     return index, rounded, distance
 
 
-def _neighbour_array(index: np.ndarray, rounded: np.ndarray, distance: np.ndarray, keys: np.ndarray, targets: np.ndarray) -> pa.Array:
+def _neighbours(key_type: str) -> str:
+    return f"array<struct<d2:double,key:{key_type},y:double,distance:double>>"
+
+
+def _neighbour_array(index: np.ndarray, rounded: np.ndarray, distance: np.ndarray, keys: pa.Array, targets: np.ndarray) -> pa.Array:
     n, k = index.shape
+    flat = index.reshape(-1)
     cells = pa.StructArray.from_arrays(
-        [pa.array(a.reshape(-1)) for a in (rounded, keys[index], targets[index], distance)],
+        [pa.array(rounded.reshape(-1)), keys.take(pa.array(flat)), pa.array(targets[flat]), pa.array(distance.reshape(-1))],
         ["d2", "key", "y", "distance"],
     )
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * k, max(k, 1), dtype=np.int32)[: n + 1]), cells)
@@ -74,7 +83,7 @@ def knn_join(
     The first ``categories`` entries of the vectors are codes that count as one-hot vectors.
     """
     points = train.select(
-        F.col(train_key).cast("long").alias("key"),
+        (F.col(train_key).cast("long") if isinstance(train.schema[train_key].dataType, IntegralType) else F.col(train_key)).alias("key"),
         doubles(vector).alias("v"),
         (F.col(target).cast("double") if target else F.lit(None).cast("double")).alias("y"),
     )
@@ -86,16 +95,16 @@ def knn_join(
     return _chunked_join(queries, points, query_key, vector, k, categories, rows, chunk_rows)
 
 
-def _sorted_points(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sorted_points(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     table = table.sort_by("key")
     y = table.column("y").to_numpy().astype(np.float64) if table.column("y").null_count < len(table) else np.full(len(table), np.nan)
-    return matrix(table.column("v")), table.column("key").to_numpy(), y
+    return matrix(table.column("v")), table.column("key").combine_chunks(), y
 
 
 def _broadcast_join(queries: DataFrame, points: DataFrame, vector: str, k: int, categories: int) -> DataFrame:
     shared = queries.sparkSession.sparkContext.broadcast(_sorted_points(points.toArrow()))
 
-    @F.arrow_udf(NEIGHBOURS)
+    @F.arrow_udf(_neighbours(points.schema["key"].dataType.simpleString()))
     def search(vectors: pa.Array) -> pa.Array:
         values, keys, targets = shared.value
         block = matrix(vectors) if len(vectors) else np.zeros((0, values.shape[1]))
@@ -112,7 +121,7 @@ def _chunked_join(
 
     def search(some: pa.Table, others: pa.Table) -> pa.Table:
         if not len(some) or not len(others):
-            fields = [("d2", pa.float64()), ("key", pa.int64()), ("y", pa.float64()), ("distance", pa.float64())]
+            fields = [("d2", pa.float64()), ("key", others.schema.field("key").type), ("y", pa.float64()), ("distance", pa.float64())]
             empty = pa.array([], pa.list_(pa.struct(fields)))
             return pa.table({"_q": some.column("_q").slice(0, 0), "found": empty})
         values, keys, targets = _sorted_points(others)
@@ -121,7 +130,7 @@ def _chunked_join(
 
     found = over_chunk_pairs(
         left, points, "_q", "key", chunk_count(queries.count(), chunk_rows), chunk_count(n_points, chunk_rows),
-        search, f"_q {key_type}, found {NEIGHBOURS}",
+        search, f"_q {key_type}, found {_neighbours(points.schema['key'].dataType.simpleString())}",
     )
     merged = found.groupBy("_q").agg(
         F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("neighbours")

@@ -51,19 +51,12 @@ def _cut(hashed: DataFrame, key: str, rank: int) -> tuple:
 def subsample(df: DataFrame, key: str, rows: int = MAX_TRAIN_ROWS, seed: int = 0) -> DataFrame:
     """The ``rows`` rows with the least key hash; all rows where the table is no larger.
 
-    A threshold on the uniform hash keeps little more than ``rows`` candidates before the top-k, so no task
-    receives more than that. If the threshold kept too few, the top-k runs over all rows.
+    The (hash, key) of the last row is found by counts per hash range; the sample is a filter, so it stays spread.
     """
-    n = df.count()
-    if n <= rows:
+    if df.count() <= rows:
         return df
-    h = hash32(F.lit(seed), key)
-    candidates = rows + 8 * math.sqrt(rows) + 64
-    threshold = int(HASH_RANGE * min(1.0, candidates / n)) + 1
-    near = df.filter(h < threshold)
-    if near.count() < rows:
-        near = df
-    return near.orderBy(h, key).limit(rows)
+    hashed = df.withColumn("_h", hash32(F.lit(seed), key))
+    return hashed.filter(_upto(key, *_cut(hashed, key, rows))).drop("_h")
 
 
 def subsample_sql(relation: str, key: str, rows: int = MAX_TRAIN_ROWS, seed: int = 0) -> str:

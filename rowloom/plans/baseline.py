@@ -12,7 +12,7 @@ from rowloom.operators.cluster import kmeans_sweep
 from rowloom.operators.encoding import LevelCodes, one_hot_sparse
 from rowloom.operators.knn import K_VALUES, knn_sweep
 from rowloom.operators.metrics import balanced_accuracy, mse
-from rowloom.operators.sampling import MAX_TRAIN_ROWS, cached, subsample, with_split
+from rowloom.operators.sampling import cached, with_split
 
 # Settings of the boosted trees.
 ROUNDS, DEPTH, STEP = 100, 6, 0.3
@@ -45,23 +45,21 @@ def shallow_scores(
     key: str,
     task: str | None,
     ks: tuple[int, ...] = K_VALUES,
-    max_train_rows: int | None = MAX_TRAIN_ROWS,
+    max_train_rows: int | None = None,
     seed: int = 0,
     points: str | None = None,
     categories: int = 0,
 ) -> tuple[float | None, float | None]:
     """Test silhouette of the chosen k-means and test score of the chosen kNN for (key, split, features, target).
 
-    Train rows beyond ``max_train_rows`` are left out by key hash, for both; None keeps all.
+    All train rows take part; ``max_train_rows`` bounds the labelled rows of the classifying kNN alone, by key hash.
     """
-    if max_train_rows:
-        train = subsample(features.filter(F.col("split") == "train"), key, max_train_rows, seed)
-        features = train.unionByName(features.filter(F.col("split") != "train"))
     features = cached(features)
     clustering = kmeans_sweep(features, key, "features", ks, seed, points=points, categories=categories).filter("chosen").first()
     prediction = None
     if task is not None:
-        sweep = knn_sweep(features, key, "features", "target", task, ks, categories=categories)
+        bound = max_train_rows if task == "classification" else None
+        sweep = knn_sweep(features, key, "features", "target", task, ks, max_train_rows=bound, categories=categories)
         prediction = sweep.filter("chosen").first()["test_score"]
     features.unpersist()
     return (clustering["test_score"] if clustering else None), prediction

@@ -41,9 +41,9 @@ def embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with a quality label."""
+    """All documents; quality is null where no label covers them."""
     labels = table(spark, folder, "labels").select("doc_id", "quality")
-    joined = table(spark, folder, "documents").join(labels, "doc_id")
+    joined = table(spark, folder, "documents").join(labels, "doc_id", "left")
     return with_split(DOCUMENTS.select(joined), "doc_id")
 
 
@@ -53,7 +53,7 @@ PARTS_SQL = f"(SELECT p_partkey, p_brand, p_type, p_size, p_retailprice, {split_
 CUSTOMERS_SQL = f"(SELECT c_custkey, c_mktsegment, c_nationkey, c_acctbal, {split_sql('c_custkey')} AS split FROM customer)"
 EMBEDDINGS_SQL = f"(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS embedding, {split_sql('vec_id')} AS split FROM embeddings)"
 DOCUMENTS_SQL = f"""(SELECT doc_id, text, lang, source, quality, n_chars, {split_sql('doc_id')} AS split
-  FROM documents JOIN (SELECT doc_id, quality FROM labels) USING (doc_id))"""
+  FROM documents LEFT JOIN (SELECT doc_id, quality FROM labels) USING (doc_id))"""
 
 
 def rounded(name: str, digits: int = 6):

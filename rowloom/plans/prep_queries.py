@@ -9,12 +9,14 @@ from rowloom.cards import column_levels, level_check, profile
 from rowloom.functions.hashing import hash32_sql, split_sql
 from rowloom.functions.text import tokens
 from rowloom.operators import columns as col_ops
+from rowloom.operators import metrics
 from rowloom.operators.encoding import LevelCodes, OneHot
 from rowloom.operators.lookup import lookup_join
 from rowloom.operators.sampling import assign_batches, assign_batches_sql, distinct_rows, subsample, with_split
 from rowloom.operators.scaling import MinMax
 from rowloom.plans import inputs
 from rowloom.plans.inputs import CUSTOMERS_SQL, DOCUMENTS_SQL, ORDERS_SQL, PARTS_SQL, rounded, table
+from rowloom.sources.grids import STANDARD
 from rowloom.plans.recipe import Recipe, clean, codes, log1p, minmax
 
 SAMPLE_ROWS = 5_000
@@ -168,7 +170,43 @@ def prepared_documents(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("doc_id", "split", "lang", "source", rounded("n_chars"), F.length("text").cast("long").alias("clean_chars"))
 
 
+def codes_with_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    """A label that covers some documents only: null is a level of its own, after the others."""
+    df = inputs.documents(spark, folder).select("doc_id", "quality")
+    return LevelCodes.fit(df, ["quality"], order="numeric", null_level=True).transform(df)
+
+
+def exact_split(spark: SparkSession, folder: str) -> DataFrame:
+    return with_split(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", exact=True)
+
+
+def one_hot_error(spark: SparkSession, folder: str) -> DataFrame:
+    """Levels of the whole table, so that the policy for values outside them finds none."""
+    df = inputs.orders(spark, folder)
+    encoded = OneHot.fit(df, ["o_orderstatus", "o_orderpriority"], [], train_only=False, unseen="error").transform(df, "vector")
+    digits = F.transform("vector", lambda x: x.cast("int").cast("string"))
+    return encoded.select("o_orderkey", F.array_join(digits, ",").alias("indicators"))
+
+
+def rounded_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """A numeric guess of the size class, the mean of its brand, to the nearest class."""
+    df = table(spark, folder, "part").groupBy("p_brand").agg(F.round(F.avg("p_size"), 6).alias("size_class"))
+    return metrics.rounded_labels(df, "size_class")
+
+
+def sweep_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Every run of a grid beside the profile of the table that it is to run on."""
+    one = profile(inputs.parts(spark, folder), inputs.PARTS, "part").select(F.lit(0).alias("_one"), "name", "samples", "variables")
+    grid = STANDARD.table(spark).withColumn("_one", F.lit(0))
+    return grid.join(F.broadcast(one), "_one").drop("_one")
+
+
 QUERIES = {
+    "codes_with_nulls": codes_with_nulls,
+    "exact_split": exact_split,
+    "one_hot_error": one_hot_error,
+    "rounded_labels": rounded_labels,
+    "sweep_grid": sweep_grid,
     "rename_sanitize": rename_sanitize,
     "cast_types": cast_types,
     "filter_not_null": filter_not_null,
@@ -203,7 +241,7 @@ def _scaled_sql(name: str, relation: str, where: str = "TRUE", digits: int = 6)
     return f"round(CASE WHEN {high} > {low} THEN ({name} - {low}) / ({high} - {low}) ELSE CAST({name} - {low} AS DOUBLE) END, {digits})"
 
 
-_CLEAN = "array_to_string(list_slice(string_split(trim(regexp_replace(coalesce(text, ' '), '[^a-zA-Z0-9]+', ' ', 'g')), ' '), 1, 200), ' ')"
+_CLEAN = "trim(regexp_replace(coalesce(text, ' '), '[^a-zA-Z0-9]+', ' ', 'g'))"
 
 
 def _codes_sql(column: str, relation: str, order: str, where: str = "TRUE") -> str:
@@ -211,7 +249,30 @@ def _codes_sql(column: str, relation: str, order: str, where: str = "TRUE") -> s
             f"FROM (SELECT DISTINCT {column} FROM {relation} WHERE {where} AND {column} IS NOT NULL))")
 
 
+_H = hash32_sql("o_orderkey")
+_GRID_SQL = ", ".join(
+    f"(SELECT unnest([{', '.join(repr(v) for v in values)}]) AS {name}) AS g{i}" for i, (name, values) in enumerate((
+        ("replicate", range(STANDARD.replicates)), ("batch_size", STANDARD.batch_sizes), ("learning_rate", STANDARD.learning_rates),
+        ("latent_dim", STANDARD.latent_dims), ("method", STANDARD.methods),
+    ))
+)
+
 ORACLES = {
+    "codes_with_nulls": """SELECT doc_id, CASE WHEN quality IS NULL THEN (SELECT count(DISTINCT quality) FROM labels)
+        ELSE (SELECT count(DISTINCT o.quality) FROM labels o WHERE o.quality < l.quality) END AS quality
+        FROM documents LEFT JOIN labels l USING (doc_id)""",
+    "exact_split": f"""WITH n AS (SELECT count(*) AS n, CAST(ceil(0.1 * count(*)) AS BIGINT) AS test FROM orders),
+        r AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_H}, o_orderkey) AS r FROM orders)
+        SELECT o_orderkey, CASE WHEN r <= test THEN 'test' WHEN r <= test + CAST(ceil(0.1 * (n - test)) AS BIGINT) THEN 'validation' ELSE 'train' END AS split FROM r, n""",
+    "one_hot_error": """WITH s AS (SELECT list(DISTINCT o_orderstatus ORDER BY o_orderstatus) AS l FROM orders),
+        p AS (SELECT list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS l FROM orders)
+        SELECT o_orderkey, array_to_string(list_concat(
+            list_transform(s.l, lambda x: CASE WHEN x = o_orderstatus THEN '1' ELSE '0' END),
+            list_transform(p.l, lambda x: CASE WHEN x = o_orderpriority THEN '1' ELSE '0' END)), ',') AS indicators
+        FROM orders, s, p""",
+    "rounded_labels": "SELECT p_brand, CAST(round(round(avg(p_size), 6)) AS INTEGER) AS size_class FROM part GROUP BY p_brand",
+    "sweep_grid": f"""SELECT replicate, batch_size, learning_rate, latent_dim, method, 'part' AS name,
+        (SELECT count(*) FROM part) AS samples, CAST({len(inputs.PARTS.variables)} AS BIGINT) AS variables FROM {_GRID_SQL}""",
     "rename_sanitize": """SELECT p_partkey AS part_key, p_name, p_brand AS part_brand, p_type, p_size,
         p_retailprice AS part_price FROM part""",
     "cast_types": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, TRY_CAST(c_name AS INTEGER) AS c_name,

@@ -84,11 +84,11 @@ def minmax(*columns: str, train_only: bool = False) -> Step:
     return Step("minmax", columns, train_only=train_only)
 
 
-def codes(*columns: str, order: str = "numeric", train_only: bool = False, unseen: str = "error") -> Step:
-    return Step("codes", columns, {"order": order, "unseen": unseen}, train_only)
+def codes(*columns: str, order: str = "numeric", train_only: bool = False, unseen: str = "error", null_level: bool = True) -> Step:
+    return Step("codes", columns, {"order": order, "unseen": unseen, "null_level": null_level}, train_only)
 
 
-def clean(*columns: str, max_words: int = 200) -> Step:
+def clean(*columns: str, max_words: int | None = None) -> Step:
     return Step("clean", columns, {"max_words": max_words})
 
 

@@ -22,6 +22,8 @@ METRICS = dict(zip(SECTIONS, ["imputation_perf", "kmeans_perf", "knn_perf", "pre
 METHODS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 OWN, BASELINES = METHODS[1], [METHODS[0], *METHODS[2:]]
 PATIENCE = 5
+DELTA = 2.5
+PANELS = 2000  # of the numeric integration in the SQL counterpart of the p-values
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,7 +124,8 @@ def significance(spark: SparkSession, folder: str) -> DataFrame:
     """Both tests with their p-values."""
     relative = report.relative_scores(best_scores(spark, folder))
     pooled = report.welch_test(relative, OWN, BASELINES).withColumn("baseline", F.lit("all"))
-    return pooled.unionByName(report.paired_test(relative, OWN, BASELINES))
+    both = pooled.unionByName(report.paired_test(relative, OWN, BASELINES))
+    return both.select("section", "baseline", rounded("t"), rounded("df"), rounded("p"))
 
 
 def best_row_per_group(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,6 +155,15 @@ def epoch_losses(spark: SparkSession, folder: str) -> DataFrame:
     return loss_tracks(spark, folder).select("user_id", F.col("epoch").cast("string").alias("epoch"), rounded("loss"))
 
 
+def early_stop_delta(spark: SparkSession, folder: str) -> DataFrame:
+    """Only losses better by ``DELTA`` count as an improvement."""
+    ends = early_stop(loss_tracks(spark, folder), "user_id", "epoch", "loss", PATIENCE, delta=DELTA)
+    return ends.select(
+        "user_id", F.col("stop_epoch").cast("string").alias("stop_epoch"),
+        F.col("kept_epoch").cast("string").alias("kept_epoch"), rounded("last_loss"), "stopped",
+    )
+
+
 def early_stop_epoch(spark: SparkSession, folder: str) -> DataFrame:
     ends = early_stop(loss_tracks(spark, folder), "user_id", "epoch", "loss", PATIENCE)
     return ends.select(
@@ -185,6 +197,7 @@ QUERIES = {
     "display_names": display_names,
     "epoch_loss": epoch_losses,
     "early_stop_epoch": early_stop_epoch,
+    "early_stop_delta": early_stop_delta,
     "percent_format": percent_format,
 }
 
@@ -257,5 +270,28 @@ ORACLES = {
       SELECT user_id, CAST(epoch AS VARCHAR) AS stop_epoch, CAST(CASE WHEN waiting >= {PATIENCE} THEN best_epoch ELSE epoch END AS VARCHAR) AS kept_epoch,
         round(loss, 6) AS last_loss, waiting >= {PATIENCE} AS stopped
       FROM walk QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""",
+    "early_stop_delta": f"""WITH RECURSIVE track AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch) AS i FROM {_TRACKS}),
+      walk AS (SELECT user_id, i, epoch, loss, loss AS best, epoch AS best_epoch, 0 AS waiting FROM track WHERE i = 1
+        UNION ALL SELECT t.user_id, t.i, t.epoch, t.loss, CASE WHEN -t.loss >= -w.best + {DELTA} THEN t.loss ELSE w.best END,
+          CASE WHEN -t.loss >= -w.best + {DELTA} THEN t.epoch ELSE w.best_epoch END,
+          CASE WHEN -t.loss >= -w.best + {DELTA} THEN 0 ELSE w.waiting + 1 END
+        FROM walk w JOIN track t ON t.user_id = w.user_id AND t.i = w.i + 1 WHERE w.waiting < {PATIENCE})
+      SELECT user_id, CAST(epoch AS VARCHAR) AS stop_epoch, CAST(CASE WHEN waiting >= {PATIENCE} THEN best_epoch ELSE epoch END AS VARCHAR) AS kept_epoch,
+        round(loss, 6) AS last_loss, waiting >= {PATIENCE} AS stopped
+      FROM walk QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""",
+    "significance": f"""{_RELATIVE}, m AS (SELECT section,
+          avg(CASE WHEN method = '{OWN}' THEN value END) AS ma, var_samp(CASE WHEN method = '{OWN}' THEN value END) AS va, count(CASE WHEN method = '{OWN}' THEN value END) AS na,
+          avg(CASE WHEN method IN ({_IN}) THEN value END) AS mb, var_samp(CASE WHEN method IN ({_IN}) THEN value END) AS vb, count(CASE WHEN method IN ({_IN}) THEN value END) AS nb
+        FROM relative GROUP BY section),
+      tests AS (SELECT section, 'all' AS baseline, (ma - mb) / sqrt(va / na + vb / nb) AS t,
+          pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS df FROM m
+        UNION ALL SELECT a.section, b.method, avg(a.value - b.value) * sqrt(count(*)) / stddev_samp(a.value - b.value), CAST(count(*) - 1 AS DOUBLE)
+        FROM relative a JOIN relative b ON a.section = b.section AND a.task = b.task AND a.name = b.name
+        WHERE a.method = '{OWN}' AND b.method IN ({_IN}) AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY a.section, b.method),
+      steps AS (SELECT section, baseline, t, df, atan(t / sqrt(df)) / {PANELS} AS h, unnest(range({PANELS} + 1)) AS i FROM tests),
+      areas AS (SELECT section, baseline, t, df, sum(CASE WHEN i IN (0, {PANELS}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(i * h), df - 1)) * h / 3 AS area
+        FROM steps GROUP BY section, baseline, t, df, h)
+      SELECT section, baseline, round(t, 6) AS t, round(df, 6) AS df,
+        round(0.5 - exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * area, 6) AS p FROM areas""",
     "percent_format": f"{_RELATIVE} SELECT section, method, round(avg(value) * 100.0, 3) AS percent FROM relative GROUP BY section, method",
 }

@@ -12,7 +12,8 @@ from rowloom.operators.knn import knn_join, knn_sweep
 from rowloom.operators.lookup import lookup_join
 from rowloom.operators.metrics import balanced_accuracy, imputation_scores, mse
 from rowloom.operators.retrieval import batch_contrastive_loss, batch_similarity, retrieve
-from rowloom.operators.sampling import assign_batches, assign_batches_sql
+from rowloom.functions.hashing import split_sql
+from rowloom.operators.sampling import assign_batches, assign_batches_sql, with_split
 from rowloom.operators.scaling import MinMax
 from rowloom.plans import inputs
 from rowloom.plans.inputs import EMBEDDINGS_SQL, PARTS_SQL, rounded
@@ -50,6 +51,18 @@ def knn_join_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def knn_join_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbours over unscaled columns of very different size: price, order time in seconds and balance."""
+    customers = inputs.table(spark, folder, "customer").select("c_custkey", "c_acctbal")
+    df = inputs.table(spark, folder, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    seconds = F.unix_timestamp("o_orderdate").cast("double")
+    df = with_split(df.select("o_orderkey", F.array("o_totalprice", seconds, "c_acctbal").alias("v")), "o_orderkey")
+    found = knn_join(df.filter("split = 'test'"), df.filter("split = 'train'"), "o_orderkey", "o_orderkey", "v", k=3)
+    return found.select("o_orderkey", F.posexplode("neighbours").alias("pos", "near")).select(
+        "o_orderkey", (F.col("pos") + 1).alias("rank"), F.col("near.key").alias("neighbour"), F.round("near.distance", 4).alias("distance")
+    )
+
+
 def nearest_centroid(spark: SparkSession, folder: str) -> DataFrame:
     df = inputs.embeddings(spark, folder)
     centres = centroids(df.filter(F.col("split") == "train"), "label", "embedding")
@@ -132,6 +145,7 @@ QUERIES = {
     "knn_sweep_classification": knn_sweep_classification,
     "knn_sweep_regression": knn_sweep_regression,
     "knn_join": knn_join_embeddings,
+    "knn_join_raw": knn_join_raw,
     "nearest_centroid": nearest_centroid,
     "balanced_accuracy": nearest_centroid_accuracy,
     "mse": brand_mean_error,
@@ -207,6 +221,12 @@ ORACLES = {
     FROM e q JOIN e t ON q.split <> 'train' AND t.split = 'train'),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d * d, 9), neighbour) AS r FROM pairs)
   SELECT vec_id, CAST(r AS INTEGER) AS rank, neighbour, round(d, 6) AS distance FROM ranked WHERE r <= 5""",
+    "knn_join_raw": f"""WITH e AS (SELECT o_orderkey, o_totalprice AS a, CAST(epoch(o_orderdate) AS DOUBLE) AS b, c_acctbal AS c, {split_sql('o_orderkey')} AS split
+    FROM orders JOIN customer ON o_custkey = c_custkey),
+  pairs AS (SELECT q.o_orderkey, t.o_orderkey AS neighbour, (q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c) AS d2
+    FROM e q JOIN e t ON q.split = 'test' AND t.split = 'train'),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY round(d2, 9), neighbour) AS r FROM pairs)
+  SELECT o_orderkey, CAST(r AS INTEGER) AS rank, neighbour, round(sqrt(d2), 4) AS distance FROM ranked WHERE r <= 3""",
     "nearest_centroid": f"{_CENTRES} SELECT vec_id, nearest, round(distance, 6) AS distance FROM near WHERE r = 1",
     "balanced_accuracy": f"""{_CENTRES} SELECT split, round(avg(recall), 6) AS score FROM (
         SELECT split, label, avg(CAST(label = nearest AS INTEGER)) AS recall FROM near WHERE r = 1 GROUP BY split, label) GROUP BY split""",

@@ -4,140 +4,126 @@ from __future__ import annotations
 
 from rowloom.cards import REST, DataCard
 from rowloom.plans.recipe import Recipe, Step, cast, clean, codes, log1p, log10, minmax, not_null, rename_map, sanitize
+from rowloom.sources.published import CARDS
 from rowloom.sources.tables import Dataset, Registry
 
 KEY = "row_id"
 TABULAR = "inria-soda/tabular-benchmark"
+TEXT_WORDS = 200  # fixed value: words that the two published text recipes keep
 
+# Places of the published tables; those without a slash are configurations of TABULAR.
+ORIGINS = {
+    "compas": "clf_cat_compas-two-years",
+    "electricity": "clf_cat_electricity",
+    "eye_movements": "clf_cat_eye_movements",
+    "covertype": "clf_num_covertype",
+    "telescope": "clf_num_MagicTelescope",
+    "diabetes": "clf_num_Diabetes130US",
+    "credit": "clf_num_credit",
+    "california": "clf_num_california",
+    "heloc": "clf_num_heloc",
+    "diamonds": "reg_cat_diamonds",
+    "house_sales": "reg_cat_house_sales",
+    "bike_sharing": "reg_num_Bike_Sharing_Demand",
+    "road_safety": "clf_cat_road-safety",
+    "brazilian_houses": "reg_cat_Brazilian_houses",
+    "abalone": "reg_cat_abalone",
+    "supreme": "reg_cat_analcatdata_supreme",
+    "seattle_crime": "reg_cat_seattlecrime6",
+    "superconduct": "reg_num_superconduct",
+    "wine_quality": "reg_num_wine_quality",
+    "medical_charges": "reg_cat_medical_charges",
+    "jannis": "clf_num_jannis",
+    "defaults": "clf_cat_default-of-credit-card-clients",
+    "bioresponse": "clf_num_Bioresponse",
+    "allstate": "reg_cat_Allstate_Claims_Severity",
+    "mercedes": "reg_cat_Mercedes_Benz_Greener_Manufacturing",
+    "sgemm": "reg_cat_SGEMM_GPU_kernel_performance",
+    "topo": "reg_cat_topo_2_1",
+    "ailerons": "reg_num_Ailerons",
+    "miami_housing": "reg_num_MiamiHousing2016",
+    "cpu": "reg_num_cpu_act",
+    "elevators": "reg_num_elevators",
+    "house": "reg_num_house_16H",
+    "houses": "reg_num_houses",
+    "pol": "reg_num_pol",
+    "sulfur": "reg_num_sulfur",
+    "miniboone": "clf_num_MiniBooNE",
+    "bank_marketing": "clf_num_bank-marketing",
+    "yprop": "reg_num_yprop_4_1",
+    "ukair": "reg_cat_particulate-matter-ukair-2017",
+    "albert": "clf_cat_albert",
+    "airlines": "reg_cat_Airlines_DepDelay_1M",
+    "higgs": "clf_num_Higgs",
+    "nyc_taxi": "reg_cat_nyc-taxi-green-dec-2016",
+    "soil": "reg_cat_visualizing_soil",
+    "kickstarter": "james-burton/kick_starter_funding",
+    "clothing": "Censius-AI/ECommerce-Women-Clothing-Reviews",
+    "streetview": "stochastic/random_streetview_images_pano_v0.0.2",
+    "skin_cancer": "marmal88/skin_cancer",
+    "xor_blobs": "generated/xor_blobs",
+}
 
-def _dataset(origin: str, response: str | None, cat=(), num=(REST,), steps: tuple[Step, ...] = (), txt=(), dense=(), presplit=False) -> Dataset:
-    card = DataCard(key=KEY, dense=list(dense), txt=list(txt), cat=list(cat), num=list(num), response=response)
-    return Dataset(card, Recipe(tuple(steps)), presplit, origin if "/" in origin else f"{TABULAR}:{origin}")
-
+# The published preparation steps.
+STEPS: dict[str, tuple[Step, ...]] = {
+    "electricity": (codes("class"),),
+    "covertype": (sanitize(), codes("Y"), minmax("X1", "X2", "X3", "X4", "X5", "X6", "X7", "X8", "X9", "X10")),
+    "telescope": (codes("class"),),
+    "house_sales": (codes("waterfront"),),
+    "road_safety": (
+        log10("Engine_Capacity_(CC)"), minmax("Location_Easting_OSGR", "Location_Northing_OSGR"), codes(*CARDS["road_safety"]["cat"]),
+    ),
+    "brazilian_houses": (
+        log1p("hoa_(BRL)", "rent_amount_(BRL)", "property_tax_(BRL)", "fire_insurance_(BRL)", "total_(BRL)"), codes("area"),
+    ),
+    "wine_quality": (rename_map({
+        "fixed.acidity": "fixed_acidity", "volatile.acidity": "volatile_acidity", "citric.acid": "citric_acid",
+        "residual.sugar": "residual_sugar", "free.sulfur.dioxide": "free_sulfur_dioxide",
+        "total.sulfur.dioxide": "total_sulfur_dioxide",
+    }),),
+    "medical_charges": (log10("Average_Covered_Charges", "Average_Medicare_Payments"),),
+    "defaults": (
+        log1p("x1", "x18", "x19", "x20", "x21", "x22", "x23"), minmax("x12", "x13", "x14", "x15", "x16", "x17"),
+    ),
+    "cpu": (log1p(
+        "lread", "lwrite", "scall", "sread", "swrite", "fork", "exec", "rchar", "wchar", "pgout", "ppgout",
+        "pgfree", "pgscan", "atch", "pgin", "ppgin", "pflt", "vflt", "runqsz", "freemem", "freeswap",
+    ),),
+    "house": (log1p("P1"),),
+    "houses": (log10("total_rooms", "total_bedrooms", "population", "households"),),
+    "miniboone": (codes("signal"), minmax("ParticleID_19")),
+    "bank_marketing": (codes("Class"),),
+    "ukair": (rename_map({
+        "Environment.Type": "Environment_Type",
+        "Altitude..m.": "Altitude_m",
+        "PM.sub.2.5..sub..particulate.matter..Hourly.measured.": "PM_sub_2_5_sub_particulate_matter_Hourly_measured",
+        "PM.sub.10..sub..particulate.matter..Hourly.measured.": "PM_sub_10_sub_particulate_matter_Hourly_measured",
+    }),),
+    "albert": (sanitize(), codes(REST, order="lexical")),
+    "airlines": (
+        sanitize(), codes("Month", "DayofMonth", order="lexical"), minmax("CRSDepTime", "CRSArrTime", "Distance", "DepDelay"),
+    ),
+    "higgs": (sanitize(), codes("target"), minmax(*CARDS["higgs"]["num"])),
+    "nyc_taxi": (sanitize(), codes(*CARDS["nyc_taxi"]["cat"], order="lexical"), minmax(*CARDS["nyc_taxi"]["num"])),
+    "soil": (sanitize(), codes("isns"), minmax("northing", "easting", "resistivity", "track")),
+    "kickstarter": (
+        cast("double", "goal", "deadline", "created_at"), log10("goal"), minmax("goal", "deadline", "created_at", train_only=True),
+        clean("name", "desc", "keywords", max_words=TEXT_WORDS),
+        codes("disable_communication", "country", "currency", train_only=True),
+    ),
+    "clothing": (
+        clean("Title", "Review Text", max_words=TEXT_WORDS),
+        codes("Recommended IND", "Division Name", "Department Name", "Class Name", "Rating"),
+    ),
+    "streetview": (cast("double", "latitude", "longitude"), minmax("latitude", "longitude"), codes("country_iso_alpha2")),
+    "skin_cancer": (not_null("age"), codes("dx", "dx_type", "sex", "localization", train_only=True)),
+}
+PRESPLIT = ("kickstarter", "skin_cancer", "xor_blobs")
 
-def _numbered(prefix: str, numbers) -> list[str]:
-    return [f"{prefix}{i}" for i in numbers]
 
+def _dataset(name: str) -> Dataset:
+    origin = ORIGINS[name]
+    return Dataset(DataCard(key=KEY, **CARDS[name]), Recipe(STEPS.get(name, ())), name in PRESPLIT, origin if "/" in origin else f"{TABULAR}:{origin}")
 
-# Names of variables, responses and steps of the published tables. A star stands for the
-# columns that no other list names.
-ROAD_CATEGORIES = [
-    "Vehicle_Reference_df_res", "Vehicle_Type", "Vehicle_Manoeuvre", "Vehicle_Location-Restricted_Lane",
-    "Hit_Object_in_Carriageway", "Hit_Object_off_Carriageway", "Was_Vehicle_Left_Hand_Drive?", "Propulsion_Code",
-    "Local_Authority_(District)", "Urban_or_Rural_Area", "Vehicle_Reference_df", "Casualty_Reference",
-    "Sex_of_Casualty", "Pedestrian_Location", "Pedestrian_Movement", "Casualty_Type", "SexofDriver",
-]
-ROAD_NUMBERS = [
-    "Age_of_Driver", "Age_Band_of_Driver", "Engine_Capacity_(CC)", "Age_of_Vehicle", "Longitude", "Latitude",
-    "Police_Force", "Number_of_Vehicles", "Age_of_Casualty", "Age_Band_of_Casualty", "Casualty_IMD_Decile",
-]
-TRIP_PARTS = [f"lpep_{end}_datetime_{part}" for end in ("pickup", "dropoff") for part in ("day", "hour", "minute")]
-TAXI_CATEGORIES = ["VendorID", "store_and_fwd_flag", "RatecodeID", "extra", "mta_tax", "improvement_surcharge", "trip_type", *TRIP_PARTS]
-TAXI_NUMBERS = ["passenger_count", "tolls_amount", "total_amount", "tip_amount"]
-CPU_COUNTERS = [
-    "lread", "lwrite", "scall", "sread", "swrite", "fork", "exec", "rchar", "wchar", "pgout", "ppgout",
-    "pgfree", "pgscan", "atch", "pgin", "ppgin", "pflt", "vflt", "runqsz", "freemem", "freeswap",
-]
-HIGGS_NUMBERS = [
-    "lepton_pT", "lepton_eta", "lepton_phi", "missing_energy_magnitude", "missing_energy_phi",
-    *[f"jet_{i}_{part}" for i in range(1, 5) for part in ("pt", "eta", "phi")],
-    "m_jj", "m_jjj", "m_lv", "m_jlv", "m_bb", "m_wbb", "m_wwbb",
-]
-SPACED_WINE = ["fixed acidity", "volatile acidity", "citric acid", "residual sugar", "free sulfur dioxide", "total sulfur dioxide"]
-HOUSE_MONEY = ["hoa_(BRL)", "rent_amount_(BRL)", "property_tax_(BRL)", "fire_insurance_(BRL)", "total_(BRL)"]
-PARTICLES = "PM.sub.{0}..sub..particulate.matter..Hourly.measured."
-PARTICLES_CLEAN = "PM_sub_{0}_sub_particulate_matter_Hourly_measured"
-AIR_NAMES = {
-    "Environment.Type": "Environment_Type",
-    "Altitude..m.": "Altitude_m",
-    PARTICLES.format("2.5"): PARTICLES_CLEAN.format("2_5"),
-    PARTICLES.format("10"): PARTICLES_CLEAN.format("10"),
-}
-CLOTHING_CATEGORIES = ["Recommended IND", "Division Name", "Department Name", "Class Name", "Rating"]
-KICKSTARTER_NUMBERS = ["goal", "deadline", "created_at"]
-SKIN_CATEGORIES = ["dx", "dx_type", "sex", "localization"]
 
-DATASETS = Registry({
-    "compas": _dataset("clf_cat_compas-two-years", "twoyearrecid", [REST], ["age", "juv_misd_count", "priors_count"]),
-    "electricity": _dataset("clf_cat_electricity", "class", ["day", "class"], steps=(codes("class"),)),
-    "eye_movements": _dataset("clf_cat_eye_movements", "label", ["P1stFixation", "P2stFixation", "nextWordRegress", "label"]),
-    "covertype": _dataset("clf_num_covertype", "Y", ["Y"], _numbered("X", range(1, 11)),
-                          (sanitize(), codes("Y"), minmax(*_numbered("X", range(1, 11))))),
-    "telescope": _dataset("clf_num_MagicTelescope", "class", ["class"], steps=(codes("class"),)),
-    "diabetes": _dataset("clf_num_Diabetes130US", "readmitted", ["readmitted"]),
-    "credit": _dataset("clf_num_credit", "SeriousDlqin2yrs", ["SeriousDlqin2yrs"]),
-    "california": _dataset("clf_num_california", "price_above_median", ["price_above_median"]),
-    "heloc": _dataset("clf_num_heloc", "RiskPerformance", ["RiskPerformance"]),
-    "diamonds": _dataset("reg_cat_diamonds", "price", ["cut", "color"],
-                         ["carat", "clarity", "depth", "table", "x", "y", "z", "price"]),
-    "house_sales": _dataset("reg_cat_house_sales", "price", ["waterfront"],
-                            ["bedrooms", "bathrooms", "sqft_living", "sqft_lot", "grade", "sqft_above", "sqft_basement",
-                             "yr_built", "lat", "long", "sqft_living15", "price"], (codes("waterfront"),)),
-    "bike_sharing": _dataset("reg_num_Bike_Sharing_Demand", "count", ["month", "hour"],
-                             ["temp", "feel_temp", "humidity", "windspeed", "count"]),
-    "road_safety": _dataset("clf_cat_road-safety", "SexofDriver", ROAD_CATEGORIES, ROAD_NUMBERS,
-                            (log10("Engine_Capacity_(CC)"), minmax("Location_Easting_OSGR", "Location_Northing_OSGR"),
-                             codes(*ROAD_CATEGORIES))),
-    "brazilian_houses": _dataset("reg_cat_Brazilian_houses", "total_(BRL)", ["city", "area", "animal", "furniture"],
-                                 ["rooms", "bathroom", "parking_spaces", *HOUSE_MONEY], (log1p(*HOUSE_MONEY), codes("area"))),
-    "abalone": _dataset("reg_cat_abalone", "Classnumberofrings", ["Sex"]),
-    "supreme": _dataset("reg_cat_analcatdata_supreme", "Log_exposure", [REST],
-                        ["Actions_taken", "Year_of_decision", "Log_exposure"]),
-    "seattle_crime": _dataset("reg_cat_seattlecrime6", "ReportedTime", ["Precinct", "Sector", "Occurred_hour", "Occurred_min"],
-                              ["ReportedTime"]),
-    "superconduct": _dataset("reg_num_superconduct", "criticaltemp"),
-    "wine_quality": _dataset("reg_num_wine_quality", "quality", steps=(
-        rename_map({n.replace(" ", "."): n.replace(" ", "_") for n in SPACED_WINE}),)),
-    "medical_charges": _dataset("reg_cat_medical_charges", "AverageTotalPayments",
-                                num=["Total_Discharges", "Average_Covered_Charges", "Average_Medicare_Payments", "AverageTotalPayments"],
-                                steps=(log10("Average_Covered_Charges", "Average_Medicare_Payments"),)),
-    "jannis": _dataset("clf_num_jannis", "class", ["class"]),
-    "defaults": _dataset("clf_cat_default-of-credit-card-clients", "y", ["x2", "y"],
-                         _numbered("x", [1, *range(5, 24)]),
-                         (log1p(*_numbered("x", [1, *range(18, 24)])), minmax(*_numbered("x", range(12, 18))))),
-    "bioresponse": _dataset("clf_num_Bioresponse", "target", ["target"]),
-    "allstate": _dataset("reg_cat_Allstate_Claims_Severity", "loss", ["cat*"], ["cont*", "loss"]),
-    "mercedes": _dataset("reg_cat_Mercedes_Benz_Greener_Manufacturing", "y", [REST], ["y"]),
-    "sgemm": _dataset("reg_cat_SGEMM_GPU_kernel_performance", "Run1", ["KWG", "KWI", "STRM", "STRN", "SA", "SB"],
-                      ["Run2", "Run3", "Run4", "Run1"]),
-    "topo": _dataset("reg_cat_topo_2_1", "oz267", ["oz265", "oz260", "oz256"]),
-    "ailerons": _dataset("reg_num_Ailerons", "goal"),
-    "miami_housing": _dataset("reg_num_MiamiHousing2016", "SALEPRC"),
-    "cpu": _dataset("reg_num_cpu_act", "usr", num=[*CPU_COUNTERS, "usr"], steps=(log1p(*CPU_COUNTERS),)),
-    "elevators": _dataset("reg_num_elevators", "Goal"),
-    "house": _dataset("reg_num_house_16H", "price", steps=(log1p("P1"),)),
-    "houses": _dataset("reg_num_houses", "medianhousevalue", steps=(log10("total_rooms", "total_bedrooms", "population", "households"),)),
-    "pol": _dataset("reg_num_pol", "foo"),
-    "sulfur": _dataset("reg_num_sulfur", "y1"),
-    "miniboone": _dataset("clf_num_MiniBooNE", "signal", ["signal"], steps=(codes("signal"), minmax("ParticleID_19"))),
-    "bank_marketing": _dataset("clf_num_bank-marketing", "Class", ["Class"], _numbered("V", [1, 6, 10, 12, 13, 14, 15]), (codes("Class"),)),
-    "yprop": _dataset("reg_num_yprop_4_1", "oz252"),
-    "ukair": _dataset("reg_cat_particulate-matter-ukair-2017", PARTICLES_CLEAN.format("10"),
-                      ["Hour", "Month", "DayofWeek", "Environment_Type"], ["Altitude_m", "PM_sub_*"], (rename_map(AIR_NAMES),)),
-    "albert": _dataset("clf_cat_albert", "class", [REST], [], (sanitize(), codes(REST, order="lexical"))),
-    "airlines": _dataset("reg_cat_Airlines_DepDelay_1M", "DepDelay", ["Month", "DayofMonth"],
-                         ["CRSDepTime", "CRSArrTime", "Distance", "DepDelay"],
-                         (sanitize(), codes("Month", "DayofMonth", order="lexical"),
-                          minmax("CRSDepTime", "CRSArrTime", "Distance", "DepDelay"))),
-    "higgs": _dataset("clf_num_Higgs", "target", ["target"], HIGGS_NUMBERS, (sanitize(), codes("target"), minmax(*HIGGS_NUMBERS))),
-    "nyc_taxi": _dataset("reg_cat_nyc-taxi-green-dec-2016", "tip_amount", TAXI_CATEGORIES, TAXI_NUMBERS,
-                         (sanitize(), codes(*TAXI_CATEGORIES, order="lexical"), minmax(*TAXI_NUMBERS))),
-    "soil": _dataset("reg_cat_visualizing_soil", "track", ["isns"], ["northing", "easting", "resistivity", "track"],
-                     (sanitize(), codes("isns"), minmax("northing", "easting", "resistivity", "track"))),
-    "kickstarter": _dataset("james-burton/kick_starter_funding", "final_status",
-                            ["disable_communication", "country", "currency", "final_status"], KICKSTARTER_NUMBERS,
-                            (cast("double", *KICKSTARTER_NUMBERS), log10("goal"), minmax(*KICKSTARTER_NUMBERS, train_only=True),
-                             clean("name", "desc", "keywords"),
-                             codes("disable_communication", "country", "currency", train_only=True)),
-                            txt=["name", "desc", "keywords"], presplit=True),
-    "clothing": _dataset("Censius-AI/ECommerce-Women-Clothing-Reviews", "Rating", CLOTHING_CATEGORIES,
-                         ["Age", "Positive Feedback Count"],
-                         (clean("Title", "Review Text"), codes(*CLOTHING_CATEGORIES)), txt=["Title", "Review Text"]),
-    "streetview": _dataset("stochastic/random_streetview_images_pano_v0.0.2", "country_iso_alpha2", ["country_iso_alpha2"],
-                           ["latitude", "longitude"],
-                           (cast("double", "latitude", "longitude"), minmax("latitude", "longitude"), codes("country_iso_alpha2")),
-                           dense=["image"]),
-    "skin_cancer": _dataset("marmal88/skin_cancer", "dx", SKIN_CATEGORIES, ["age"],
-                            (not_null("age"), codes(*SKIN_CATEGORIES, train_only=True)), dense=["image"], presplit=True),
-    "xor_blobs": _dataset("generated/xor_blobs", None, ["c"], ["x", "y"], presplit=True),
-})
+DATASETS = Registry({name: _dataset(name) for name in ORIGINS})

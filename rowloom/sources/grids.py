@@ -36,7 +36,11 @@ class RunGrid:
 ALL_METHODS = ("CONTROL", "SCARF", "SUBTAB", "CLIP", "GMC", "MCN", "ANCHOR")
 WIDE_METHODS = ("CONTROL", "SCARF", "SUBTAB", "GMC", "ANCHOR")
 ELEVEN_RATES = (0.0001, 0.0002, 0.0003, 0.0005, 0.0007, 0.001, 0.002, 0.003, 0.005, 0.007, 0.01)
-NINE_RATES = tuple(round(10 ** (-4 + i / 4), 16) for i in range(9))
+NINE_RATES = (
+    0.0001, 0.0001778279410038, 0.0003162277660168, 0.0005623413251903, 0.001, 0.0017782794100389, 0.0031622776601683,
+    0.0056234132519034, 0.01,
+)
+ALLSTATE_RATES = (0.0001, 0.00017783, 0.00031623, 0.00056234, 0.001, 0.00177828, 0.00316228, 0.00562341, 0.01)
 SIX_RATES = (0.00025, 0.0005, 0.00075, 0.001, 0.0025, 0.005)
 IMAGE_RATES = (0.0001, *SIX_RATES, 0.0075, 0.01)
 
@@ -60,7 +64,7 @@ SPECIAL = {
     "miniboone": replace(WIDE, latent_dims=(16, 32, 64)),
     "yprop": replace(WIDE, latent_dims=(16, 32, 64)),
     "ukair": LARGE,
-    "allstate": replace(LARGEST, batch_sizes=(2048,), methods=WIDE_METHODS),
+    "allstate": replace(LARGEST, batch_sizes=(2048,), learning_rates=ALLSTATE_RATES, methods=WIDE_METHODS),
     "albert": replace(LARGEST, batch_sizes=(2048,), methods=WIDE_METHODS),
     "airlines": LARGEST,
     "covertype": LARGEST,

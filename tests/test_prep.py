@@ -127,7 +127,7 @@ def test_assembled_names_follow_the_vector(mixed):
 def test_clean_text(mixed):
     cleaned = values(mixed.withColumn("t", clean_text("t")), "t")
     assert cleaned[1] == "" and cleaned[2] == "x y" and cleaned[3] == "Don t stop"
-    long = mixed.withColumn("t", clean_text(F.repeat(F.lit("w "), 300)))
+    long = mixed.withColumn("t", clean_text(F.repeat(F.lit("w "), 300), max_words=200))
     assert len(values(long, "t")[1].split()) == 200
 
 
