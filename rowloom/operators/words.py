@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -23,7 +24,9 @@ from rowloom.session import ensure_checkpoint_dir
 
 COMPONENTS = 10  # fixed value: components kept for text and dense variables
 OVERSAMPLE = 8
-PASSES = 4
+#: Passes go on until C l differs from its multiple of l by this part of the greatest eigenvalue, for every component.
+TOLERANCE = 1e-4
+MAX_PASSES = 1000
 CHUNK_TERMS = 8192
 MAX_BASIS_BYTES = 1 << 29
 MAX_BROADCAST_TERMS = 250_000
@@ -56,13 +59,14 @@ class TextComponents:
         text: str,
         width: int = COMPONENTS,
         seed: int = 0,
-        passes: int = PASSES,
+        tolerance: float = TOLERANCE,
         max_basis_bytes: int = MAX_BASIS_BYTES,
     ) -> "TextComponents":
         """Subspace iteration on the centred count matrix of the train rows, over the whole vocabulary.
 
         Counts stay on the executors. While the basis (terms by a few columns) is small enough it is broadcast
-        and each pass returns per-task sums in term chunks; a larger basis is a table and each pass is two joins.
+        and each pass returns per-task sums of the term chunks that the task met; a larger basis is a table and each
+        pass is two joins. Both start from the same basis and stop by the same residual.
         """
         train = df.filter(F.col("split") == "train")
         cells = cached(token_cells(train, key, text))
@@ -70,16 +74,23 @@ class TextComponents:
         n_terms, n_docs = words.count(), train.count()
         k = min(width + OVERSAMPLE, n_terms, max(1, n_docs))
         if n_terms * k * 8 > max_basis_bytes:
-            return _fit_by_joins(cls, cells, key, words, n_terms, n_docs, k, width, passes)
+            return _fit_by_joins(cls, cells, key, words, n_terms, n_docs, k, width, tolerance, seed)
         numbered = compact(_numbered_terms(words), rows_per_partition=65_536)
         docs = compact(_counts(cells, key, numbered, n_terms), rows_per_partition=512)
         mean = _term_means(numbered, n_docs)
-        basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, k)))[0]
-        for _ in range(passes):
-            basis = np.linalg.qr(_gram_product(docs, basis, mean))[0]
-        product = _gram_product(docs, basis, mean)
-        _, turn = np.linalg.eigh(basis.T @ product)
-        loadings = basis @ turn[:, ::-1][:, :width]
+        first = numbered.select("term", _start(k, seed).alias("b")).toArrow()
+        basis = np.zeros((n_terms, k))
+        basis[first.column("term").to_numpy()] = matrix(first.column("b"))
+        basis = np.linalg.qr(basis)[0]
+        for _ in range(MAX_PASSES):
+            product = _gram_product(docs, basis, mean)
+            turn, done = _ritz(basis.T @ product, product.T @ product, width, tolerance)
+            if done:
+                break
+            basis = np.linalg.qr(product)[0]
+        else:
+            raise RuntimeError(f"text components did not settle in {MAX_PASSES} passes")
+        loadings = basis @ turn[:, :width]
         loadings = loadings * np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
         docs.unpersist()
         cells.unpersist()
@@ -108,6 +119,20 @@ def _numbered_terms(words: DataFrame) -> DataFrame:
     return rank_levels(cached(levels)).select(F.col("level").alias("token"), "n", F.col("code").cast("int").alias("term"))
 
 
+def _start(k: int, seed: int):
+    """A first basis from token hashes, the same wherever the basis is kept."""
+    return F.array(*[F.xxhash64("token", F.lit(seed * k + i)) / float(1 << 63) for i in range(k)])
+
+
+def _ritz(inner: np.ndarray, squares: np.ndarray, width: int, tolerance: float) -> tuple[np.ndarray, bool]:
+    """Eigenvectors of B'CB, greatest first, and whether the residuals of the first ``width`` are small: for an
+    orthonormal basis B they follow from B'CB and (CB)'(CB)."""
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    values, turn = values[::-1], turn[:, ::-1]
+    left = np.maximum(((squares @ turn) * turn).sum(axis=0) - values**2, 0.0)[:width]
+    return turn, bool(np.sqrt(left).max(initial=0.0) <= tolerance * max(abs(values[0]), 1e-300)) if len(values) else True
+
+
 def _counts(cells: DataFrame, key: str, numbered: DataFrame, n_terms: int) -> DataFrame:
     return (
         lookup_join(cells, numbered.select("token", "term"), ["token"], how="inner", table_rows=n_terms)
@@ -160,15 +185,24 @@ def _gram_product(docs: DataFrame, basis: np.ndarray, mean: np.ndarray) -> np.nd
         if seen:
             for i, at in enumerate(range(0, len(sums), CHUNK_TERMS)):
                 cells = sums[at : at + CHUNK_TERMS].reshape(1, -1)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), vector_array(cells)], ["chunk", "sums"])
+                if cells.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), vector_array(cells)], ["chunk", "sums"])
 
     def add(states: pa.Table) -> pa.Table:
-        return pa.table({"chunk": states.column("chunk").slice(0, 1), "sums": vector_array(matrix(states.column("sums")).sum(axis=0)[None, :])})
-
-    schema = "chunk int, sums array<double>"
-    parts = docs.mapInArrow(work, schema).groupBy("chunk").applyInArrow(add, schema).toArrow().sort_by("chunk")
+        keys = {name: states.column(name).slice(0, 1) for name in states.column_names if name != "sums"}
+        return pa.table({**keys, "sums": vector_array(matrix(states.column("sums")).sum(axis=0)[None, :])})
+
+    # two levels, so that no task adds the sums of all tasks
+    parts = docs.mapInArrow(work, "chunk int, sums array<double>")
+    fan = math.ceil(docs.rdd.getNumPartitions() ** 0.5)
+    parts = parts.withColumn("fan", (F.spark_partition_id() % fan).cast("int")).select("chunk", "fan", "sums")
+    parts = parts.groupBy("chunk", "fan").applyInArrow(add, "chunk int, fan int, sums array<double>").drop("fan")
+    found = parts.groupBy("chunk").applyInArrow(add, "chunk int, sums array<double>").toArrow()
     shared.unpersist()
-    return np.concatenate([matrix(parts.column("sums").slice(i, 1)).reshape(-1, width) for i in range(len(parts))])
+    total = np.zeros_like(basis)
+    for i, chunk in enumerate(found.column("chunk").to_pylist()):
+        total[chunk * CHUNK_TERMS : (chunk + 1) * CHUNK_TERMS] = matrix(found.column("sums").slice(i, 1)).reshape(-1, width)
+    return total
 
 
 def _turned(columns: str, turn: np.ndarray):
@@ -184,11 +218,10 @@ def _products(table: DataFrame, left: str, right: str, k: int) -> np.ndarray:
     return np.array(list(table.agg(*cells).first())).reshape(k, k)
 
 
-def _fit_by_joins(cls, cells: DataFrame, key: str, words: DataFrame, n_terms: int, n_docs: int, k: int, width: int, passes: int):
+def _fit_by_joins(cls, cells: DataFrame, key: str, words: DataFrame, n_terms: int, n_docs: int, k: int, width: int, tolerance: float, seed: int):
     """The same iteration with the basis as a table (token, mean, b) and every pass as joins and partial sums."""
     ensure_checkpoint_dir(cells.sparkSession)
-    start = F.array(*[F.xxhash64("token", F.lit(i)) / float(1 << 63) for i in range(k)])
-    basis = words.select("token", (F.col("n") / n_docs).alias("mean"), start.alias("b"))
+    basis = words.select("token", (F.col("n") / n_docs).alias("mean"), _start(k, seed).alias("b"))
 
     def orthonormal(table: DataFrame) -> DataFrame:
         root = np.linalg.cholesky(_products(table, "b", "b", k))
@@ -204,12 +237,15 @@ def _fit_by_joins(cls, cells: DataFrame, key: str, words: DataFrame, n_terms: in
         return table.join(sums, "token").select("token", "mean", "b", F.array(*[f"q{i}" for i in range(k)]).alias("p"))
 
     basis = orthonormal(basis)
-    for _ in range(passes):
-        basis = orthonormal(multiplied(basis).select("token", "mean", F.col("p").alias("b")))
-    final = multiplied(basis).checkpoint()
-    inner = _products(final, "b", "p", k)
-    _, turn = np.linalg.eigh((inner + inner.T) / 2)
-    loadings = final.select("token", "mean", _turned("b", turn[:, ::-1][:, :width]).alias("l"))
+    for _ in range(MAX_PASSES):
+        final = multiplied(basis).checkpoint()
+        turn, done = _ritz(_products(final, "b", "p", k), _products(final, "p", "p", k), width, tolerance)
+        if done:
+            break
+        basis = orthonormal(final.select("token", "mean", F.col("p").alias("b")))
+    else:
+        raise RuntimeError(f"text components did not settle in {MAX_PASSES} passes")
+    loadings = final.select("token", "mean", _turned("b", turn[:, :width]).alias("l"))
     kept = min(width, k)
     tops = loadings.agg(
         *[F.max_by(F.col("l")[i], F.abs(F.col("l")[i])).alias(f"t{i}") for i in range(kept)],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ ROUNDS, DEPTH, STEP = 100, 6, 0.3
 
 
 def tree_baseline(df: DataFrame, card: DataCard, rounds: int = ROUNDS, depth: int = DEPTH, step: float = STEP, seed: int = 0) -> DataFrame:
-    """(split, score) of boosted trees fitted on all train rows; a forest where there are more than two classes."""
+    """(split, score) of boosted trees fitted on all train rows; one model against the rest for each of more than two classes."""
     sparse = one_hot_sparse(df, card.cat_features, card.num_features)
     response = card.response
     if card.task == "regression":
@@ -29,10 +29,9 @@ def tree_baseline(df: DataFrame, card: DataCard, rounds: int = ROUNDS, depth: in
         coded = LevelCodes.fit(sparse.select("split", response, "features"), [response], order="numeric", train_only=True, unseen="keep")
         data = coded.transform(sparse.select("split", response, "features"))
         data = data.select("split", "features", F.col(response).cast("double").alias("target"))
-        if coded.sizes[response] <= 2:
-            model = GBTClassifier(labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
-        else:
-            model = RandomForestClassifier(labelCol="target", numTrees=rounds, maxDepth=depth, seed=seed)
+        model = GBTClassifier(labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
+        if coded.sizes[response] > 2:
+            model = OneVsRest(classifier=model, labelCol="target")
     data = cached(data)
     fitted = model.fit(data.filter(F.col("split") == "train"))
     scored = fitted.transform(data.filter(F.col("split") != "train"))

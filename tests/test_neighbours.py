@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowloom.functions.vectors import squared_distances
-from rowloom.operators.cluster import assign_nearest, centroids, kmeans_sweep, silhouette_score, silhouettes
+from rowloom.operators.cluster import assign_nearest, centroids, kmeans_sweep, nearest_rows, silhouette_score, silhouettes
 from rowloom.operators.knn import choose_k, knn_join, knn_sweep, means, nearest, votes
 from rowloom.operators.metrics import balanced_accuracy, imputation_scores, rounded_labels
 
@@ -142,3 +142,26 @@ def test_imputation_scope(spark):
     mean = {r["variable"]: r["score"] for r in imputation_scores(df).collect()}
     last = {r["variable"]: r["score"] for r in imputation_scores(df, scope="last_batch").collect()}
     assert mean == {"k": 0.5, "x": 2.0} and last == {"k": 0.0, "x": 0.0}
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e9])
+def test_neighbours_are_exact_far_from_zero(offset):
+    rng = np.random.default_rng(3)
+    points = offset + np.round(rng.random((300, 3)) * 50, 2)
+    queries = offset + np.round(rng.random((80, 3)) * 50, 2)
+    direct = ((queries[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
+    wanted = np.lexsort((np.broadcast_to(np.arange(300), direct.shape), np.round(direct, 9)), axis=1)[:, :5]
+    assert (nearest(queries, points, 5)[0] == wanted).all()
+    assert (nearest_rows(queries, points) == wanted[:, 0]).all()
+
+
+def test_string_keys_and_many_centroids(spark, monkeypatch):
+    from rowloom.operators import cluster
+
+    df = spark.createDataFrame([(f"k{i}", [float(i), 0.0]) for i in range(30)], "id string, v array<double>")
+    near = knn_join(df, df, "id", "id", "v", k=2).collect()
+    assert all(r["neighbours"][0]["key"] == r["id"] for r in near)
+    centres = spark.createDataFrame([(i, [3.0 * i, 0.0]) for i in range(10)], "label int, centroid array<double>")
+    plain = {r["id"]: (r["nearest"], r["distance"]) for r in cluster.assign_nearest(df, centres, "v", "label").collect()}
+    monkeypatch.setattr(cluster, "MAX_CENTROID_BYTES", 0)
+    assert {r["id"]: (r["nearest"], r["distance"]) for r in cluster.assign_nearest(df, centres, "v", "label").collect()} == plain

@@ -199,6 +199,28 @@ def test_registry_names_every_dataset():
         DATASETS["no such table"]
 
 
+def test_every_card_lists_its_variables_and_levels():
+    """Counts of the profile table; three wide tables leave one list to the table itself."""
+    for name in DATASETS:
+        card = DATASETS[name].card
+        assert card.response is None or card.response in card.variables, name
+        if REST not in card.variables:
+            assert len(set(card.variables)) == sum(card.counts().values()), name
+            assert not card.cat or set(card.levels) == set(card.cat), name
+    assert {n for n in DATASETS if REST in DATASETS[n].card.variables} == {"mercedes", "bioresponse", "topo"}
+    assert DATASETS["clothing"].card.levels["Division Name"] == 4 and DATASETS["compas"].card.counts() == {"num": 3, "cat": 9, "txt": 0, "dense": 0}
+
+
+def test_null_is_the_last_level(spark):
+    rows = [(i, [None, "General", "Petite"][i % 3], float(i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "id long, `Division Name` string, v double")
+    fitted = Recipe((codes("Division Name"),)).apply(df).collect()
+    assert {r["id"] % 3: r["Division Name"] for r in fitted} == {0: 2, 1: 0, 2: 1}
+    without = LevelCodes.fit(df.filter("id % 3 > 0"), ["Division Name"], null_level=True)
+    with pytest.raises(Exception, match="without a code"):
+        without.transform(df).collect()
+
+
 def test_registered_recipe_prepares_a_table(spark):
     rows = [(i, f"{i % 2 + 1}", f"{i % 3}", 100.0 * i, 5.0, 700.0 + i, float(i)) for i in range(60)]
     names = "row_id long, Month string, DayofMonth string, CRSDepTime double, CRSArrTime double, Distance double, DepDelay double"
