@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,14 @@ SLACK = 2
 #: The machine is trained on at most so many labelled documents of each class, taken by key hash.
 TOXIC, CLEAN = 4_000, 8_000
 GRAM_SIZES = (4, 5, 6)
+#: Standard errors by which a landmark must be more frequent in toxic documents.
+CLEAR = 4
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 CLEANED = re.compile(r"[\W_]+")
 #: Three or more single letters with blanks or marks between them: a word spelled out.
 SPELLED = re.compile(r"(?<!\w)\w(?:[\s.\-_*]+\w(?!\w)){2,}")
+#: Windows compared at a time.
+WINDOWS = 20_000
 #: Words a worker remembers; then it starts afresh. Longer words are met in pieces.
 REMEMBERED, LONGEST = 1_500_000, 32
 THRESHOLD = 0.3
@@ -94,8 +99,8 @@ def strength(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Kernel of words with landmarks (words x landmarks), 0 to 1: the best window of the word, both sides normalised,
     to the power POWER.
 
-    It is 0 where more than one of the landmark's letters, or more than two of its neighbouring pairs (with up to SLACK
-    characters inserted), are missing, so most words cost two bit tests.
+    It is 0 where more than one of the landmark's letters, or more than a third of its neighbouring pairs (with up to
+    SLACK characters inserted), are missing, so most words cost two bit tests.
     """
     out = np.zeros((len(words), len(landmarks)), np.float32)
     pieces, owner = [], []
@@ -107,25 +112,41 @@ def strength(words: list[str], landmarks: list[str]) -> np.ndarray:
     rows = codes(pieces, LONGEST)
     letters, pairs = masks(rows, SLACK + 1)
     padded = np.hstack([rows, np.full((len(rows), LONGEST), -1, np.int32)])
+    by_length: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
     for k, landmark in enumerate(landmarks):
         mark = codes([landmark], len(landmark))
         (need_letters,), (need_pairs,) = masks(mark, 1)
-        near = np.flatnonzero((np.bitwise_count(need_letters & ~letters) <= 1) & (np.bitwise_count(need_pairs & ~pairs) <= 2))
-        if not near.size:
-            continue
+        missing = np.bitwise_count(need_pairs & ~pairs)
+        near = np.flatnonzero((np.bitwise_count(need_letters & ~letters) <= 1) & (missing <= (len(landmark) - 1) // 3))
         # the best window starts at the landmark's first letter, or at its second if the first is missing
-        begins = np.isin(rows[near], mark[0, :2])
-        at, start = np.nonzero(begins)
-        windows = np.lib.stride_tricks.sliding_window_view(padded, len(landmark) + SLACK, axis=1)
-        itself = subsequence_kernel(mark, mark)[0]
-        for first in range(0, len(at), 20_000):
-            chosen = near[at[first:first + 20_000]]
-            texts = windows[chosen, start[first:first + 20_000]]
-            value = subsequence_kernel(mark, texts) / np.sqrt(itself * np.maximum(subsequence_kernel(texts, texts), 1e-12))
-            np.maximum.at(out[:, k], own[chosen], np.where(value >= MEETS, value ** POWER, 0).astype(np.float32))
+        at, start = np.nonzero(np.isin(rows[near], mark[0, :2]))
+        by_length.setdefault(len(landmark), []).append((np.full(len(at), k), near[at], start))
+    for length, found in by_length.items():
+        kind, piece, start = (np.concatenate(c) for c in zip(*found))
+        windows = np.lib.stride_tricks.sliding_window_view(padded, length + SLACK, axis=1)
+        marks = codes([m if len(m) == length else "" for m in landmarks], length)
+        norms = subsequence_kernel(marks, marks)
+        for first in range(0, len(kind), WINDOWS):
+            k, at = kind[first:first + WINDOWS], piece[first:first + WINDOWS]
+            texts = windows[at, start[first:first + WINDOWS]]
+            cross = subsequence_kernel(marks[k], texts)
+            # a text's own kernel is at least that of as many different letters, so few need theirs
+            sizes = (texts >= 0).sum(axis=1)
+            near = np.flatnonzero(cross >= MEETS * np.sqrt(norms[k] * least_norms(length + SLACK)[sizes]))
+            if near.size:
+                texts, k, at = texts[near], k[near], at[near]
+                value = cross[near] / np.sqrt(norms[k] * subsequence_kernel(texts, texts))
+                np.maximum.at(out, (own[at], k), np.where(value >= MEETS, value ** POWER, 0).astype(np.float32))
     return out
 
 
+@lru_cache
+def least_norms(most: int) -> np.ndarray:
+    """The kernel of a text of 0 to ``most`` different letters with itself."""
+    texts = np.where(np.arange(most) < np.arange(most + 1)[:, None], np.arange(most), -1)
+    return np.maximum(subsequence_kernel(texts, texts), 1e-12)
+
+
 @dataclass
 class Machine:
     landmarks: list[str]
@@ -183,7 +204,7 @@ class Meter:
         return out
 
 
-def in_groups(texts: list[str | None], size: int = 1_000_000) -> Iterator[list[str]]:
+def in_groups(texts: list[str | None], size: int = 4_000_000) -> Iterator[list[str]]:
     group, total = [], 0
     for text in texts:
         group.append(text or "")
@@ -219,9 +240,11 @@ def pick_landmarks(train: DataFrame, count: int = LANDMARKS) -> list[str]:
     )
     t, c = (F.col("t") + 0.5) / (bad + 1), (F.col("c") + 0.5) / (good + 1)
     worth = ((t - c) * F.log(t / c)).alias("worth")
-    found = table.filter(F.col("t") >= max(2, bad // 500)).select("gram", worth, (t > c).alias("more"))
+    pooled = (F.col("t") + F.col("c") + 1.0) / (bad + good + 2)
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / (bad + 1) + 1 / (good + 1)))
+    found = table.filter(F.col("t") >= 2).filter(t - c >= CLEAR * spread).select("gram", worth)
     out: list[str] = []
-    for gram, _, _ in found.filter("more").orderBy(F.desc("worth"), F.desc(F.length("gram")), "gram").limit(40 * count).collect():
+    for gram, _ in found.orderBy(F.desc("worth"), F.desc(F.length("gram")), "gram").limit(40 * count).collect():
         if len(out) < count and not any(gram in o or o in gram for o in out):
             out.append(gram)
     return out
