@@ -80,7 +80,7 @@ def anchors(hashes: np.ndarray, owner: np.ndarray, starts: np.ndarray, window: i
     for turn, (symbols, first, last) in enumerate(rounds(hashes, owner)):
         a, b = first[starts], last[starts + window - 1]
         inner = a <= b
-        out[inner] = mix(symbols[a[inner]] + np.uint64(turn) * _LONG)
+        out[inner] = mix(symbols[a[inner]] + np.full(1, turn, np.uint64) * _LONG)
         place[inner] = a[inner] * (ROUNDS + 1) + turn
     return out, place
 
