@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 8192
+#: Bytes of vectors in a chunk. Each row is copied once per chunk of the other side, so large chunks mean few copies.
+CHUNK_BYTES = 64 << 20
 
 
-def chunk_count(rows: int, chunk_rows: int = CHUNK_ROWS) -> int:
-    return max(1, math.ceil(rows / chunk_rows))
+def chunk_count(rows: int, width: int, chunk_rows: int | None = None) -> int:
+    return max(1, math.ceil(rows / (chunk_rows or max(1, CHUNK_BYTES // (8 * max(1, width))))))
 
 
 def over_chunk_pairs(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.vectors import distance_error, doubles, matrix, paired_squares, squared_distances
-from rowloom.operators.blocks import CHUNK_ROWS, chunk_count, over_chunk_pairs
+from rowloom.operators.blocks import chunk_count, over_chunk_pairs
 from rowloom.operators.knn import K_VALUES, choose_k, knn_join, nearest
 from rowloom.operators.sampling import cached, compact, subsample
 from rowloom.session import ensure_checkpoint_dir
@@ -78,7 +78,7 @@ def nearest_rows(block: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 def cluster_distance_sums(
     df: DataFrame, key: str, vector: str, clusters: str, group: str | None = None, categories: int = 0,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Sum of Euclidean distances from every row to the members of every cluster, and how many members there are.
 
@@ -87,7 +87,8 @@ def cluster_distance_sums(
     are codes that count as one-hot vectors. Result, hash-partitioned by key:
     (key, group, which, own, cluster, total, n).
     """
-    chunks = chunk_count(df.count(), chunk_rows)
+    size = df.agg(F.count("*"), F.max(F.size(vector))).first()
+    chunks = chunk_count(size[0], size[1] or 0, chunk_rows)
     grouped = F.col(group).cast("string") if group else F.lit("")
     side = df.select(
         F.col(key).alias("_key"), grouped.alias("_group"), doubles(vector).alias("v"), F.col(clusters).cast("array<int>").alias("c")
@@ -142,7 +143,7 @@ def cluster_distance_sums(
 
 def silhouettes(
     df: DataFrame, key: str, vector: str, clusters: str, group: str | None = None, categories: int = 0,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Exact Euclidean silhouette of every row for every clustering: (key, group, which, cluster, silhouette).
 
@@ -169,7 +170,7 @@ def silhouettes(
 
 def silhouette_score(
     df: DataFrame, key: str, vector: str, clusters: str, group: str | None = None, categories: int = 0,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Mean silhouette per group and clustering: (group, which, score)."""
     rows = silhouettes(df, key, vector, clusters, group, categories, chunk_rows)

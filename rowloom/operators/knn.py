@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from rowloom.functions.vectors import distance_error, doubles, matrix, paired_squares, squared_distances
-from rowloom.operators.blocks import CHUNK_ROWS, chunk_count, over_chunk_pairs
+from rowloom.operators.blocks import chunk_count, over_chunk_pairs
 from rowloom.operators.metrics import balanced_accuracy, mse
 from rowloom.operators.sampling import subsample
 
@@ -73,7 +73,7 @@ def knn_join(
     k: int = 10,
     categories: int = 0,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Add ``neighbours`` to ``queries``: the k nearest rows of ``train``, nearest first, as (d2, key, y, distance);
     ``d2`` is the squared distance to nine digits, which decides ties.
@@ -92,7 +92,7 @@ def knn_join(
         raise ValueError("the train side of the kNN join has no rows")
     if rows * (first[0] + 2) * 8 <= max_broadcast_bytes:
         return _broadcast_join(queries, points, vector, k, categories)
-    return _chunked_join(queries, points, query_key, vector, k, categories, rows, chunk_rows)
+    return _chunked_join(queries, points, query_key, vector, k, categories, rows, first[0], chunk_rows)
 
 
 def _sorted_points(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -114,7 +114,7 @@ def _broadcast_join(queries: DataFrame, points: DataFrame, vector: str, k: int,
 
 
 def _chunked_join(
-    queries: DataFrame, points: DataFrame, query_key: str, vector: str, k: int, categories: int, n_points: int, chunk_rows: int
+    queries: DataFrame, points: DataFrame, query_key: str, vector: str, k: int, categories: int, n_points: int, width: int, chunk_rows: int | None
 ) -> DataFrame:
     left = queries.select(F.col(query_key).alias("_q"), doubles(vector).alias("v"))
     key_type = left.schema["_q"].dataType.simpleString()
@@ -129,7 +129,7 @@ def _chunked_join(
         return pa.table({"_q": some.column("_q"), "found": found})
 
     found = over_chunk_pairs(
-        left, points, "_q", "key", chunk_count(queries.count(), chunk_rows), chunk_count(n_points, chunk_rows),
+        left, points, "_q", "key", chunk_count(queries.count(), width, chunk_rows), chunk_count(n_points, width, chunk_rows),
         search, f"_q {key_type}, found {_neighbours(points.schema['key'].dataType.simpleString())}",
     )
     merged = found.groupBy("_q").agg(
