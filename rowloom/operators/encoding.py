@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,17 +173,26 @@ class OneHot:
         return df.withColumn(output, F.concat(*self.blocks()))
 
 
-def one_hot_sparse(df: DataFrame, cat: list[str], num: list[str], output: str = "features") -> DataFrame:
-    """Sparse vectors for wide level sets, fitted on train rows; unseen levels become all zeros."""
-    train = df.filter(F.col("split") == "train")
-    stages = []
+def one_hot_sparse(df: DataFrame, cat: list[str], num: list[str], output: str = "features", missing: str = "zero") -> DataFrame:
+    """Sparse vectors for wide level sets, fitted on train rows; unseen and null levels become all zeros.
+
+    Levels stay in a table; only their number reaches the driver. ``missing`` decides about null numbers: ``zero``
+    fills them, ``drop`` leaves their rows out.
+    """
+    if missing not in ("zero", "drop"):
+        raise ValueError("missing is 'zero' or 'drop'")
+    indexed, coded, filled = ([f"_{kind}_{i}" for i in range(len(names))] for kind, names in (("i", cat), ("v", cat), ("n", num)))
+    if missing == "drop" and num:
+        df = df.dropna(subset=[f"`{c}`" for c in num])
+    work = df.withColumns({n: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for n, c in zip(filled, num)}) if num else df
     if cat:
-        indexed, coded = [f"_i_{i}" for i in range(len(cat))], [f"_v_{i}" for i in range(len(cat))]
-        stages = [
-            StringIndexer(inputCols=cat, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True),
-        ]
-    else:
-        indexed, coded = [], []
-    stages.append(VectorAssembler(inputCols=[*coded, *num], outputCol=output))
-    return Pipeline(stages=stages).fit(train).transform(df).drop(*indexed, *coded)
+        work = work.withColumns({i: F.col(f"`{c}`") for i, c in zip(indexed, cat)})
+        fitted = LevelCodes.fit(work, indexed, order="lexical", train_only=True, unseen="keep")
+        # one value more than there are levels: the code of unseen ones, which the encoder drops
+        sizes = {i: {"ml_attr": {"type": "nominal", "num_vals": fitted.sizes[i] + 1}} for i in indexed}
+        work = fitted.transform(work)
+        work = work.withColumns({i: F.col(i).cast("double") for i in indexed})
+        for i in indexed:
+            work = work.withMetadata(i, sizes[i])
+        work = OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True).fit(work).transform(work)
+    return VectorAssembler(inputCols=[*coded, *filled], outputCol=output).transform(work).drop(*indexed, *coded, *filled)

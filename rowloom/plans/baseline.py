@@ -68,7 +68,7 @@ def coded_features(df: DataFrame, card: DataCard) -> DataFrame:
     """(key, split, features, points, target): category codes before numbers, and the same as sparse one-hot vectors.
 
     Codes stand for one-hot vectors in distances, so wide categories cost no more than narrow ones. Levels that
-    train rows lack get -1, the all-zero vector.
+    train rows lack get -1, the all-zero vector; missing numbers count as 0.
     """
     sparse = one_hot_sparse(df, card.cat_features, card.num_features, output="points")
     coded = sparse
@@ -77,7 +77,7 @@ def coded_features(df: DataFrame, card: DataCard) -> DataFrame:
     if card.task == "classification":
         coded = LevelCodes.fit(df, [card.response], order="numeric", train_only=True, unseen="keep").transform(coded)
     codes = [F.coalesce(F.col(f"`{v}`").cast("double"), F.lit(-1.0)) for v in card.cat_features]
-    numbers = [F.col(f"`{v}`").cast("double") for v in card.num_features]
+    numbers = [F.coalesce(F.col(f"`{v}`").cast("double"), F.lit(0.0)) for v in card.num_features]
     return coded.select(
         card.key, "split", F.array(*codes, *numbers).alias("features"), "points", F.col(f"`{card.response}`").cast("double").alias("target")
     )

@@ -193,6 +193,17 @@ def test_coded_features_mark_unseen_levels(spark):
     assert out[3]["features"] == [-1.0, 4.0] and out[3]["points"].toArray().tolist() == [0.0, 0.0, 4.0]
 
 
+def test_missing_numbers_are_filled_or_dropped(spark):
+    from rowloom.plans.baseline import coded_features
+
+    rows = [(1, "a", 1.0, 0, "train"), (2, "b", None, 1, "train"), (3, None, 3.0, 1, "test")]
+    df = spark.createDataFrame(rows, "id long, k string, v double, y int, split string")
+    full = {r["id"]: r["features"].toArray().tolist() for r in one_hot_sparse(df, ["k"], ["v"]).collect()}
+    assert full == {1: [1.0, 0.0, 1.0], 2: [0.0, 1.0, 0.0], 3: [0.0, 0.0, 3.0]}
+    assert {r["id"] for r in one_hot_sparse(df, ["k"], ["v"], missing="drop").collect()} == {1, 3}
+    assert coded_features(df, DataCard("id", cat=["k", "y"], num=["v"], response="y")).count() == 3
+
+
 def test_registry_names_every_dataset():
     assert len(DATASETS) == 49
     with pytest.raises(KeyError, match="airlines"):
