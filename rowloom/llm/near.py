@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -115,6 +115,20 @@ def full_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     return docs.select("doc", text).mapInArrow(run, "doc long, shingles binary, parity binary")
 
 
+def unlisted(column: pa.ListArray) -> Callable[[int], tuple[np.ndarray, ...]]:
+    """Access to the lists of (rep, group, n_shingles, parity) as arrays, one list at a time and without Python rows."""
+    rep, group, n, bits = column.flatten().flatten()
+    ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+    numbers = [c.to_numpy() for c in (rep, group, n)]
+
+    def side(row: int) -> tuple[np.ndarray, ...]:
+        a, b = ends[row], ends[row + 1]
+        parity = np.frombuffer(b"".join(bits.slice(a, b - a).to_pylist()), np.uint64).reshape(b - a, -1)
+        return (*[c[a:b] for c in numbers], parity)
+
+    return side
+
+
 def possible(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of rows (band, n, rep, group, n_shingles, parity) that share a band, are in different groups, and may
     be a link.
@@ -127,20 +141,19 @@ def possible(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros((0, 2), np.int64)]
-            for one, two, left, right in zip(*[c.to_pylist() for c in batch.columns]):
-                sides = []
-                for side in (left, right):
-                    keys = np.array([(x["rep"], x["group"], x["n_shingles"]) for x in side], np.int64)
-                    sides.append((*keys.T, np.frombuffer(b"".join([x["parity"] for x in side]), np.uint64).reshape(len(side), -1)))
-                (rep_a, group_a, n_a, bits_a), (rep_b, group_b, n_b, bits_b) = sides
+            one, two = (batch.column(i).to_numpy() for i in (0, 1))
+            sides = [unlisted(batch.column(i)) for i in (2, 3)]
+            for row in range(len(one)):
+                (rep_a, group_a, n_a, bits_a), (rep_b, group_b, n_b, bits_b) = (side(row) for side in sides)
                 for i in range(len(rep_a)):
                     near = (group_b != group_a[i]) & (100 * np.minimum(n_b, n_a[i]) >= percent * np.maximum(n_b, n_a[i]))
-                    if one == two:
+                    if one[row] == two[row]:
                         near &= rep_b < rep_a[i]
                     at = np.flatnonzero(near)
                     differ = np.bitwise_count(bits_b[at] ^ bits_a[i]).sum(1, dtype=np.int64)
                     at = at[differ * (100 + percent) <= (n_b[at] + n_a[i]) * (100 - percent)]
-                    found.append(np.stack([np.maximum(rep_b[at], rep_a[i]), np.minimum(rep_b[at], rep_a[i])], axis=1))
+                    if at.size:
+                        found.append(np.stack([np.maximum(rep_b[at], rep_a[i]), np.minimum(rep_b[at], rep_a[i])], axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
