@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rowloom.llm.pretokens import PLAIN, UNSURE_SPACE, PreTokens, pre_tokens
 
 #: Words and pre-tokens that a worker remembers, of up to so many characters each; then it starts afresh.
-WORDS, PARTS, REMEMBERED_CHARS = 400_000, 1_000_000, 40
+WORDS, PARTS, REMEMBERED_CHARS = 300_000, 600_000, 40
 #: Characters of texts encoded together, and the longest pre-tokens whose trees are kept side by side.
 TOGETHER, SIDE_BY_SIDE = 2_000_000, 64
 #: Above every rank and place.
