@@ -19,7 +19,7 @@ LANDMARKS = 160
 #: A document is judged by so many of its worst sentences.
 WORST = 3
 #: Strengths are this power of the kernel, a kernel too; below MEETS they count as 0.
-POWER, MEETS = 4, 0.5
+POWER, MEETS = 4, 0.7
 #: A landmark meets windows of its length and so many inserted characters.
 SLACK = 2
 #: The machine is trained on at most so many labelled documents of each class, taken by key hash.
