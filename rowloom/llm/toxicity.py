@@ -34,14 +34,17 @@ SPELLED = re.compile(r"(?<!\w)\w(?:[\s.\-_*]+\w(?!\w)){2,}")
 #: Windows compared at a time.
 WINDOWS = 20_000
 #: Words a worker remembers; then it starts afresh. Longer words are met in pieces.
-REMEMBERED, LONGEST = 1_500_000, 32
+REMEMBERED, LONGEST = 1_000_000, 32
 THRESHOLD = 0.3
 
 
 def sentence_words(sentence: str) -> list[str]:
     """Lower-cased pieces between blanks, and the spelled-out words."""
     low = sentence.lower()
-    return low.split() + [CLEANED.sub("", m[0]) for m in SPELLED.finditer(low)]
+    words = low.split()
+    if sum([len(w) == 1 for w in words]) < 2:  # marks between letters are taken off later
+        return words
+    return words + [CLEANED.sub("", m[0]) for m in SPELLED.finditer(low)]
 
 
 def sentences(text: str) -> list[str]:
@@ -126,9 +129,12 @@ def strength(words: list[str], landmarks: list[str]) -> np.ndarray:
         windows = np.lib.stride_tricks.sliding_window_view(padded, length + SLACK, axis=1)
         marks = codes([m if len(m) == length else "" for m in landmarks], length)
         norms = subsequence_kernel(marks, marks)
+        needed = masks(marks, 1)[0]
         for first in range(0, len(kind), WINDOWS):
             k, at = kind[first:first + WINDOWS], piece[first:first + WINDOWS]
             texts = windows[at, start[first:first + WINDOWS]]
+            lacking = np.bitwise_count(needed[k] & ~np.bitwise_or.reduce(pair_bits(texts, texts), axis=1))
+            k, at, texts = k[lacking <= 1], at[lacking <= 1], texts[lacking <= 1]
             cross = subsequence_kernel(marks[k], texts)
             # a text's own kernel is at least that of as many different letters, so few need theirs
             sizes = (texts >= 0).sum(axis=1)
@@ -175,17 +181,20 @@ class Meter:
         self.landmarks = landmarks
         self.seen: set[str] = set()
         self.hits: dict[str, np.ndarray] = {}
+        self.met: set[str] = set()
 
     def learn(self, words: set[str]) -> None:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
             self.hits.clear()
+            self.met.clear()
         fresh = [w for w in words if w not in self.seen]
         if not fresh:
             return
         found = strength([CLEANED.sub("", w) for w in fresh], self.landmarks)
         for i in np.flatnonzero(found.any(axis=1)).tolist():
             self.hits[fresh[i]] = found[i]
+            self.met.add(fresh[i])
         self.seen.update(fresh)
 
     def features(self, texts: list[str]) -> list[np.ndarray]:
@@ -195,7 +204,7 @@ class Meter:
         out = []
         for text, bag in zip(texts, bags):
             rows = []
-            if not bag.isdisjoint(self.hits):
+            if not bag.isdisjoint(self.met):  # a set: a dict would be walked as a whole
                 for s in sentences(text):
                     met = [self.hits[w] for w in sentence_words(s) if w in self.hits]
                     if met:
