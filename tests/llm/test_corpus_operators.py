@@ -299,6 +299,15 @@ def test_subsequence_kernel_equals_its_definition():
         assert found == pytest.approx(slow(a, b))
 
 
+@pytest.mark.parametrize("landmark", ["scum", "dumb", "hell", "idiot", "moron", "loser", "trash", "stupid", "vermin"])
+def test_short_landmarks_tolerate_one_inserted_or_missing_character(landmark):
+    edited = {landmark[:i] + c + landmark[i:] for i in range(len(landmark) + 1) for c in "xe*1" + landmark[0]}
+    edited |= {landmark[:i] + landmark[i + 1:] for i in range(len(landmark))}
+    found = toxicity.strength(sorted(edited), [landmark])[:, 0]
+    assert not [w for w, v in zip(sorted(edited), found) if v <= 0]
+    assert toxicity.strength([landmark, "xyzw"], [landmark])[:, 0].tolist() == pytest.approx([1, 0])
+
+
 def test_toxicity_tolerates_gaps_and_learns(spark):
     rng = random.Random(2)
     insults = ["glorfing", "snaburk", "twizzled"]
