@@ -28,10 +28,13 @@ TOXIC, CLEAN = 4_000, 8_000
 GRAM_SIZES = (4, 5, 6)
 #: Standard errors by which a landmark must be more frequent in toxic documents.
 CLEAR = 4
-SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Blanks after a mark end a sentence, unless the next piece is a single letter with such a mark: one more letter spelled out.
+SENTENCE = re.compile(r"(?<=[.!?])\s++(?![.\-_*]*[^\W_][.\-_*]*[.!?](?:\s|$))|\n+")
 CLEANED = re.compile(r"[\W_]+")
 #: Three or more single letters with blanks or marks between them: a word spelled out.
-SPELLED = re.compile(r"(?<!\w)\w(?:[\s.\-_*]+\w(?!\w)){2,}")
+SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\s.\-_*]+[^\W_](?![^\W_])){2,}")
+#: What every match of SPELLED holds, its second and third letter, and is found sooner.
+LONE = re.compile(r"[\s.\-_*][^\W_][\s.\-_*]+[^\W_](?![^\W_])")
 #: Windows compared at a time.
 WINDOWS = 20_000
 #: Words a worker remembers; then it starts afresh. Longer words are met in pieces.
@@ -43,9 +46,9 @@ def sentence_words(sentence: str) -> list[str]:
     """Lower-cased pieces between blanks, and the spelled-out words."""
     low = sentence.lower()
     words = low.split()
-    if sum([len(w) == 1 for w in words]) < 2:  # marks between letters are taken off later
-        return words
-    return words + [CLEANED.sub("", m[0]) for m in SPELLED.finditer(low)]
+    if LONE.search(low):
+        words += [CLEANED.sub("", m[0]) for m in SPELLED.finditer(low)]
+    return words
 
 
 def sentences(text: str) -> list[str]:

@@ -308,6 +308,19 @@ def test_short_landmarks_tolerate_one_inserted_or_missing_character(landmark):
     assert toxicity.strength([landmark, "xyzw"], [landmark])[:, 0].tolist() == pytest.approx([1, 0])
 
 
+@pytest.mark.parametrize("mark", ["-", "*", "_", "."])
+def test_spelled_out_words_are_joined_whatever_marks_surround_the_letters(mark):
+    meter = toxicity.Meter(["idiot"])
+    spelled = [" ".join(f"{a}{c}{b}" for c in "idiot") for a in ("", mark) for b in ("", mark)]
+    spelled += [f"i{mark}d i{mark}o{mark}t", "I D I O T"]
+    spelled += [f"i{mark} d {mark}i o {mark}t{mark}"] if mark != "." else []  # a sentence may end at a dot that only some letters have
+    for text in [*spelled, *[f"you {s} people" for s in spelled]]:
+        assert "idiot" in toxicity.sentence_words(text), text
+        assert meter.features([text])[0].max(initial=0) >= 0.999, text
+    for text in ("no a b", "as i do it", ""):
+        assert toxicity.sentence_words(text) == text.split()
+
+
 def test_toxicity_tolerates_gaps_and_learns(spark):
     rng = random.Random(2)
     insults = ["glorfing", "snaburk", "twizzled"]
