@@ -185,34 +185,30 @@ class Meter:
         self.landmarks = landmarks
         self.seen: set[str] = set()
         self.hits: dict[str, np.ndarray] = {}
-        self.met: set[str] = set()
 
     def learn(self, words: set[str]) -> None:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
             self.hits.clear()
-            self.met.clear()
         fresh = [w for w in words if w not in self.seen]
         if not fresh:
             return
         found = strength([CLEANED.sub("", w) for w in fresh], self.landmarks)
         for i in np.flatnonzero(found.any(axis=1)).tolist():
             self.hits[fresh[i]] = found[i]
-            self.met.add(fresh[i])
         self.seen.update(fresh)
 
     def features(self, texts: list[str]) -> list[np.ndarray]:
         """Per text the strengths (sentences x landmarks) of the sentences that any landmark meets; maybe no row."""
-        bags = [set(sentence_words(t)) for t in texts]
-        self.learn(set().union(*bags))
+        split = [[sentence_words(s) for s in sentences(t)] for t in texts]  # what is learned is what is looked up
+        self.learn({w for rows in split for words in rows for w in words})
         out = []
-        for text, bag in zip(texts, bags):
+        for found in split:
             rows = []
-            if not bag.isdisjoint(self.met):  # a set: a dict would be walked as a whole
-                for s in sentences(text):
-                    met = [self.hits[w] for w in sentence_words(s) if w in self.hits]
-                    if met:
-                        rows.append(np.sum(met, axis=0))
+            for words in found:
+                met = [self.hits[w] for w in words if w in self.hits]
+                if met:
+                    rows.append(np.sum(met, axis=0))
             out.append(np.array(rows, np.float32).reshape(len(rows), len(self.landmarks)))
         return out
 
@@ -236,7 +232,7 @@ def pick_landmarks(train: DataFrame, count: int = LANDMARKS) -> list[str]:
         counts = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                clean = {CLEANED.sub("", w) for w in sentence_words(text or "")}
+                clean = {CLEANED.sub("", w) for s in sentences(text or "") for w in sentence_words(s)}
                 found = {w for w in clean if 3 <= len(w) <= LONGEST}
                 found.update(w[:n] for w in clean for n in GRAM_SIZES if len(w) > n)
                 counts[toxic].update(found)

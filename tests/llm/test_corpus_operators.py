@@ -321,6 +321,17 @@ def test_spelled_out_words_are_joined_whatever_marks_surround_the_letters(mark):
         assert toxicity.sentence_words(text) == text.split()
 
 
+@pytest.mark.parametrize("text", ["you i d i o t. I am here", "you i d i o t\na fool", "he said i-d i-o-t! A b c. D e"])
+def test_strengths_do_not_depend_on_other_texts(text):
+    alone = toxicity.Meter(["idiot"]).features([text])[0]
+    assert len(alone) >= 1 and alone.max() >= 0.999
+    others = ["idiot i d i o t", "i d i o t. i", "", "nothing"]
+    meter = toxicity.Meter(["idiot"])
+    beside = meter.features([*others, text, *others])[len(others)]
+    again = meter.features([text])[0]
+    assert (beside == alone).all() and (again == alone).all()
+
+
 def test_toxicity_tolerates_gaps_and_learns(spark):
     rng = random.Random(2)
     insults = ["glorfing", "snaburk", "twizzled"]
