@@ -59,6 +59,12 @@ def key_hash(key: str) -> Column:
     return hash32(F.coalesce(F.col(key).cast("string"), F.lit("")))
 
 
+def digest(text: Column | str) -> Column:
+    """SHA-256 of a text as it is; null counts as empty."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def running_totals(df: DataFrame, keys: list[str], bucket: str, order: list[Column], totals: dict[str, str]) -> DataFrame:
     """Totals of earlier rows, as ``{output: value column}``, in the order of (bucket, order) inside each key.
 

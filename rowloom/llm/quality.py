@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import Scratch, key_hash
+from rowloom.llm.common import Scratch, digest, key_hash
 from rowloom.llm.wordblocks import STEP, mix, word_hashes
 
 BUCKETS = 1 << 16
@@ -143,9 +143,9 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
     return low
 
 
-def resampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality",
-              labelled: int = LABELLED) -> DataFrame:
-    """One row per document: the key, score, noisy (score plus Gumbel noise) and kept.
+def verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality",
+             labelled: int = LABELLED) -> DataFrame:
+    """One row per document: the key, score, noisy (score plus Gumbel noise), kept and _digest (of the text).
 
     The target model is fitted on rows labelled 1, the raw model on every row. The sample's size k is the number of
     documents whose importance is above the score that best parts the labelled rows kept aside from the fit; the k
@@ -160,17 +160,24 @@ def resampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     aside = key_hash("_key") % FOLDS == 0
     rows = rows.withColumn("_fit", F.when(~aside, F.col("_quality"))).withColumn("_aside", F.when(aside, F.col("_quality")))
     ratio = fit(rows, "_text", "_fit")
-    scores = scored(rows.select("_key", "_fit", "_aside", "_text"), "_text", ratio)
+    scores = scored(rows.select("_key", "_fit", "_aside", digest("_text").alias("_digest"), "_text"), "_text", ratio)
     scores = scratch.keep(scores.withColumn("noisy", F.col("score") + gumbel("_key")).withColumn("_rank", F.floor(F.col("noisy") * UNIT).cast("long")), "scores")
     cut = cut_between(scores, "_aside") or cut_between(scores, "_fit")
     kept = F.lit(True)
     if cut is not None:
         bound = kth_largest(scores, "_rank", scores.filter(F.col("score") >= cut).count())
         kept = F.lit(False) if bound is None else F.col("_rank") >= bound
-    return scores.select(F.col("_key").alias(key), "score", "noisy", kept.alias("kept"))
+    return scores.select(F.col("_key").alias(key), "score", "noisy", kept.alias("kept"), "_digest")
+
+
+def resampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality",
+              labelled: int = LABELLED) -> DataFrame:
+    """The verdicts without the digests."""
+    return verdicts(docs, labels, key, text, quality, labelled).drop("_digest")
 
 
 def filtered(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality") -> DataFrame:
-    """The rows that stay, with all their columns; a null key shares one verdict with the other null keys."""
-    gone = resampled(docs, labels, key, text, quality).filter("NOT kept").select(F.col(key).alias("_dropped"))
-    return docs.join(gone, docs[key].eqNullSafe(gone["_dropped"]), "left_anti")
+    """The rows that stay, with all their columns. A verdict is for a key with a text, which share noise and score, so rows
+    of one key or without one are judged each by its text."""
+    gone = verdicts(docs, labels, key, text, quality).filter("NOT kept").select(F.col(key).alias("_dropped"), "_digest").distinct()
+    return docs.join(gone, docs[key].eqNullSafe(gone["_dropped"]) & (digest(docs[text]) == gone["_digest"]), "left_anti")

@@ -158,6 +158,16 @@ def test_exact_groups_equal_brute_force(spark, docs):
     assert keyless["keep_id"] is None and keyless["kept"] and keyless["group_size"] == 1
 
 
+def test_copies_are_removed_by_row_and_not_by_key(spark):
+    data = [(1, "a copy"), (None, "a copy"), (None, "alone"), (None, "alone too"), (2, "twice"), (3, "twice"), (3, "only here")]
+    data += [(None, "no key"), (None, "no key"), (4, "x y"), (4, "xy"), (4, "other"), (5, "same"), (5, "same"), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, str(i)) for i, r in enumerate(data)], "doc_id long, text string, source string").repartition(3)
+    found = exact.deduplicated(df)
+    assert found.columns == df.columns
+    wanted = [(1, "a copy"), (None, "alone"), (None, "alone too"), (2, "twice"), (3, "only here"), (None, "no key"), (4, "x y"), (4, "other"), (5, "same"), (None, "")]
+    assert Counter((r["doc_id"], r["text"] or "") for r in found.collect()) == Counter(wanted)
+
+
 def test_directory_splits_overfull_buckets(spark):
     slots = spark.range(3000).select(F.xxhash64("id").alias("key"))
     buckets = exact.directory(slots, 3000, capacity=10).collect()
@@ -272,6 +282,17 @@ def test_quality_parts_junk_from_prose(spark):
     assert quality.filtered(df, marks).columns == df.columns
 
 
+def test_quality_judges_rows_and_not_keys(spark):
+    rng = random.Random(1)
+    good, junk = corpora.sentence, lambda rng, n: " | ".join(f"%%{rng.randint(0, 99)}" for _ in range(n))
+    texts = [(good if i % 4 else junk)(rng, 60) for i in range(240)]
+    odd = [(k, make(rng, 60)) for k in (None, None, None, 700) for make in (good, junk)]
+    df = spark.createDataFrame([*enumerate(texts), *odd], "doc_id long, text string")
+    found = quality.filtered(df, labelled(spark, [(i, int(i % 4 > 0), 0) for i in range(160)]))
+    kept = {r["text"] for r in found.filter("doc_id IS NULL OR doc_id = 700").collect()}
+    assert kept == {t for _, t in odd if "|" not in t}
+
+
 def test_quality_takes_odd_rows(docs, spark):
     assert quality.resampled(docs, labelled(spark, [(0, 1, 0), (21, 0, 0), (0, None, None)])).count() == len(ROWS)
 
