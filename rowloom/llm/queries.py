@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.hashing import hash32_sql
-from rowloom.llm import bpe, exact, fingerprint, mixing, near, quality, shards, substring, tokens, toxicity
+from rowloom.llm import audit, bpe, exact, fingerprint, mixing, near, quality, shards, substring, tokens, toxicity
 from rowloom.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,7 +61,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
-QUERIES = {q.__name__: q for q in (op1_tokens, op2_near, op3_substring, op4_bpe, op5_fingerprint, op6_exact, op7_quality, op8_shards, op9_mixing, op10_toxicity)}
+def op13_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.filter_audit(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+QUERIES = {q.__name__: q for q in (op1_tokens, op2_near, op3_substring, op4_bpe, op5_fingerprint, op6_exact, op7_quality, op8_shards, op9_mixing, op10_toxicity, op13_audit)}
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,4 +114,25 @@ ORACLES: dict[str, str] = {
       mix AS (SELECT *, coalesce(sum(take) OVER (ORDER BY finish, r, h, doc_id, epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM served WHERE take > 0)
       SELECT p.doc_id, p.size::BIGINT AS size, p.source_size, p.target, coalesce(sum(m.take), 0)::BIGINT AS taken, min(m.at) AS mix_from
       FROM placed p LEFT JOIN mix m ON p.doc_id = m.doc_id GROUP BY p.doc_id, p.size, p.source_size, p.target""",
+    "op13_audit": f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+      l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+      f AS (SELECT part, CASE WHEN good = 1 THEN 1 ELSE 0 END AS good, CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS toxic,
+          (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+          || (CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END)
+          || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+          || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails FROM d LEFT JOIN l USING (doc_id)),
+      x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+      o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+        WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+      s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+      g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+      r AS (SELECT part, filter_order, step, filter_order[step] AS own, n, good, toxic,
+          contains(fails, filter_order[step]) AS failing, fails = filter_order[step] AS only_this,
+          list_bool_or(list_transform(range(1, step), lambda i: contains(fails, filter_order[i]))) IS TRUE AS gone FROM g, s),
+      c AS (SELECT part, filter_order, step, own, sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END)::BIGINT AS kept,
+          sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN gone AND failing THEN n ELSE 0 END)::BIGINT AS redundant,
+          sum(CASE WHEN only_this THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN NOT gone AND failing THEN good ELSE 0 END)::BIGINT AS good_lost,
+          sum(CASE WHEN NOT gone AND failing THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+      SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+        (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM c""",
 }
