@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.hashing import hash32_sql
-from rowloom.llm import audit, bpe, exact, fingerprint, mixing, near, quality, shards, substring, tokens, toxicity, whitening
+from rowloom.llm import audit, bpe, exact, fingerprint, mixing, near, pii, quality, shards, substring, tokens, toxicity, whitening
 from rowloom.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,11 +65,15 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id", "embedding")
 
 
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(documents(spark, folder), "doc_id", "text")
+
+
 def op13_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.filter_audit(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
-QUERIES = {q.__name__: q for q in (op1_tokens, op2_near, op3_substring, op4_bpe, op5_fingerprint, op6_exact, op7_quality, op8_shards, op9_mixing, op10_toxicity, op11_whitening, op13_audit)}
+QUERIES = {q.__name__: q for q in (op1_tokens, op2_near, op3_substring, op4_bpe, op5_fingerprint, op6_exact, op7_quality, op8_shards, op9_mixing, op10_toxicity, op11_whitening, op12_pii, op13_audit)}
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
