@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.vectors import distance_error, doubles, matrix, paired_squares, squared_distances
 from rowloom.operators.blocks import chunk_count, over_chunk_pairs
-from rowloom.operators.knn import K_VALUES, choose_k, knn_join, nearest
+from rowloom.operators.cells import nearest
+from rowloom.operators.knn import K_VALUES, choose_k, knn_join
 from rowloom.operators.sampling import cached, compact, subsample
 from rowloom.session import ensure_checkpoint_dir
 

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.vectors import squared_distances
 from rowloom.operators.cluster import assign_nearest, centroids, kmeans_sweep, nearest_rows, silhouette_score, silhouettes
-from rowloom.operators.knn import choose_k, knn_join, knn_sweep, means, nearest, votes
+from rowloom.operators.cells import Cells, nearest
+from rowloom.operators.knn import choose_k, knn_join, knn_sweep, means, votes
 from rowloom.operators.metrics import balanced_accuracy, imputation_scores, rounded_labels
 
 
@@ -38,6 +39,43 @@ def test_join_equals_brute_force_with_a_third_of_copies(spark, options):
     assert got == {150 + i: row.tolist() for i, row in enumerate(expected)}
 
 
+def odd_points(name):
+    rng = np.random.default_rng(8)
+    grid = rng.integers(0, 5, (1500, 3)).astype(float)
+    return {
+        "spread": (rng.random((300, 3)), rng.random((4000, 3)), 0),
+        "ties": (grid[:200], grid, 0),
+        "copies": (grid[:200], np.concatenate([np.zeros((1500, 3)), grid[:90]]), 0),
+        "wide": (rng.standard_normal((100, 64)), rng.standard_normal((900, 64)), 0),
+        "codes": (grid[:100] - 1, grid - 1, 2),
+        "far": (1e9 + np.round(grid[:200] * 7.3, 2), 1e9 + np.round(grid * 7.3, 2), 0),
+        "raw": (rng.random((200, 2)) * [5e5, 1e4] + [0, 1e8], rng.random((3000, 2)) * [5e5, 1e4] + [0, 1e8], 0),
+        "one": (grid[:4], grid[:1], 0),
+    }[name]
+
+
+@pytest.mark.parametrize("name", ["spread", "ties", "copies", "wide", "codes", "far", "raw", "one"])
+def test_cells_equal_all_pairs(name):
+    queries, points, categories = odd_points(name)
+    cells = Cells.of(points, categories, ring_rows=40)
+    wanted, found = nearest(queries, points, 6, categories), cells.nearest(queries, 6)
+    assert (wanted[0] == found[0]).all() and (wanted[1] == found[1]).all() and np.allclose(wanted[2], found[2])
+    if name in ("spread", "raw"):
+        assert cells.pairs < 0.2 * len(queries) * len(points)
+
+
+@pytest.mark.parametrize("name", ["spread", "ties", "copies", "codes", "raw"])
+def test_cell_join_equals_all_pairs(spark, name):
+    queries, points, categories = odd_points(name)
+    queries, points = queries[:60], points[:700]
+    train = spark.createDataFrame([(i, v.tolist(), float(i % 5)) for i, v in enumerate(points)], "id long, v array<double>, y double")
+    asked = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(queries)], "name string, v array<double>")
+    found = knn_join(asked, train, "name", "id", "v", "y", 6, categories, max_broadcast_bytes=0, chunk_rows=90)
+    got = {r["name"]: [(n["key"], n["y"], n["d2"]) for n in r["neighbours"]] for r in found.collect()}
+    index, rounded, _ = nearest(queries, points, 6, categories)
+    assert got == {f"q{i}": [(int(j), float(j % 5), d) for j, d in zip(row, rounded[i])] for i, row in enumerate(index)}
+
+
 def test_votes_and_means(spark):
     df = spark.createDataFrame([([(0.1, 1, 2.0), (0.2, 2, 1.0), (0.3, 3, 1.0), (0.4, 4, 2.0)],)], "n array<struct<d2:double,key:bigint,y:double>>")
     row = df.select(*[votes("n", k).alias(f"v{k}") for k in (1, 2, 3, 4)], means("n", 3).alias("m")).first()
