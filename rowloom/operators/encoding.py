@@ -8,11 +8,13 @@ from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.operators.lookup import MAX_BROADCAST_ROWS, lookup_join
+from rowloom.operators.lookup import ROW_BYTES, lookup_join
 from rowloom.operators.sampling import compact
 from rowloom.session import ensure_checkpoint_dir
 
 MAX_DENSE_LEVELS = 4096
+#: Level tables with more rows are ranked by ranges instead of one window a variable.
+MAX_WINDOW_ROWS = 1_000_000
 
 
 def levels_of(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -36,7 +38,7 @@ def level_order(order: str) -> list[Column]:
     raise ValueError("order is 'lexical' or 'numeric'")
 
 
-def rank_levels(levels: DataFrame, order: str = "lexical", max_window_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def rank_levels(levels: DataFrame, order: str = "lexical", max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
     """Add ``code``: the position of the level among the sorted levels of its variable, from 0.
 
     Level tables up to the bound are ranked by a window per variable. Larger ones are range-partitioned,
@@ -77,6 +79,7 @@ class LevelCodes:
     sizes: dict[str, int]
     unseen: str = "error"
     nulls: dict[str, int] = field(default_factory=dict)
+    bytes: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def fit(
@@ -93,13 +96,15 @@ class LevelCodes:
         if train_only:
             df = df.filter(F.col("split") == "train")
         table = compact(rank_levels(compact(levels_of(df, columns)), order))
-        counted = {r["variable"]: r["count"] for r in table.groupBy("variable").count().collect()}
-        sizes, nulls = {c: counted.get(c, 0) for c in columns}, {}
+        levels = F.sum(F.octet_length("level") + 2 * ROW_BYTES).alias("bytes")
+        counted = {r["variable"]: r for r in table.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), levels).collect()}
+        sizes, nulls = {c: counted[c]["n"] if c in counted else 0 for c in columns}, {}
+        held = {c: counted[c]["bytes"] if c in counted else 0 for c in columns}
         if null_level and columns:
             present = df.agg(*[F.coalesce(F.max(F.col(f"`{c}`").isNull()), F.lit(False)).alias(c) for c in columns]).first()
             nulls = {c: sizes[c] for c in columns if present[c]}
             sizes |= {c: n + 1 for c, n in nulls.items()}
-        return cls(columns, table, sizes, unseen, nulls)
+        return cls(columns, table, sizes, unseen, nulls, held)
 
     def transform(self, df: DataFrame) -> DataFrame:
         order = df.columns
@@ -108,7 +113,7 @@ class LevelCodes:
                 F.col("level").alias("_level"), F.col("code").cast("long").alias("_code")
             )
             present = F.col(f"`{name}`").cast("string")
-            df = lookup_join(df.withColumn("_level", present), codes, ["_level"], table_rows=self.sizes[name])
+            df = lookup_join(df.withColumn("_level", present), codes, ["_level"], size=self.bytes.get(name))
             if name in self.nulls:
                 df = df.withColumn("_code", F.when(F.col("_level").isNull(), F.lit(self.nulls[name]).cast("long")).otherwise(F.col("_code")))
             if self.unseen == "skip":

@@ -29,7 +29,6 @@ TOLERANCE = 1e-4
 MAX_PASSES = 1000
 CHUNK_TERMS = 8192
 MAX_BASIS_BYTES = 1 << 29
-MAX_BROADCAST_TERMS = 250_000
 
 
 def vocabulary(train: DataFrame, text: str) -> DataFrame:
@@ -105,7 +104,7 @@ class TextComponents:
 
     def transform(self, df: DataFrame, key: str, text: str, output: str) -> DataFrame:
         """Add the projection of every row's text; words outside the vocabulary count nothing."""
-        found = lookup_join(token_cells(df, key, text), self.terms, ["token"], how="inner", max_broadcast_rows=MAX_BROADCAST_TERMS, table_rows=self.n_terms)
+        found = lookup_join(token_cells(df, key, text), self.terms, ["token"], how="inner")
         sums = found.groupBy(key).agg(
             *[F.sum(F.col("n") * F.col("loadings")[i]).alias(f"_s{i}") for i in range(self.width)]
         )
@@ -135,7 +134,7 @@ def _ritz(inner: np.ndarray, squares: np.ndarray, width: int, tolerance: float)
 
 def _counts(cells: DataFrame, key: str, numbered: DataFrame, n_terms: int) -> DataFrame:
     return (
-        lookup_join(cells, numbered.select("token", "term"), ["token"], how="inner", table_rows=n_terms)
+        lookup_join(cells, numbered.select("token", "term"), ["token"], how="inner")
         .groupBy(key)
         .agg(F.collect_list(F.struct("term", F.col("n").cast("double").alias("n"))).alias("cells"))
         .select(F.col("cells.term").alias("terms"), F.col("cells.n").alias("ns"))
@@ -230,7 +229,7 @@ def _fit_by_joins(cls, cells: DataFrame, key: str, words: DataFrame, n_terms: in
     def multiplied(table: DataFrame) -> DataFrame:
         """Add ``p``: the centred product with the current basis."""
         shift = list(table.agg(*[F.sum(F.col("mean") * F.col("b")[i]) for i in range(k)]).first())
-        near = lookup_join(cells, table.select("token", "b"), ["token"], "inner", MAX_BROADCAST_TERMS, n_terms)
+        near = lookup_join(cells, table.select("token", "b"), ["token"], "inner")
         scores = near.groupBy(key).agg(*[(F.sum(F.col("n") * F.col("b")[i])).alias(f"s{i}") for i in range(k)])
         centred = scores.select(key, *[(F.col(f"s{i}") - F.lit(float(shift[i]))).alias(f"s{i}") for i in range(k)])
         sums = cells.join(centred, key).groupBy("token").agg(*[F.sum(F.col("n") * F.col(f"s{i}")).alias(f"q{i}") for i in range(k)])

@@ -9,7 +9,7 @@ from rowloom.functions.hashing import split_name
 from rowloom.functions.text import clean_text, tokens
 from rowloom.operators import columns as ops
 from rowloom.operators.encoding import LevelCodes, OneHot, levels_of, one_hot_sparse, rank_levels
-from rowloom.operators.lookup import lookup_join
+from rowloom.operators.lookup import hot_keys, lookup_join, table_bytes
 from rowloom.operators.sampling import assign_batches, subsample, with_split
 from rowloom.operators.scaling import MinMax
 from rowloom.plans.recipe import Recipe, cast, clean, codes, log1p, minmax, not_null, rename_map, sanitize
@@ -101,12 +101,32 @@ def test_ranks_of_large_level_tables_equal_the_window(spark):
     assert small == large and len(small) == 1713
 
 
-def test_salted_lookup_equals_broadcast_under_skew(spark):
-    df = spark.range(3000).withColumn("k", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50))
+@pytest.mark.parametrize("hot_share", [1 / 256, 1 / 8, 1.0])
+def test_salted_lookup_equals_broadcast_under_skew(spark, hot_share):
+    key = F.when(F.col("id") % 3 == 0, F.lit(0)).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") % 50)
+    df = spark.range(3000).withColumn("k", key)
     table = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    near = sorted(map(tuple, lookup_join(df, table, ["k"]).collect()), key=str)
-    far = sorted(map(tuple, lookup_join(df, table, ["k"], max_broadcast_rows=1).collect()), key=str)
-    assert near == far and len(far) == 3000
+    for how in ("left", "inner"):
+        near = sorted(map(tuple, lookup_join(df, table, ["k"], how).collect()), key=str)
+        far = sorted(map(tuple, lookup_join(df, table, ["k"], how, max_broadcast_bytes=0, hot_share=hot_share).collect()), key=str)
+        assert near == far and (len(far) == 3000) == (how == "left")
+
+
+def test_hot_keys_get_salts_by_their_share(spark):
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
+    df = spark.range(30000).withColumn("k", key)
+    salts = hot_keys(df, ["k"], 1 / 20)
+    name = df.select(F.xxhash64(F.lit("hot")).alias("h")).first()["h"]
+    assert salts == {name: 7} and hot_keys(df.filter("id < 0"), ["k"]) == {}
+    joined = lookup_join(df, df.select("k").distinct().withColumn("w", F.lit(1)), ["k"], max_broadcast_bytes=0, hot_share=1 / 20)
+    sizes = joined.repartition(64, "k").count(), joined.where("w = 1").count()
+    assert sizes == (30000, 30000)
+
+
+def test_table_bytes_follow_the_values(spark):
+    rows = [("x" * 100, [1.0] * 50, 1)] * 10
+    table = spark.createDataFrame(rows, "a string, v array<double>, n int")
+    assert 10 * (100 + 400) < table_bytes(table) < 10 * 1000 and table_bytes(table.limit(0)) == 0
 
 
 def test_one_hot_policies(mixed):
