@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +22,10 @@ COMPONENTS = 10  # fixed value: components kept for text and dense variables
 OVERSAMPLE = 8
 #: Passes go on until C l differs from its multiple of l by this part of the greatest eigenvalue, for every component.
 TOLERANCE = 1e-4
-MAX_PASSES = 1000
+#: Blocks that a Krylov basis holds before it is restarted from its best vectors.
+MAX_BLOCKS = 6
+#: A pass that lowers no residual in so many restarts means that the tolerance is below rounding.
+MAX_RESTARTS = 200
 CHUNK_TERMS = 8192
 MAX_BASIS_BYTES = 1 << 29
 
@@ -49,6 +48,7 @@ class TextComponents:
     offset: list[float]
     width: int
     n_terms: int
+    passes: int = 0
 
     @classmethod
     def fit(
@@ -61,11 +61,12 @@ class TextComponents:
         tolerance: float = TOLERANCE,
         max_basis_bytes: int = MAX_BASIS_BYTES,
     ) -> "TextComponents":
-        """Subspace iteration on the centred count matrix of the train rows, over the whole vocabulary.
+        """Block Krylov iteration on the centred count matrix of the train rows, over the whole vocabulary.
 
-        Counts stay on the executors. While the basis (terms by a few columns) is small enough it is broadcast
-        and each pass returns per-task sums of the term chunks that the task met; a larger basis is a table and each
-        pass is two joins. Both start from the same basis and stop by the same residual.
+        Counts stay on the executors. While a basis (terms by columns) is small enough each block of it is broadcast
+        and a pass returns per-task sums of the terms that the task met; a larger basis is a table, each pass is two
+        joins, and its orthogonal factors come from a tree of small QR factors. Both start from the same block and stop by
+        the same residual.
         """
         train = df.filter(F.col("split") == "train")
         cells = cached(token_cells(train, key, text))
@@ -78,19 +79,9 @@ class TextComponents:
         docs = compact(_counts(cells, key, numbered, n_terms), rows_per_partition=512)
         mean = _term_means(numbered, n_docs)
         first = numbered.select("term", _start(k, seed).alias("b")).toArrow()
-        basis = np.zeros((n_terms, k))
-        basis[first.column("term").to_numpy()] = matrix(first.column("b"))
-        basis = np.linalg.qr(basis)[0]
-        for _ in range(MAX_PASSES):
-            product = _gram_product(docs, basis, mean)
-            turn, done = _ritz(basis.T @ product, product.T @ product, width, tolerance)
-            if done:
-                break
-            basis = np.linalg.qr(product)[0]
-        else:
-            raise RuntimeError(f"text components did not settle in {MAX_PASSES} passes")
-        loadings = basis @ turn[:, :width]
-        loadings = loadings * np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
+        start = np.zeros((n_terms, k))
+        start[first.column("term").to_numpy()] = matrix(first.column("b"))
+        loadings, _, passes = leading_vectors(lambda block: _gram_product(docs, block, mean), start, width, tolerance)
         docs.unpersist()
         cells.unpersist()
         shared = df.sparkSession.sparkContext.broadcast(loadings)
@@ -100,7 +91,7 @@ class TextComponents:
             return vector_array(shared.value[terms.to_numpy(zero_copy_only=False)])
 
         table = numbered.select("token", row_of("term").alias("loadings"))
-        return cls(table, (mean @ loadings).tolist(), loadings.shape[1], n_terms)
+        return cls(table, (mean @ loadings).tolist(), loadings.shape[1], n_terms, passes)
 
     def transform(self, df: DataFrame, key: str, text: str, output: str) -> DataFrame:
         """Add the projection of every row's text; words outside the vocabulary count nothing."""
@@ -123,13 +114,82 @@ def _start(k: int, seed: int):
     return F.array(*[F.xxhash64("token", F.lit(seed * k + i)) / float(1 << 63) for i in range(k)])
 
 
-def _ritz(inner: np.ndarray, squares: np.ndarray, width: int, tolerance: float) -> tuple[np.ndarray, bool]:
-    """Eigenvectors of B'CB, greatest first, and whether the residuals of the first ``width`` are small: for an
-    orthonormal basis B they follow from B'CB and (CB)'(CB)."""
-    values, turn = np.linalg.eigh((inner + inner.T) / 2)
-    values, turn = values[::-1], turn[:, ::-1]
-    left = np.maximum(((squares @ turn) * turn).sum(axis=0) - values**2, 0.0)[:width]
-    return turn, bool(np.sqrt(left).max(initial=0.0) <= tolerance * max(abs(values[0]), 1e-300)) if len(values) else True
+class Krylov:
+    """What a block Krylov basis knows of a symmetric operator C: its small matrix S'CS, and when the leading pairs are settled.
+
+    The basis S is kept by the caller, as an array or as a table. Each step multiplies its last block and reports the
+    products with all of S and the triangle R of what is left; a restart keeps the best vectors, those that are settled in front,
+    where they are no longer multiplied but everything stays orthogonal to them.
+    """
+
+    def __init__(self, block: int, width: int, tolerance: float):
+        self.block, self.width, self.tolerance = block, width, tolerance
+        self.last = block
+        self.small = np.zeros((block, block))
+        self.passes = self.restarts = 0
+
+    def step(self, products: np.ndarray, rest: np.ndarray) -> bool:
+        self.passes += 1
+        n, m = self.small.shape[0], self.last
+        self.small[:, n - m :] = products
+        self.small[n - m :, :] = products.T
+        values, turn = np.linalg.eigh((self.small + self.small.T) / 2)
+        self.values, self.turn = values[::-1], turn[:, ::-1]
+        self.residuals = np.linalg.norm(rest @ self.turn[n - m :], axis=0)
+        self.scale = max(abs(self.values[0]), 1e-300) if n else 1.0
+        return bool(self.residuals[: self.width].max(initial=0.0) <= self.tolerance * self.scale)
+
+    def grown(self, columns: int) -> None:
+        n = self.small.shape[0]
+        self.small = np.pad(self.small, (0, columns))
+        assert self.small.shape[0] == n + columns
+        self.last = columns
+
+    def full(self) -> bool:
+        return self.small.shape[0] >= MAX_BLOCKS * self.block
+
+    def restarted(self) -> np.ndarray:
+        """The combinations of S's columns that the new basis consists of."""
+        self.restarts += 1
+        if self.restarts > MAX_RESTARTS:
+            raise RuntimeError(f"components did not settle in {self.passes} passes")
+        settled = self.residuals[: self.width] <= 0.1 * self.tolerance * self.scale
+        locked = int(np.argmin(settled)) if not settled.all() else len(settled)
+        self.last = min(self.block, len(self.values) - locked)
+        self.small = np.diag(np.concatenate((self.values[:locked], np.zeros(self.last))))
+        return self.turn[:, : locked + self.last]
+
+
+def _signs(loadings: np.ndarray) -> np.ndarray:
+    """Signs that make the largest entry of every column positive."""
+    return np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
+
+
+def leading_vectors(
+    multiply: Callable[[np.ndarray], np.ndarray], start: np.ndarray, width: int, tolerance: float = TOLERANCE
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """(unit vectors as columns, their eigenvalues, passes) of the operator ``multiply``, from a Krylov basis held as an array."""
+    basis = np.linalg.qr(start)[0]
+    state = Krylov(basis.shape[1], width, tolerance)
+    while True:
+        left = multiply(basis[:, basis.shape[1] - state.last :])
+        products = np.zeros((basis.shape[1], left.shape[1]))
+        for _ in range(2):  # twice, so that rounding does not bring earlier directions back
+            again = basis.T @ left
+            left = left - basis @ again
+            products += again
+        block, rest = np.linalg.qr(left)
+        if state.step(products, rest):
+            break
+        if state.full():
+            basis = np.linalg.qr(basis @ state.restarted())[0]
+            continue
+        kept = np.abs(np.diagonal(rest)) > 1e-10 * state.scale
+        block = block[:, kept] - basis @ (basis.T @ block[:, kept])
+        basis = np.concatenate((basis, block), axis=1)
+        state.grown(block.shape[1])
+    vectors = basis @ state.turn[:, :width]
+    return vectors * _signs(vectors), state.values[:width], state.passes
 
 
 def _counts(cells: DataFrame, key: str, numbered: DataFrame, n_terms: int) -> DataFrame:
@@ -167,7 +227,8 @@ def _gram_product(docs: DataFrame, basis: np.ndarray, mean: np.ndarray) -> np.nd
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, shift = shared.value
-        sums, seen = np.zeros_like(table), False
+        sums = np.zeros_like(table)
+        met = np.zeros(len(table), bool)
         for batch in batches:
             lists = batch.column("terms")
             ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
@@ -180,87 +241,219 @@ def _gram_product(docs: DataFrame, basis: np.ndarray, mean: np.ndarray) -> np.nd
                 found, starts = np.unique(cells[order], return_index=True)
                 pulls = np.repeat(scores, np.diff(bounds), axis=0) * n
                 sums[found] += np.add.reduceat(pulls[order], starts, axis=0)
-                seen = True
-        if seen:
-            for i, at in enumerate(range(0, len(sums), CHUNK_TERMS)):
-                cells = sums[at : at + CHUNK_TERMS].reshape(1, -1)
-                if cells.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), vector_array(cells)], ["chunk", "sums"])
+                met[found] = True
+        for i, at in enumerate(range(0, len(sums), CHUNK_TERMS)):
+            some = at + np.flatnonzero(met[at : at + CHUNK_TERMS])
+            if len(some):
+                yield _partial(i, some, sums[some])
 
-    def add(states: pa.Table) -> pa.Table:
-        keys = {name: states.column(name).slice(0, 1) for name in states.column_names if name != "sums"}
-        return pa.table({**keys, "sums": vector_array(matrix(states.column("sums")).sum(axis=0)[None, :])})
-
-    # two levels, so that no task adds the sums of all tasks
-    parts = docs.mapInArrow(work, "chunk int, sums array<double>")
-    fan = math.ceil(docs.rdd.getNumPartitions() ** 0.5)
-    parts = parts.withColumn("fan", (F.spark_partition_id() % fan).cast("int")).select("chunk", "fan", "sums")
-    parts = parts.groupBy("chunk", "fan").applyInArrow(add, "chunk int, fan int, sums array<double>").drop("fan")
-    found = parts.groupBy("chunk").applyInArrow(add, "chunk int, sums array<double>").toArrow()
-    shared.unpersist()
     total = np.zeros_like(basis)
-    for i, chunk in enumerate(found.column("chunk").to_pylist()):
-        total[chunk * CHUNK_TERMS : (chunk + 1) * CHUNK_TERMS] = matrix(found.column("sums").slice(i, 1)).reshape(-1, width)
+    for terms, sums in _added(docs, work, width):
+        total[terms] = sums
+    shared.unpersist()
     return total
 
 
+_PARTIAL = "chunk int, rows array<int>, sums array<double>"
+
+
+def _partial(chunk: int, rows: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    lists = [pa.ListArray.from_arrays(pa.array([0, a.size], pa.int32()), pa.array(a.reshape(-1))) for a in (rows.astype(np.int32), sums)]
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), *lists], ["chunk", "rows", "sums"])
+
+
+def _added(df: DataFrame, work: Callable, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The partial sums that ``work`` yields per task, added per chunk on the executors: (rows, sums) of every chunk.
+
+    In two levels, so that no task adds the sums of all tasks.
+    """
+
+    def add(states: pa.Table) -> pa.Table:
+        rows = states.column("rows").combine_chunks().flatten().to_numpy()
+        found, place = np.unique(rows, return_inverse=True)
+        total = np.zeros((len(found), width))
+        sums = states.column("sums").combine_chunks().flatten().to_numpy().reshape(-1, width)
+        at = 0
+        for n in np.diff(np.asarray(states.column("rows").combine_chunks().offsets)):
+            total[place[at : at + n]] += sums[at : at + n]  # rows of one partial sum are distinct
+            at += n
+        out = pa.Table.from_batches([_partial(states.column("chunk")[0].as_py(), found, total)])
+        return out.append_column("fan", states.column("fan").slice(0, 1)) if "fan" in states.column_names else out
+
+    parts = df.mapInArrow(work, _PARTIAL)
+    fan = math.ceil(df.rdd.getNumPartitions() ** 0.5)
+    if fan > 2:
+        parts = parts.withColumn("fan", (F.spark_partition_id() % fan).cast("int"))
+        parts = parts.groupBy("chunk", "fan").applyInArrow(add, f"{_PARTIAL}, fan int").drop("fan")
+    found = parts.groupBy("chunk").applyInArrow(add, _PARTIAL).toArrow()
+    for i in range(len(found)):
+        rows, sums = (found.column(c).slice(i, 1).combine_chunks().flatten().to_numpy() for c in ("rows", "sums"))
+        yield rows, sums.reshape(-1, width)
+
+
 def _turned(columns: str, turn: np.ndarray):
-    """The array column times a small matrix, as an array of weighted sums."""
-    return F.array(*[
-        reduce(lambda a, b: a + b, [F.col(columns)[i] * F.lit(float(w)) for i, w in enumerate(column)]) for column in turn.T
-    ])
+    """The array column times a small matrix."""
+
+    @F.arrow_udf("array<double>")
+    def times(rows: pa.Array) -> pa.Array:
+        return vector_array(matrix(rows) @ turn if len(rows) else np.zeros((0, turn.shape[1])))
+
+    return times(columns)
+
+
+def _reduced(table: DataFrame, columns: list[str], reduce_rows: Callable[..., np.ndarray], merge: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+    """A small matrix per task from ``reduce_rows`` of the array columns, merged in a tree on the executors."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            if batch.num_rows:
+                found = reduce_rows(*[matrix(batch.column(c)) for c in columns])
+                state = found if state is None else merge([state, found])
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([state.shape[0]], pa.int32()), vector_array(state.reshape(1, -1))], ["n", "state"])
+
+    def joined(states: pa.Table) -> pa.Table:
+        parts = [np.array(v).reshape(n, -1) for n, v in zip(states.column("n").to_pylist(), states.column("state").to_pylist())]
+        state = merge(parts)
+        out = pa.table({"n": pa.array([state.shape[0]], pa.int32()), "state": vector_array(state.reshape(1, -1))})
+        return out.append_column("fan", states.column("fan").slice(0, 1)) if "fan" in states.column_names else out
 
+    parts = table.select(*columns).mapInArrow(work, "n int, state array<double>")
+    fan = math.ceil(table.rdd.getNumPartitions() ** 0.5)
+    parts = parts.withColumn("fan", (F.spark_partition_id() % fan).cast("int")).groupBy("fan").applyInArrow(joined, "n int, state array<double>, fan int").drop("fan")
+    row = parts.groupBy().applyInArrow(joined, "n int, state array<double>").first()
+    return np.array(row["state"]).reshape(row["n"], -1)
 
-def _products(table: DataFrame, left: str, right: str, k: int) -> np.ndarray:
-    """left' right over all rows: a k by k matrix from one aggregate."""
-    cells = [F.sum(F.col(left)[i] * F.col(right)[j]).alias(f"p{i}_{j}") for i in range(k) for j in range(k)]
-    return np.array(list(table.agg(*cells).first())).reshape(k, k)
+
+def _inner(table: DataFrame, left: str, right: str) -> np.ndarray:
+    """left' right over all rows."""
+    return _reduced(table, [left, right], lambda a, b: a.T @ b, lambda parts: np.sum(parts, axis=0))
+
+
+def _triangle(table: DataFrame, column: str) -> np.ndarray:
+    """R of the tall matrix in an array column: QR of each task's rows, then of stacked triangles (a tall-skinny QR)."""
+    upper = lambda a: np.linalg.qr(a, mode="r")
+    return _reduced(table, [column], upper, lambda parts: upper(np.concatenate(parts)))
 
 
 def _fit_by_joins(cls, cells: DataFrame, key: str, words: DataFrame, n_terms: int, n_docs: int, k: int, width: int, tolerance: float, seed: int):
-    """The same iteration with the basis as a table (token, mean, b) and every pass as joins and partial sums."""
+    """The same iteration with the basis as a table (token, mean, s) and every pass as joins and partial sums."""
     ensure_checkpoint_dir(cells.sparkSession)
-    basis = words.select("token", (F.col("n") / n_docs).alias("mean"), _start(k, seed).alias("b"))
-
-    def orthonormal(table: DataFrame) -> DataFrame:
-        root = np.linalg.cholesky(_products(table, "b", "b", k))
-        return table.withColumn("b", _turned("b", np.linalg.inv(root).T)).checkpoint()
 
-    def multiplied(table: DataFrame) -> DataFrame:
-        """Add ``p``: the centred product with the current basis."""
-        shift = list(table.agg(*[F.sum(F.col("mean") * F.col("b")[i]) for i in range(k)]).first())
+    def multiplied(table: DataFrame, block: int) -> DataFrame:
+        """Add ``p``: the centred product with the last ``block`` columns of the basis."""
+        table = table.withColumn("b", F.slice("s", -block, block))
+        shift = list(table.agg(*[F.sum(F.col("mean") * F.col("b")[i]) for i in range(block)]).first())
         near = lookup_join(cells, table.select("token", "b"), ["token"], "inner")
-        scores = near.groupBy(key).agg(*[(F.sum(F.col("n") * F.col("b")[i])).alias(f"s{i}") for i in range(k)])
-        centred = scores.select(key, *[(F.col(f"s{i}") - F.lit(float(shift[i]))).alias(f"s{i}") for i in range(k)])
-        sums = cells.join(centred, key).groupBy("token").agg(*[F.sum(F.col("n") * F.col(f"s{i}")).alias(f"q{i}") for i in range(k)])
-        return table.join(sums, "token").select("token", "mean", "b", F.array(*[f"q{i}" for i in range(k)]).alias("p"))
-
-    basis = orthonormal(basis)
-    for _ in range(MAX_PASSES):
-        final = multiplied(basis).checkpoint()
-        turn, done = _ritz(_products(final, "b", "p", k), _products(final, "p", "p", k), width, tolerance)
-        if done:
+        scores = near.groupBy(key).agg(*[(F.sum(F.col("n") * F.col("b")[i])).alias(f"s{i}") for i in range(block)])
+        centred = scores.select(key, *[(F.col(f"s{i}") - F.lit(float(shift[i]))).alias(f"s{i}") for i in range(block)])
+        sums = cells.join(centred, key).groupBy("token").agg(*[F.sum(F.col("n") * F.col(f"s{i}")).alias(f"q{i}") for i in range(block)])
+        return table.join(sums, "token").select("token", "mean", "s", F.array(*[f"q{i}" for i in range(block)]).alias("p")).checkpoint()
+
+    def without(table: DataFrame, products: np.ndarray) -> DataFrame:
+        @F.arrow_udf("array<double>")
+        def less(basis: pa.Array, left: pa.Array) -> pa.Array:
+            return vector_array(matrix(left) - matrix(basis) @ products if len(left) else np.zeros((0, products.shape[1])))
+
+        return table.withColumn("p", less("s", "p")).checkpoint()
+
+    def orthonormal(table: DataFrame, source: str, wide: int) -> DataFrame:
+        for _ in range(2):
+            table = table.withColumn(source, _turned(source, np.linalg.pinv(_triangle(table, source)[:wide]))).checkpoint()
+        return table
+
+    first = words.select("token", (F.col("n") / n_docs).alias("mean"), _start(k, seed).alias("s")).checkpoint()
+    basis, state = orthonormal(first, "s", k), Krylov(k, width, tolerance)
+    while True:
+        table = multiplied(basis, state.last)
+        products = np.zeros((state.small.shape[0], state.last))
+        for _ in range(2):
+            again = _inner(table, "s", "p")
+            table = without(table, again)
+            products += again
+        rest = _triangle(table, "p")
+        if state.step(products, rest):
             break
-        basis = orthonormal(final.select("token", "mean", F.col("p").alias("b")))
-    else:
-        raise RuntimeError(f"text components did not settle in {MAX_PASSES} passes")
-    loadings = final.select("token", "mean", _turned("b", turn[:, :width]).alias("l"))
+        if state.full():
+            turn = state.restarted()
+            basis = orthonormal(table.select("token", "mean", _turned("s", turn).alias("s")).checkpoint(), "s", turn.shape[1])
+            continue
+        left, sizes, _ = np.linalg.svd(rest.T, full_matrices=False)  # directions of the rest, without the idle ones
+        kept = sizes > 1e-10 * state.scale
+        new = _turned("p", left[:, kept] / sizes[kept])
+        basis = table.select("token", "mean", F.concat("s", new).alias("s")).checkpoint()
+        state.grown(int(kept.sum()))
+    loadings = table.select("token", "mean", _turned("s", state.turn[:, :width]).alias("l"))
     kept = min(width, k)
     tops = loadings.agg(
         *[F.max_by(F.col("l")[i], F.abs(F.col("l")[i])).alias(f"t{i}") for i in range(kept)],
         *[F.sum(F.col("mean") * F.col("l")[i]).alias(f"o{i}") for i in range(kept)],
     ).first()
     signs = [-1.0 if tops[f"t{i}"] < 0 else 1.0 for i in range(kept)]
-    table = loadings.select("token", F.array(*[F.col("l")[i] * F.lit(s) for i, s in enumerate(signs)]).alias("loadings"))
-    return cls(table.checkpoint(), [signs[i] * tops[f"o{i}"] for i in range(kept)], kept, n_terms)
-
-
-def dense_components(df: DataFrame, vector: str, output: str, width: int = COMPONENTS) -> DataFrame:
-    """Mean-centred principal components of a dense vector column, fitted on train; signs by the largest loading."""
-    work = df.withColumn("_v", array_to_vector(doubles(vector)))
-    stages = [StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False), PCA(k=width, inputCol="_c", outputCol="_p")]
-    fitted = Pipeline(stages=stages).fit(work.filter(F.col("split") == "train"))
-    loadings = fitted.stages[1].pc.toArray()
-    signs = np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(width)] < 0, -1.0, 1.0)
-    flipped = F.array(*[F.col("_a")[i] * F.lit(float(s)) for i, s in enumerate(signs)])
-    return fitted.transform(work).withColumn("_a", vector_to_array("_p")).withColumn(output, flipped).drop("_v", "_c", "_p", "_a")
+    terms = loadings.select("token", F.array(*[F.col("l")[i] * F.lit(s) for i, s in enumerate(signs)]).alias("loadings"))
+    return cls(terms.checkpoint(), [signs[i] * tops[f"o{i}"] for i in range(kept)], kept, n_terms, state.passes)
+
+
+def _dense_product(rows: DataFrame, block: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Xc' Xc block for the centred vectors in column ``v``: one pass, without the matrix Xc' Xc."""
+    shared = rows.sparkSession.sparkContext.broadcast((block, mean))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side, centre = shared.value
+        sums, seen = np.zeros_like(side), False
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column("v")) - centre
+                sums += x.T @ (x @ side)
+                seen = True
+        for i, at in enumerate(range(0, len(sums) if seen else 0, CHUNK_TERMS)):
+            some = np.arange(at, min(at + CHUNK_TERMS, len(sums)))
+            yield _partial(i, some, sums[some])
+
+    total = np.zeros_like(block)
+    for places, sums in _added(rows, work, block.shape[1]):
+        total[places] = sums
+    shared.unpersist()
+    return total
+
+
+def _mean_of(rows: DataFrame, width: int) -> tuple[int, np.ndarray]:
+    """Number of rows and mean of the vectors in column ``v``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = 0, np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                n, sums = n + batch.num_rows, sums + matrix(batch.column("v")).sum(axis=0)
+        if n:
+            yield _partial(0, np.arange(width + 1), np.append(sums, n)[:, None])
+
+    total = np.zeros(width + 1)
+    for places, sums in _added(rows, work, 1):
+        total[places] = sums[:, 0]
+    return int(total[-1]), total[:-1] / max(total[-1], 1.0)
+
+
+def dense_components(df: DataFrame, vector: str, output: str, width: int = COMPONENTS, tolerance: float = 1e-10) -> DataFrame:
+    """Mean-centred principal components of a dense vector column, fitted on train; signs by the largest loading.
+
+    The same Krylov iteration as for texts: a pass returns the product with one block, never a width by width matrix.
+    """
+    rows = cached(df.filter(F.col("split") == "train").select(doubles(vector).alias("v")))
+    first = rows.select(F.size("v").alias("n")).first()
+    if first is None:
+        raise ValueError("there are no train rows to fit components on")
+    n, mean = _mean_of(rows, first["n"])
+    k = min(width + OVERSAMPLE, first["n"], n)
+    start = np.random.default_rng(0).standard_normal((first["n"], k))
+    loadings, _, _ = leading_vectors(lambda block: _dense_product(rows, block, mean), start, min(width, k), tolerance)
+    rows.unpersist()
+    shared = df.sparkSession.sparkContext.broadcast((loadings, mean))
+
+    @F.arrow_udf("array<double>")
+    def project(vectors: pa.Array) -> pa.Array:
+        axes, centre = shared.value
+        return vector_array((matrix(vectors) - centre) @ axes if len(vectors) else np.zeros((0, axes.shape[1])))
+
+    return df.withColumn(output, project(doubles(vector)))

@@ -20,6 +20,7 @@ from rowloom.plans.sweep import run_sweep
 from rowloom.sources.grids import RunGrid
 
 BATCH_ROWS = 256
+EMBEDDING_WIDTH = 64
 LATENT, HIDDEN, PHI = 16, 32, (32,)
 QUICK = Settings(epochs=2, batch_size=BATCH_ROWS, learning_rate=0.005)
 QUICK_ROUNDS = 8
@@ -91,6 +92,20 @@ def pca_dense(spark: SparkSession, folder: str) -> DataFrame:
     return dense_components(inputs.embeddings(spark, folder), "embedding", "components").select("vec_id", "split", "components")
 
 
+def pca_moments(spark: SparkSession, folder: str) -> DataFrame:
+    """All components of the embeddings: their variances' power sums, the largest covariance of neighbours and mean."""
+    df = dense_components(inputs.embeddings(spark, folder), "embedding", "c", width=EMBEDDING_WIDTH).filter("split = 'train'")
+    span = range(EMBEDDING_WIDTH)
+    spread = df.agg(
+        *[F.var_pop(F.col("c")[i]).alias(f"v{i}") for i in span],
+        F.greatest(*[F.abs(F.covar_pop(F.col("c")[i], F.col("c")[i + 1])) for i in span[:-1]]).alias("cross"),
+        F.greatest(*[F.abs(F.avg(F.col("c")[i])) for i in span]).alias("centre"),
+    )
+    power = lambda p: sum((F.pow(F.col(f"v{i}"), F.lit(p)) for i in span), F.lit(0.0))
+    rows = [("variance", power(1)), ("squares", power(2)), ("cubes", power(3)), ("cross", F.col("cross")), ("centre", F.col("centre"))]
+    return spread.select(F.inline(F.array(*[F.struct(F.lit(n).alias("moment"), F.round(v, 6).alias("value")) for n, v in rows])))
+
+
 def tree_baseline_parts(spark: SparkSession, folder: str) -> DataFrame:
     return tree_baseline(inputs.parts(spark, folder), inputs.PARTS, rounds=QUICK_ROUNDS)
 
@@ -118,6 +133,7 @@ QUERIES = {
     "kmeans_sweep": kmeans_sweep_embeddings,
     "pca_text": pca_text,
     "pca_dense": pca_dense,
+    "pca_moments": pca_moments,
     "tree_baseline": tree_baseline_parts,
     "tree_baseline_classes": tree_baseline_orders,
     "baseline_run": baseline_replicate,
@@ -128,6 +144,15 @@ _L, _H, _P, _K = LATENT, HIDDEN, PHI[0], anchor_count(BATCH_ROWS)
 _M = len(PARTS_FEATURES)
 
 ORACLES = {
+    "pca_moments": f"""WITH d AS {inputs.EMBEDDINGS_SQL}, t AS (SELECT vec_id, embedding FROM d WHERE split = 'train'),
+      e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM t),
+      m AS (SELECT i, avg(x) AS mean FROM e GROUP BY i), z AS (SELECT vec_id, e.i, x - mean AS x FROM e JOIN m ON e.i = m.i),
+      c AS (SELECT a.i, b.i AS j, avg(a.x * b.x) AS c FROM z a JOIN z b USING (vec_id) GROUP BY 1, 2),
+      s AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM c a JOIN c b ON a.j = b.i GROUP BY 1, 2)
+      SELECT 'variance' AS moment, round(sum(c), 6) AS value FROM c WHERE i = j
+      UNION ALL SELECT 'squares', round(sum(c * c), 6) FROM c
+      UNION ALL SELECT 'cubes', round(sum(c.c * s.c), 6) FROM c JOIN s ON c.i = s.j AND c.j = s.i
+      UNION ALL SELECT 'cross', 0.0 UNION ALL SELECT 'centre', 0.0""",
     "param_counts": f"""WITH n AS (SELECT count(DISTINCT p_brand) + count(DISTINCT p_type) AS levels FROM part),
       e AS (SELECT levels * {_L} + {2 * _L} + {_L * _L + _L} AS narrow, levels * {_H} + {2 * _H} + {_H * _H + _H} AS broad,
         {_H * _P + _P + _P * _L + _L} AS anchor_phi, {_H * _H + _H + _H * _L + _L} AS gmc_phi,
