@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,3 +83,64 @@ def running_totals(df: DataFrame, keys: list[str], bucket: str, order: list[Colu
     for name, value in totals.items():
         out = out.withColumn(name, F.col(f"_before_{name}") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return out.drop(*[f"_before_{name}" for name in totals])
+
+
+#: The column that :func:`identified` adds.
+ROW_ID = "_rowloom_id"
+#: Tables of fewer rows than this are sent to every task.
+FEW_ROWS = 100_000
+
+
+@dataclass(frozen=True)
+class RowIds:
+    """Documents with a long per (key, text) in the order of their keys: ``rows`` has it as ``ROW_ID``."""
+
+    rows: DataFrame
+    bits: int
+    first_null: int
+
+    def key(self, row_id: str, kind) -> Column:
+        """The key that an id stands for; null for rows without one."""
+        return F.when(F.col(row_id) < self.first_null, F.shiftright(F.col(row_id), self.bits)).cast(kind)
+
+
+def identified(docs: DataFrame, key: str, text: str, scratch: Scratch) -> RowIds:
+    """Tell rows apart that share a key, or have none, but differ in text (by 128 bits of hash).
+
+    Where every key has one text the id is the key, and rows without a key share the largest long. Otherwise keys move
+    up by a few bits, texts of one key are numbered in the order of a hash, and rows without a key come after all
+    others. Only such keys are numbered, in two levels, so that no task holds all texts of a hot key; nothing is joined to
+    the documents where there are none. Raises where keys are too large to move.
+    """
+    number = F.col(key).cast("long")
+    hashes = {"_h1": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_h2": F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(1))}
+    parts = {"_none": number.isNull(), "_key": F.coalesce(number, F.lit(0).cast("long")), **hashes}
+    base = docs.select(*[c.alias(n) for n, c in parts.items()])
+    seen = base.groupBy("_none", "_key").agg(
+        ((F.min("_h1") < F.max("_h1")) | (F.min("_h2") < F.max("_h2"))).alias("several")
+    )
+    seen = scratch.keep(seen, "keys_seen")
+    odd = seen.filter("several").select("_none", "_key")
+    count, top, low = odd.count(), *seen.filter("NOT _none").agg(F.max("_key"), F.min("_key")).first()
+    last = (1 << 63) - 1
+    if not count:
+        scratch.drop("keys_seen")
+        return RowIds(docs.withColumn(ROW_ID, F.coalesce(number, F.lit(last))), 0, last)
+    pairs = base.join(F.broadcast(odd) if count <= FEW_ROWS else odd, ["_none", "_key"]).distinct()
+    pairs = scratch.keep(pairs.withColumn("_bucket", F.shiftright("_h1", 52)).withColumn("_one", F.lit(1)), "key_texts")
+    order = [F.col("_h1"), F.col("_h2")]
+    ranks = running_totals(pairs, ["_none", "_key"], "_bucket", order, {"_sub": "_one"}).drop("_bucket", "_one")
+    ranks = scratch.keep(ranks, "key_ranks")
+    most = ranks.filter("NOT _none").agg(F.max("_sub")).first()[0] or 0
+    bits = int(most).bit_length()
+    top, low = top if top is not None else 0, low if low is not None else 0
+    if max(abs(top), abs(low)) + 2 >= 1 << (61 - bits):
+        raise ValueError(f"keys up to {max(abs(top), abs(low))} are too large to number {most + 1} texts of one key")
+    first_null = (top + 1) << bits
+    few = ranks.count() <= FEW_ROWS
+    named = docs.withColumns({f"{n}_of": c for n, c in parts.items()})
+    ranks = ranks.select(*[F.col(n).alias(f"{n}_of") for n in parts], "_sub")
+    found = named.join(F.broadcast(ranks) if few else ranks, [f"{n}_of" for n in parts], "left")
+    sub = F.coalesce(F.col("_sub").cast("long"), F.lit(0).cast("long"))
+    moved = F.when(F.col("_none_of"), F.lit(first_null) + sub).otherwise(F.shiftleft(F.col("_key_of"), bits) + sub)
+    return RowIds(found.select(*[F.col(f"`{c}`") for c in docs.columns], moved.alias(ROW_ID)), bits, first_null)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import Scratch
+from rowloom.llm.common import ROW_ID, Scratch, identified
 from rowloom.llm.wordblocks import STEP, blocks, mix, odd, windows
 
 WINDOW = 20
@@ -316,8 +316,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     ``digests``, only their SHA-256 (``kept_sha256``).
 
     A word goes if a window of ``window`` words that covers it starts earlier as well, in a document with a smaller key
-    or earlier in the same one. Keys are integers; null keys come last and count as one document, and rows that repeat
-    a key must repeat its text. Null texts have no words.
+    or earlier in the same one. Keys are integers. Rows with the same key and text are one document; different texts of
+    one key are documents that follow each other in the order of a hash, and so are texts without a key, which come last.
+    Null texts have no words.
 
     Documents are dealt into chunks by key hash. (1) Each task names runs and pairs and sends every anchor, about one
     for three words, five bytes each. (2) Per bucket of anchors, those that repeat go back to their chunks. (3) Chunks
@@ -328,7 +329,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     scratch = Scratch(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks, buckets = max(64, total // chunk_bytes), max(64, total // bucket_bytes)
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
+    ids = identified(docs.select(F.col(key), F.col(text).alias("_text")), key, "_text", scratch)
+    rows = ids.rows.select(F.col(ROW_ID).alias("doc"), F.col("_text").alias("text"))
     rows = rows.select("doc", F.pmod(F.xxhash64("doc"), F.lit(chunks)).cast("int").alias("chunk"), "text")
     repeated = repeated_rows(anchor_rows(rows, window, buckets))
     parts = scratch.keep(repeat_rows(candidate_rows(rows, repeated, window, buckets)).drop("bucket"), "parts")
@@ -337,7 +339,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     few = changed.count() <= broadcast_keys
     touched = rows.join(F.broadcast(changed) if few else changed, "doc", "left_semi").select("doc", "chunk", "text")
     cleaned = cleaned_rows(touched, repeats, window)
-    own = F.when(F.col("doc") != LAST, F.col("doc")).cast(docs.schema[key].dataType).alias(key)
+    own = ids.key("doc", docs.schema[key].dataType).alias(key)
     removed = F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed")
     whole = parts.filter(F.col("kind") == DOCUMENT).select("doc", "n_words", "whole")
     if digests:
