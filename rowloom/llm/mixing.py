@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import Scratch, bucket_count, hash_bucket, key_hash, running_totals, words
+from rowloom.llm.common import FEW_ROWS, ROW_ID, Scratch, bucket_count, hash_bucket, identified, key_hash, running_totals, words
 
 #: Virtual time at which the targets are reached.
 CLOCK = 1.0
@@ -96,13 +96,25 @@ def word_count(text: str) -> Column:
     return F.size(words(F.col(text)))
 
 
-def mixed(docs: DataFrame, key: str, source: str, size: Column, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """The rows of the mix with all their columns: each document as often as it is served whole. Rows are joined by key
-    and source, so rows that repeat a key within a source are served as often as all of them together."""
-    served = queue(docs, key, source, size, weights, most).filter("take > 0 AND take = size")
-    times = served.groupBy(F.col(key).alias("_served"), F.col("source").alias("_from")).agg(F.count("*").alias("_times"))
-    rows = docs.groupBy(key, source).agg(F.count("*").alias("_rows")).select(F.col(key).alias("_k"), F.col(source).alias("_s"), "_rows")
-    share = times.join(rows, F.col("_served").eqNullSafe(F.col("_k")) & F.col("_from").eqNullSafe(F.col("_s")))
-    share = share.select("_served", "_from", F.ceil(F.col("_times") / F.col("_rows")).cast("int").alias("_copies"))
-    out = docs.join(share, docs[key].eqNullSafe(share["_served"]) & docs[source].eqNullSafe(share["_from"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+def mixed(docs: DataFrame, key: str, source: str, size: Column, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
+          text: str = "text") -> DataFrame:
+    """The rows of the mix with all their columns: each document as often as it is served whole.
+
+    Rows are told apart by key, text and source. Rows that repeat all three are served as often as all of them together; the
+    least of them stands for each.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = identified(docs, key, text, scratch).rows
+    served = queue(rows, ROW_ID, source, size, weights, most, scratch=scratch).filter("take > 0 AND take = size")
+    times = served.groupBy(F.col(ROW_ID).alias("_served"), F.col("source").alias("_from")).agg(F.count("*").cast("int").alias("_times"))
+    here = (F.col(ROW_ID) == F.col("_served")) & F.col(source).eqNullSafe(F.col("_from"))
+    again = rows.groupBy(ROW_ID, source).count().filter("count > 1").select(F.col(ROW_ID).alias("_served"), F.col(source).alias("_from"))
+    again = scratch.keep(again, "mix_repeated")
+    n = again.count()
+    once = rows
+    if n:
+        again = F.broadcast(again) if n <= FEW_ROWS else again
+        least = rows.join(again, here, "left_semi").groupBy(ROW_ID, source).agg(F.min(F.struct(*[rows[c] for c in rows.columns])).alias("_row"))
+        once = rows.join(again, here, "left_anti").unionByName(least.select("_row.*"))
+    out = once.join(times, here)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import Scratch
+from rowloom.llm.common import ROW_ID, Scratch, identified
 from rowloom.llm.wordblocks import STEP, mix, odd, shingle_sets
 
 SHINGLE = 5
@@ -290,7 +290,7 @@ def near_groups(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, pe
     tested = tested.union(scratch.keep(verified(across.join(tested, ["a", "b"], "left_anti"), sets, percent), "tested3"))
     groups = components(tested.filter("linked").select("a", "b"), scratch, "third")
 
-    out = labelled(members.drop("bands", "planes"), "rep", groups, "component_id")
+    out = labelled(members.drop("bands"), "rep", groups, "component_id")
     return out.select(
         F.col("doc").alias(key), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept")
     )
@@ -302,6 +302,11 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, one of each group, with all their columns."""
-    gone = near_groups(docs, key, text).filter("NOT kept").select(F.col(key).alias("_dropped"))
-    return docs.join(gone, docs[key].cast("long") == gone["_dropped"], "left_anti")
+    """The rows that stay, one document of each group, with all their columns.
+
+    Rows are judged by key and text: different texts of one key, or without a key, are documents of their own, after smaller
+    keys. Rows that repeat both stay or go together.
+    """
+    ids = identified(docs, key, text, Scratch(docs.sparkSession))
+    gone = near_groups(ids.rows, ROW_ID, text).filter("NOT kept").select(ROW_ID)
+    return ids.rows.join(gone, ROW_ID, "left_anti").select(*docs.columns)
