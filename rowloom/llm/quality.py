@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.functions.hashing import hash32
 from rowloom.llm.common import Scratch, digest, key_hash
 from rowloom.llm.wordblocks import STEP, mix, word_hashes
 
@@ -26,6 +27,8 @@ PRIOR, SMOOTHING = 10_000, 0.5
 LENGTH, FEW = 100, 20
 #: Bytes of a text counted at once.
 PIECE = 1 << 20
+#: Points of score by which a document is e times as likely to be drawn as another.
+TEMPERATURE = 6.0
 #: Steps of a score that the top-k tells apart.
 UNIT = 1 << 16
 
@@ -118,9 +121,10 @@ def cut_between(scores: DataFrame, quality: str) -> float | None:
     return float(np.sign(cut) * np.expm1(abs(cut)))
 
 
-def gumbel(key: str) -> Column:
-    """Gumbel noise that depends on the key alone, so that reruns agree."""
-    uniform = (key_hash(key).cast("double") + 0.5) / float(1 << 32)
+def gumbel(key: str, seed: int = 0) -> Column:
+    """Gumbel noise that depends on the key and a seed alone, so that reruns agree."""
+    number = hash32(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed)) if seed else key_hash(key)
+    uniform = (number.cast("double") + 0.5) / float(1 << 32)
     return -F.log(-F.log(uniform))
 
 
@@ -144,12 +148,14 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality",
-             labelled: int = LABELLED) -> DataFrame:
-    """One row per document: the key, score, noisy (score plus Gumbel noise), kept and _digest (of the text).
-
-    The target model is fitted on rows labelled 1, the raw model on every row. The sample's size k is the number of
-    documents whose importance is above the score that best parts the labelled rows kept aside from the fit; the k
-    documents with the highest noisy scores stay, ties included. Null and empty texts score 0 and repeated rows score alike. Without
+             labelled: int = LABELLED, k: int | None = None, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
+    """One row per document: the key, score, noisy (score over the temperature plus Gumbel noise), kept and _digest (of
+    the text).
+
+    The target model is fitted on rows labelled 1, the raw model on every row. The k documents with the highest noisy
+    scores stay, ties included: a draw of k documents one after another, each with a chance in proportion to its
+    importance exp(score / temperature) among those that are left. Without ``k`` it is the number of documents whose score is above the one
+    that best parts the labelled rows kept aside from the fit. Null and empty texts score 0 and repeated rows score alike. Without
     labels of both classes every document stays.
     """
     scratch = Scratch(docs.sparkSession)
@@ -161,11 +167,14 @@ def verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     rows = rows.withColumn("_fit", F.when(~aside, F.col("_quality"))).withColumn("_aside", F.when(aside, F.col("_quality")))
     ratio = fit(rows, "_text", "_fit")
     scores = scored(rows.select("_key", "_fit", "_aside", digest("_text").alias("_digest"), "_text"), "_text", ratio)
-    scores = scratch.keep(scores.withColumn("noisy", F.col("score") + gumbel("_key")).withColumn("_rank", F.floor(F.col("noisy") * UNIT).cast("long")), "scores")
-    cut = cut_between(scores, "_aside") or cut_between(scores, "_fit")
+    scores = scratch.keep(scores.withColumn("noisy", F.col("score") / temperature + gumbel("_key", seed)).withColumn("_rank", F.floor(F.col("noisy") * UNIT).cast("long")), "scores")
+    if k is None:
+        cut = cut_between(scores, "_aside")
+        cut = cut_between(scores, "_fit") if cut is None else cut
+        k = None if cut is None else scores.filter(F.col("score") >= cut).count()
     kept = F.lit(True)
-    if cut is not None:
-        bound = kth_largest(scores, "_rank", scores.filter(F.col("score") >= cut).count())
+    if k is not None and k < scores.count():
+        bound = kth_largest(scores, "_rank", k)
         kept = F.lit(False) if bound is None else F.col("_rank") >= bound
     return scores.select(F.col("_key").alias(key), "score", "noisy", kept.alias("kept"), "_digest")
 
