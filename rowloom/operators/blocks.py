@@ -1,4 +1,4 @@
-"""All-pairs work cut into equal chunk pairs.
+"""All-pairs work cut into equal chunk pairs, and small matrices summed up over all tasks.
 
 Both sides are cut into chunks by the hash of their unique key, so chunks are even whatever the data looks
 like; every left chunk meets every right chunk in one task, and only per-row partial results leave it.
@@ -7,14 +7,18 @@ like; every left chunk meets every right chunk in one task, and only per-row par
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.functions.vectors import matrix, vector_array
+
 #: Bytes of vectors in a chunk. Each row is copied once per chunk of the other side, so large chunks mean few copies.
 CHUNK_BYTES = 64 << 20
+FEW_TASKS = 16
 
 
 def chunk_count(rows: int, width: int, chunk_rows: int | None = None) -> int:
@@ -44,3 +48,35 @@ def over_chunk_pairs(
     )
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # fresh columns where both sides are one table
     return left.groupBy(*within, "_l", "_r").cogroup(right.groupBy(*within, "_l", "_r")).applyInArrow(work, schema)
+
+
+def tree_reduced(
+    table: DataFrame, columns: list[str], reduce_rows: Callable[..., np.ndarray], merge: Callable[[list[np.ndarray]], np.ndarray],
+    partitions: int | None = None,
+) -> np.ndarray:
+    """A small matrix per task from ``reduce_rows`` of the array columns, merged in a tree on the executors; the matrices of
+    up to ``FEW_TASKS`` tasks are merged on the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            if batch.num_rows:
+                found = reduce_rows(*[matrix(batch.column(c)) for c in columns])
+                state = found if state is None else merge([state, found])
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([state.shape[0]], pa.int32()), vector_array(state.reshape(1, -1))], ["n", "state"])
+
+    def joined(states: pa.Table) -> pa.Table:
+        parts = [np.array(v).reshape(n, -1) for n, v in zip(states.column("n").to_pylist(), states.column("state").to_pylist())]
+        state = merge(parts)
+        out = pa.table({"n": pa.array([state.shape[0]], pa.int32()), "state": vector_array(state.reshape(1, -1))})
+        return out.append_column("fan", states.column("fan").slice(0, 1)) if "fan" in states.column_names else out
+
+    parts = table.select(*columns).mapInArrow(work, "n int, state array<double>")
+    partitions = table.rdd.getNumPartitions() if partitions is None else partitions
+    if partitions <= FEW_TASKS:
+        return merge([np.array(r["state"]).reshape(r["n"], -1) for r in parts.collect()])
+    fan = math.ceil(partitions**0.5)
+    parts = parts.withColumn("fan", (F.spark_partition_id() % fan).cast("int")).groupBy("fan").applyInArrow(joined, "n int, state array<double>, fan int").drop("fan")
+    row = parts.groupBy().applyInArrow(joined, "n int, state array<double>").first()
+    return np.array(row["state"]).reshape(row["n"], -1)

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -17,13 +12,14 @@ from pyspark.sql import functions as F
 from rowloom.functions.vectors import distance_error, doubles, matrix, paired_squares, squared_distances
 from rowloom.operators.blocks import chunk_count, over_chunk_pairs
 from rowloom.operators.cells import nearest
+from rowloom.operators.kmeans import Fit, fit
 from rowloom.operators.knn import K_VALUES, choose_k, knn_join
-from rowloom.operators.sampling import cached, compact, subsample
+from rowloom.operators.sampling import cached, subsample
 from rowloom.session import ensure_checkpoint_dir
 
 MAX_CENTROID_BYTES = 64 << 20
 SLICE_CELLS = 1 << 22
-FITS_AT_ONCE = 4
+STARTS = 3
 EXACT_PAIRS = 1 << 16
 #: Squared distances below so many error bounds are measured directly.
 CANCELS = 1e6
@@ -178,6 +174,20 @@ def silhouette_score(
     return rows.groupBy("group", "which").agg(F.avg("silhouette").alias("score"))
 
 
+def assign_all(df: DataFrame, vector: str, fitted: Fit, output: str = "clusters") -> DataFrame:
+    """Add an array with the nearest centre of the best run of every k (ties: the first), in the order of the fit."""
+    centres = [run.centres for run in fitted.best.values()]
+
+    @F.arrow_udf("array<int>")
+    def lookup(vectors: pa.Array) -> pa.Array:
+        block = matrix(vectors) if len(vectors) else np.zeros((0, centres[0].shape[1]))
+        found = np.stack([nearest_rows(block, c) for c in centres], axis=1).astype(np.int32)
+        ends = np.arange(0, found.size + 1, len(centres), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.reshape(-1)))
+
+    return df.withColumn(output, lookup(vector))
+
+
 def kmeans_sweep(
     df: DataFrame,
     key: str,
@@ -188,31 +198,23 @@ def kmeans_sweep(
     max_iter: int = 300,
     points: str | None = None,
     categories: int = 0,
+    starts: int = STARTS,
 ) -> DataFrame:
     """k-means on distinct train vectors for every k, until the centres stay, chosen by validation silhouette.
 
-    ``points`` names an ML vector column to cluster on where ``vector`` holds category codes. Result:
+    All k and ``starts`` run together; of the starts of a k the one with the lowest inertia counts. ``points`` names an ML vector
+    column to cluster on where ``vector`` holds category codes. Result:
     (k, validation_score, test_score, chosen). A clustering that puts all validation rows into one cluster
     scores 0 there; on test the score is null.
     """
-    features = F.col(points) if points else array_to_vector(doubles(vector))
+    features = vector_to_array(points) if points else doubles(vector)
     work = df.select(key, "split", doubles(vector).alias("v"), features.alias("features"))
     train = work.filter(F.col("split") == "train")
     if max_train_rows:
         train = subsample(train, key, max_train_rows, seed)
-    train = compact(train.dropDuplicates(["v"]).select("features"), rows_per_partition=1024)
-
-    def fit(k: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-6, predictionCol=f"_c{k}").fit(train)
-
-    with ThreadPoolExecutor(min(len(ks), FITS_AT_ONCE)) as pool:
-        running = [pool.submit(inheritable_thread_target(df.sparkSession)(partial(fit, k))) for k in ks]
-        models = [r.result() for r in running]
-    train.unpersist()
-    held = work.filter(F.col("split").isin("validation", "test"))
-    for model in models:
-        held = model.transform(held)
-    held = cached(held.select(key, "split", "v", F.array(*[f"_c{k}" for k in ks]).alias("clusters")))
+    fitted = fit(train.dropDuplicates(["v"]), "features", ks, starts, seed, max_iter)
+    held = assign_all(work.filter(F.col("split").isin("validation", "test")), "features", fitted)
+    held = cached(held.select(key, "split", "v", "clusters"))
     scored = silhouette_score(held, key, "v", "clusters", "split", categories).collect()
     held.unpersist()
     rows = [(ks[r["which"]], r["group"], r["score"] if r["group"] == "test" else r["score"] or 0.0) for r in scored]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.text import tokens
 from rowloom.functions.vectors import doubles, matrix, vector_array
+from rowloom.operators.blocks import tree_reduced
 from rowloom.operators.encoding import rank_levels
 from rowloom.operators.lookup import lookup_join
 from rowloom.operators.sampling import cached, compact
@@ -301,40 +302,15 @@ def _turned(columns: str, turn: np.ndarray):
     return times(columns)
 
 
-def _reduced(table: DataFrame, columns: list[str], reduce_rows: Callable[..., np.ndarray], merge: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
-    """A small matrix per task from ``reduce_rows`` of the array columns, merged in a tree on the executors."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
-        for batch in batches:
-            if batch.num_rows:
-                found = reduce_rows(*[matrix(batch.column(c)) for c in columns])
-                state = found if state is None else merge([state, found])
-        if state is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([state.shape[0]], pa.int32()), vector_array(state.reshape(1, -1))], ["n", "state"])
-
-    def joined(states: pa.Table) -> pa.Table:
-        parts = [np.array(v).reshape(n, -1) for n, v in zip(states.column("n").to_pylist(), states.column("state").to_pylist())]
-        state = merge(parts)
-        out = pa.table({"n": pa.array([state.shape[0]], pa.int32()), "state": vector_array(state.reshape(1, -1))})
-        return out.append_column("fan", states.column("fan").slice(0, 1)) if "fan" in states.column_names else out
-
-    parts = table.select(*columns).mapInArrow(work, "n int, state array<double>")
-    fan = math.ceil(table.rdd.getNumPartitions() ** 0.5)
-    parts = parts.withColumn("fan", (F.spark_partition_id() % fan).cast("int")).groupBy("fan").applyInArrow(joined, "n int, state array<double>, fan int").drop("fan")
-    row = parts.groupBy().applyInArrow(joined, "n int, state array<double>").first()
-    return np.array(row["state"]).reshape(row["n"], -1)
-
-
 def _inner(table: DataFrame, left: str, right: str) -> np.ndarray:
     """left' right over all rows."""
-    return _reduced(table, [left, right], lambda a, b: a.T @ b, lambda parts: np.sum(parts, axis=0))
+    return tree_reduced(table, [left, right], lambda a, b: a.T @ b, lambda parts: np.sum(parts, axis=0))
 
 
 def _triangle(table: DataFrame, column: str) -> np.ndarray:
     """R of the tall matrix in an array column: QR of each task's rows, then of stacked triangles (a tall-skinny QR)."""
     upper = lambda a: np.linalg.qr(a, mode="r")
-    return _reduced(table, [column], upper, lambda parts: upper(np.concatenate(parts)))
+    return tree_reduced(table, [column], upper, lambda parts: upper(np.concatenate(parts)))
 
 
 def _fit_by_joins(cls, cells: DataFrame, key: str, words: DataFrame, n_terms: int, n_docs: int, k: int, width: int, tolerance: float, seed: int):

@@ -9,7 +9,10 @@ from rowloom.cards import column_levels
 from rowloom.models.embedder import RowPacker, TableEmbedder, TablePredictor
 from rowloom.models.networks import METHODS, Design, Variable, anchor_count
 from rowloom.models.trainer import Settings
-from rowloom.operators.cluster import kmeans_sweep
+from rowloom.functions.vectors import doubles
+from rowloom.operators.cluster import assign_all, kmeans_sweep
+from rowloom.operators.kmeans import fit
+from rowloom.operators.knn import K_VALUES
 from rowloom.operators.metrics import imputation_scores
 from rowloom.operators.sampling import cached
 from rowloom.operators.words import TextComponents, dense_components
@@ -82,6 +85,29 @@ def kmeans_sweep_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return kmeans_sweep(inputs.embeddings(spark, folder), "vec_id", "embedding")
 
 
+def kmeans_fixed_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Per k: how far centres are from the means of the rows nearest to them, and the spread within and between clusters
+    together, which is the whole spread only if they are those means."""
+    train = inputs.embeddings(spark, folder).filter("split = 'train'").select(doubles("embedding").alias("v")).distinct()
+    fitted = fit(train, "v", K_VALUES)
+    centres = [(k, c, v.tolist()) for k, run in fitted.best.items() for c, v in enumerate(run.centres)]
+    table = F.broadcast(spark.createDataFrame(centres, "k int, cluster int, centre array<double>"))  # one row per centre
+    ks = F.array(*map(F.lit, K_VALUES))
+    rows = assign_all(train, "v", fitted).select("v", F.inline(F.arrays_zip(ks.alias("k"), F.col("clusters").alias("cluster"))))
+    within = F.aggregate(F.zip_with("v", "centre", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda t, x: t + x)
+    span = range(EMBEDDING_WIDTH)
+    clusters = rows.join(table, ["k", "cluster"]).groupBy("k", "cluster", "centre").agg(
+        F.count("*").alias("n"), F.sum(within).alias("within"), F.array(*[F.avg(F.col("v")[i]) for i in span]).alias("mean")
+    )
+    middle = train.agg(F.array(*[F.avg(F.col("v")[i]) for i in span]).alias("middle"))
+    apart = F.aggregate(F.zip_with("centre", "middle", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda t, x: t + x)
+    off = F.array_max(F.zip_with("mean", "centre", lambda x, c: F.abs(x - c)))
+    found = clusters.join(F.broadcast(middle)).groupBy("k")
+    return found.agg(
+        F.sum("n").alias("n"), F.round(F.max(off), 6).alias("off_centre"), F.round(F.sum(F.col("within") + F.col("n") * apart), 5).alias("spread")
+    )
+
+
 def pca_text(spark: SparkSession, folder: str) -> DataFrame:
     df = inputs.documents(spark, folder)
     fitted = TextComponents.fit(df, "doc_id", "text")
@@ -131,6 +157,7 @@ QUERIES = {
     "method_losses": method_losses,
     "param_counts": param_counts,
     "kmeans_sweep": kmeans_sweep_embeddings,
+    "kmeans_fixed_points": kmeans_fixed_points,
     "pca_text": pca_text,
     "pca_dense": pca_dense,
     "pca_moments": pca_moments,
@@ -144,6 +171,11 @@ _L, _H, _P, _K = LATENT, HIDDEN, PHI[0], anchor_count(BATCH_ROWS)
 _M = len(PARTS_FEATURES)
 
 ORACLES = {
+    "kmeans_fixed_points": f"""WITH d AS {inputs.EMBEDDINGS_SQL}, t AS (SELECT DISTINCT embedding FROM d WHERE split = 'train'),
+      r AS (SELECT row_number() OVER () AS r, embedding FROM t),
+      e AS (SELECT r, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM r),
+      s AS (SELECT i, var_pop(x) * count(*) AS s FROM e GROUP BY i)
+      SELECT k::INT AS k, (SELECT count(*) FROM r) AS n, 0.0 AS off_centre, round((SELECT sum(s) FROM s), 5) AS spread FROM range(2, 11) t(k)""",
     "pca_moments": f"""WITH d AS {inputs.EMBEDDINGS_SQL}, t AS (SELECT vec_id, embedding FROM d WHERE split = 'train'),
       e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM t),
       m AS (SELECT i, avg(x) AS mean FROM e GROUP BY i), z AS (SELECT vec_id, e.i, x - mean AS x FROM e JOIN m ON e.i = m.i),
