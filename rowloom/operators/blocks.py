@@ -75,7 +75,8 @@ def tree_reduced(
     parts = table.select(*columns).mapInArrow(work, "n int, state array<double>")
     partitions = table.rdd.getNumPartitions() if partitions is None else partitions
     if partitions <= FEW_TASKS:
-        return merge([np.array(r["state"]).reshape(r["n"], -1) for r in parts.collect()])
+        found = parts.toArrow()
+        return merge([matrix(found.column("state").slice(i, 1)).reshape(n, -1) for i, n in enumerate(found.column("n").to_pylist())])
     fan = math.ceil(partitions**0.5)
     parts = parts.withColumn("fan", (F.spark_partition_id() % fan).cast("int")).groupBy("fan").applyInArrow(joined, "n int, state array<double>, fan int").drop("fan")
     row = parts.groupBy().applyInArrow(joined, "n int, state array<double>").first()

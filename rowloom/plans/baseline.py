@@ -2,41 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.cards import DataCard
+from rowloom.operators.boosting import DEPTH, ROUNDS, STEP, fit_boosted
 from rowloom.operators.cluster import kmeans_sweep
 from rowloom.operators.encoding import LevelCodes, one_hot_sparse
 from rowloom.operators.knn import K_VALUES, knn_sweep
 from rowloom.operators.metrics import balanced_accuracy, mse
 from rowloom.operators.sampling import cached, with_split
 
-# Settings of the boosted trees.
-ROUNDS, DEPTH, STEP = 100, 6, 0.3
 
+def tree_baseline(df: DataFrame, card: DataCard, rounds: int = ROUNDS, depth: int = DEPTH, step: float = STEP) -> DataFrame:
+    """(split, score) of boosted trees fitted on all train rows: softmax over the classes, or squared error.
 
-def tree_baseline(df: DataFrame, card: DataCard, rounds: int = ROUNDS, depth: int = DEPTH, step: float = STEP, seed: int = 0) -> DataFrame:
-    """(split, score) of boosted trees fitted on all train rows; one model against the rest for each of more than two classes."""
-    sparse = one_hot_sparse(df, card.cat_features, card.num_features)
-    response = card.response
-    if card.task == "regression":
-        data = sparse.select("split", "features", F.col(response).cast("double").alias("target"))
-        model = GBTRegressor(labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
-    else:
-        coded = LevelCodes.fit(sparse.select("split", response, "features"), [response], order="numeric", train_only=True, unseen="keep")
-        data = coded.transform(sparse.select("split", response, "features"))
-        data = data.select("split", "features", F.col(response).cast("double").alias("target"))
-        model = GBTClassifier(labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
-        if coded.sizes[response] > 2:
-            model = OneVsRest(classifier=model, labelCol="target")
-    data = cached(data)
-    fitted = model.fit(data.filter(F.col("split") == "train"))
-    scored = fitted.transform(data.filter(F.col("split") != "train"))
+    Levels and classes that train rows lack are no level of a split and never predicted.
+    """
+    response, coded = card.response, df
+    sizes: list[int] = []
+    if card.cat_features:
+        levels = LevelCodes.fit(df, card.cat_features, order="numeric", train_only=True, unseen="null")
+        coded, sizes = levels.transform(df), [levels.sizes[c] for c in card.cat_features]
+    classes = 0
+    if card.task != "regression":
+        answers = LevelCodes.fit(df, [response], order="numeric", train_only=True, unseen="keep")
+        coded, classes = answers.transform(coded), answers.sizes[response]
+    coded = cached(coded.select("split", *[F.col(f"`{c}`") for c in (*card.cat_features, *card.num_features, response)]))
+    model = fit_boosted(
+        coded.filter(F.col("split") == "train"), card.cat_features, sizes, card.num_features, response, classes, rounds, depth, step
+    )
+    scored = model.predict(coded.filter(F.col("split") != "train"), card.cat_features, card.num_features)
     rule = mse if card.task == "regression" else balanced_accuracy
-    return rule(scored, "target", "prediction", ["split"])
+    return rule(scored.withColumn("target", F.col(f"`{response}`").cast("double")), "target", "prediction", ["split"])
 
 
 def shallow_scores(
@@ -91,7 +89,7 @@ def baseline_run(df: DataFrame, card: DataCard, replicate: int = 0, rounds: int
     if card.txt or card.dense or card.response is None:
         raise ValueError("the baseline takes tables of categories and numbers with a response")
     df = cached(with_split(df.drop("split"), card.key, seed=replicate))
-    trees = {r["split"]: r["score"] for r in tree_baseline(df, card, rounds=rounds, seed=replicate).collect()}
+    trees = {r["split"]: r["score"] for r in tree_baseline(df, card, rounds=rounds).collect()}
     kmeans_perf, knn_perf = shallow_scores(
         coded_features(df, card), card.key, card.task, ks, seed=replicate, points="points", categories=len(card.cat_features)
     )

@@ -10,7 +10,9 @@ from rowloom.models.embedder import RowPacker, TableEmbedder, TablePredictor
 from rowloom.models.networks import METHODS, Design, Variable, anchor_count
 from rowloom.models.trainer import Settings
 from rowloom.functions.vectors import doubles
+from rowloom.operators.boosting import fit_boosted
 from rowloom.operators.cluster import assign_all, kmeans_sweep
+from rowloom.operators.encoding import LevelCodes
 from rowloom.operators.kmeans import fit
 from rowloom.operators.knn import K_VALUES
 from rowloom.operators.metrics import imputation_scores
@@ -24,9 +26,9 @@ from rowloom.sources.grids import RunGrid
 
 BATCH_ROWS = 256
 EMBEDDING_WIDTH = 64
+QUICK_ROUNDS = 8
 LATENT, HIDDEN, PHI = 16, 32, (32,)
 QUICK = Settings(epochs=2, batch_size=BATCH_ROWS, learning_rate=0.005)
-QUICK_ROUNDS = 8
 PARTS_FEATURES = ("p_brand", "p_type", "p_size")
 
 
@@ -140,6 +142,23 @@ def tree_baseline_orders(spark: SparkSession, folder: str) -> DataFrame:
     return tree_baseline(inputs.orders(spark, folder), inputs.ORDERS, rounds=QUICK_ROUNDS)
 
 
+def boosted_stump(spark: SparkSession, folder: str) -> DataFrame:
+    """The first split of a boosted regression of the price: which level or bound parts it best, and both leaves."""
+    df = inputs.parts(spark, folder).filter("split = 'train'")
+    levels = LevelCodes.fit(df, ["p_brand", "p_type"])
+    codes = levels.transform(df)
+    model = fit_boosted(codes, levels.columns, [levels.sizes[c] for c in levels.columns], ["p_size"], "p_retailprice", rounds=1, depth=1)
+    tree = model.rounds[0][0]
+    variable, at = tree.splits[0]
+    name = [*levels.columns, "p_size"][variable]
+    parts = model.predict(codes, levels.columns, ["p_size"]).groupBy(F.round("prediction", 4).alias("prediction")).agg(F.count("*").alias("n"))
+    if variable < len(levels.columns):
+        bound = levels.table.filter((F.col("variable") == name) & (F.col("code") == at)).select(F.col("level").alias("bound"))
+    else:
+        bound = spark.range(1).select(F.lit(str(int(model.cuts[0][at]))).alias("bound"))
+    return parts.join(F.broadcast(bound)).select(F.lit(name).alias("variable"), "bound", "prediction", "n")
+
+
 def baseline_replicate(spark: SparkSession, folder: str) -> DataFrame:
     return baseline_run(inputs.parts(spark, folder), inputs.PARTS, rounds=QUICK_ROUNDS)
 
@@ -161,6 +180,7 @@ QUERIES = {
     "pca_text": pca_text,
     "pca_dense": pca_dense,
     "pca_moments": pca_moments,
+    "boosted_stump": boosted_stump,
     "tree_baseline": tree_baseline_parts,
     "tree_baseline_classes": tree_baseline_orders,
     "baseline_run": baseline_replicate,
@@ -171,6 +191,15 @@ _L, _H, _P, _K = LATENT, HIDDEN, PHI[0], anchor_count(BATCH_ROWS)
 _M = len(PARTS_FEATURES)
 
 ORACLES = {
+    "boosted_stump": f"""WITH p AS {inputs.PARTS_SQL}, t AS (SELECT * FROM p WHERE split = 'train'),
+      a AS (SELECT avg(p_retailprice) AS base, count(*) AS n FROM t), r AS (SELECT *, p_retailprice - base AS g FROM t, a),
+      s AS (SELECT 'p_brand' AS variable, p_brand AS bound, count(*) AS n_l, sum(g) AS s_l FROM r GROUP BY p_brand
+        UNION ALL SELECT 'p_type', p_type, count(*), sum(g) FROM r GROUP BY p_type
+        UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), sum(count(*)) OVER w, sum(sum(g)) OVER w FROM r GROUP BY p_size WINDOW w AS (ORDER BY p_size)),
+      best AS (SELECT *, n - n_l AS n_r FROM s, a WHERE n_l < n
+        ORDER BY s_l * s_l / (n_l + 1) + s_l * s_l / (n - n_l + 1) DESC LIMIT 1)
+      SELECT variable, bound, round(base + 0.3 * s_l / (n_l + 1), 4) AS prediction, n_l::BIGINT AS n FROM best
+      UNION ALL SELECT variable, bound, round(base - 0.3 * s_l / (n_r + 1), 4), n_r::BIGINT FROM best""",
     "kmeans_fixed_points": f"""WITH d AS {inputs.EMBEDDINGS_SQL}, t AS (SELECT DISTINCT embedding FROM d WHERE split = 'train'),
       r AS (SELECT row_number() OVER () AS r, embedding FROM t),
       e AS (SELECT r, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM r),
