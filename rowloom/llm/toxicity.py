@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.llm.common import Scratch
+
 #: Subsequences of so many characters, each skipped or spanned character costing the decay.
 ORDER, DECAY = 3, 0.75
 LANDMARKS = 160
@@ -37,8 +39,10 @@ SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\s.\-_*]+[^\W_](?![^\W_])){2,}")
 LONE = re.compile(r"[\s.\-_*][^\W_][\s.\-_*]+[^\W_](?![^\W_])")
 #: Windows compared at a time.
 WINDOWS = 20_000
-#: Words a worker remembers; then it starts afresh. Longer words are met in pieces.
+#: Words a worker remembers; then it starts afresh. Longer words are met in pieces that start every LONGEST characters.
 REMEMBERED, LONGEST = 1_000_000, 32
+#: The corpus's met words are sent to every worker below this size, each counted with so much for its entry.
+SENT_BYTES, ENTRY_BYTES = 128 << 20, 120
 THRESHOLD = 0.3
 
 
@@ -103,22 +107,23 @@ def masks(rows: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def strength(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel of words with landmarks (words x landmarks), 0 to 1: the best window of the word, both sides normalised,
-    to the power POWER.
+    """Kernel of words with landmarks (words x landmarks), 0 to 1: the best window of the word that starts at one of the
+    landmark's first two letters, both sides normalised, to the power POWER.
 
     It is 0 where more than one of the landmark's letters, or more than a third of its neighbouring pairs and more than
     the two of one letter (with up to SLACK characters inserted), are missing, so most words cost two bit tests.
     """
     out = np.zeros((len(words), len(landmarks)), np.float32)
     pieces, owner = [], []
+    reach = max((len(m) for m in landmarks), default=0) + SLACK  # a piece holds the whole windows that start in its first part
     for i, w in enumerate(words):
-        for a in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2):
-            pieces.append(w[a:a + LONGEST])
+        for a in range(0, max(1, len(w)), LONGEST):
+            pieces.append(w[a:a + LONGEST + reach])
             owner.append(i)
     own = np.array(owner, np.int64)
-    rows = codes(pieces, LONGEST)
+    rows = codes(pieces, LONGEST + reach)
     letters, pairs = masks(rows, SLACK + 1)
-    padded = np.hstack([rows, np.full((len(rows), LONGEST), -1, np.int32)])
+    padded = rows
     by_length: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
     for k, landmark in enumerate(landmarks):
         mark = codes([landmark], len(landmark))
@@ -126,7 +131,7 @@ def strength(words: list[str], landmarks: list[str]) -> np.ndarray:
         missing = np.bitwise_count(need_pairs & ~pairs)
         near = np.flatnonzero((np.bitwise_count(need_letters & ~letters) <= 1) & (missing <= max(2, (len(landmark) - 1) // 3)))
         # the best window starts at the landmark's first letter, or at its second if the first is missing
-        at, start = np.nonzero(np.isin(rows[near], mark[0, :2]))
+        at, start = np.nonzero(np.isin(rows[near, :LONGEST], mark[0, :2]))
         by_length.setdefault(len(landmark), []).append((np.full(len(at), k), near[at], start))
     for length, found in by_length.items():
         kind, piece, start = (np.concatenate(c) for c in zip(*found))
@@ -164,14 +169,17 @@ class Machine:
     weights: np.ndarray
     curve: np.ndarray
 
-    def worst(self, features: np.ndarray) -> np.ndarray:
-        """The WORST greatest margins over rows of landmark strengths; sentences that meet none stand in for absent ones."""
-        margins = features @ self.basis @ self.weights[:-1] + self.weights[-1]
-        return np.sort(np.append(margins, np.full(WORST, self.weights[-1])))[::-1][:WORST]
+    def pulls(self, strengths: np.ndarray) -> np.ndarray:
+        """What each row of strengths adds to a margin; rows are summed one by one, so that none depends on its neighbours."""
+        return (strengths.astype(float) * (self.basis @ self.weights[:-1])).sum(axis=1)
+
+    def worst(self, pulls: np.ndarray | list[float]) -> np.ndarray:
+        """The WORST greatest margins of sentences; sentences that meet no landmark stand in for absent ones."""
+        return np.sort(np.append(pulls, np.zeros(WORST)))[::-1][:WORST] + self.weights[-1]
 
-    def score(self, features: np.ndarray) -> float:
+    def score(self, pulls: np.ndarray | list[float]) -> float:
         """0 to 1 for the sentences of a document."""
-        return float(logistic(np.append(self.worst(features), 1.0) @ self.curve))
+        return float(logistic(np.append(self.worst(pulls), 1.0) @ self.curve))
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -213,6 +221,57 @@ class Meter:
         return out
 
 
+def distinct_words(text: str) -> set[str]:
+    """The words of a text's sentences. No sentence ends inside a piece, so only spelled-out words need the sentences."""
+    low = text.lower()
+    found = set(low.split())
+    if LONE.search(low):
+        found.update(w for s in sentences(text) for w in sentence_words(s))
+    return found
+
+
+def met_words(fresh: list[str], machine: Machine) -> dict[str, float]:
+    """Words that any landmark meets, with their pulls."""
+    out = {}
+    for first in range(0, len(fresh), 50_000):
+        part = fresh[first:first + 50_000]
+        found = strength([CLEANED.sub("", w) for w in part], machine.landmarks)
+        met = np.flatnonzero(found.any(axis=1))
+        out.update(zip([part[i] for i in met.tolist()], machine.pulls(found[met]).tolist()))
+    return out
+
+
+def corpus_words(texts: DataFrame, shared, scratch: Scratch) -> DataFrame:
+    """Rows (word, pull) of the words of all texts that any landmark meets, each distinct word met by one task.
+
+    Tasks drop their own repeats first, so a word of every text is sent once per task and flush.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            fresh: set[str] = set()
+            for text in batch.column(0).to_pylist():
+                if text:
+                    fresh |= distinct_words(text) - seen
+            seen |= fresh
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            for part in in_groups(list(fresh)):
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["word"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in in_groups(batch.column(0).to_pylist()):
+                met = met_words(part, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string()), pa.array(list(met.values()), pa.float64())], ["word", "pull"])
+
+    spark = texts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    words = texts.mapInArrow(listed, "word string").repartition(parts, "word").distinct()
+    return scratch.keep(words.mapInArrow(meet, "word string, pull double"), "met_words")
+
+
 def in_groups(texts: list[str | None], size: int = 4_000_000) -> Iterator[list[str]]:
     group, total = [], 0
     for text in texts:
@@ -322,7 +381,7 @@ def train_machine(train: DataFrame, landmarks: int = LANDMARKS) -> Machine:
     label = np.concatenate([np.ones((y > 0).sum()), -np.ones((y < 0).sum() * WORST)])
     weight = np.where(label > 0, 0.5 / max(1, (label > 0).sum()), 0.5 / max(1, (label < 0).sum()))
     machine = Machine(marks, basis, squared_hinge(one @ basis, label, weight), np.zeros(WORST + 1))
-    machine.curve = calibrated(np.array([machine.worst(f) for f in x]), y)
+    machine.curve = calibrated(np.array([machine.worst(machine.pulls(f)) for f in x]), y)
     return machine
 
 
@@ -342,28 +401,53 @@ def held_out(key: str):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic",
-             threshold: float = THRESHOLD, landmarks: int = LANDMARKS) -> DataFrame:
+             threshold: float = THRESHOLD, landmarks: int = LANDMARKS, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """One row per document: the key, held_out, score and predicted.
 
     A document scores by its worst sentences; one whose sentences meet no landmark, such as a null or empty text, has
     the score of no match. Only texts are scored. Without toxic labels nothing is predicted toxic.
+
+    A sentence's margin is the sum of its words' pulls, so each distinct word of the corpus meets the landmarks once, and
+    workers that score look pulls up. If the met words are beyond ``sent_bytes``, workers meet the words of their own
+    texts instead, with the same scores.
     """
+    spark = docs.sparkSession
     train = training_rows(docs, labels, key, text, toxic).repartition(24).persist()
     machine = train_machine(train, landmarks)
     train.unpersist()
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = spark.sparkContext.broadcast(machine)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    known = None
+    if machine.landmarks:
+        scratch = Scratch(spark)
+        met = corpus_words(rows.select("_text"), shared, scratch)
+        size = met.agg(F.sum(F.octet_length("word") + ENTRY_BYTES)).first()[0] or 0
+        if size <= sent_bytes:
+            table = met.toArrow()
+            known = spark.sparkContext.broadcast(dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist())))
+        scratch.drop("met_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        meter = Meter(fitted.landmarks)
-        none = fitted.score(np.zeros((0, len(fitted.landmarks))))
+        pulls = known.value if known else {}
+        none = fitted.score([])
+        seen: set[str] = set()
         for batch in batches:
             values = []
             for group in in_groups(batch.column(1).to_pylist()):
-                for found in meter.features(group) if fitted.landmarks else [[]] * len(group):
-                    values.append(fitted.score(found) if len(found) else none)
+                if fitted.landmarks and not known:
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                        pulls.clear()
+                    fresh = set().union(*[distinct_words(t) for t in group]) - seen
+                    pulls.update(met_words(list(fresh), fitted))
+                    seen |= fresh
+                for t in group:
+                    if pulls.keys().isdisjoint(t.lower().split()) and not LONE.search(t.lower()):
+                        values.append(none)
+                        continue
+                    values.append(fitted.score([sum([pulls[w] for w in sentence_words(s) if w in pulls]) for s in sentences(t)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["_key", "score"])
 
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     scores = rows.mapInArrow(run, f"_key {docs.schema[key].dataType.simpleString()}, score double").withColumnRenamed("_key", key)
     return scores.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

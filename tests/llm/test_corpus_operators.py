@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -329,6 +330,36 @@ def test_short_landmarks_tolerate_one_inserted_or_missing_character(landmark):
     assert toxicity.strength([landmark, "xyzw"], [landmark])[:, 0].tolist() == pytest.approx([1, 0])
 
 
+def best_window(word, landmark):
+    """The strength over every window of a word that starts at one of the landmark's first two letters, by the kernel alone."""
+    width, mark = len(landmark) + toxicity.SLACK, toxicity.codes([landmark], len(landmark))
+    windows = toxicity.codes([word[i:i + width] for i in range(len(word)) if word[i] in landmark[:2]] or [""], width)
+    own = toxicity.subsequence_kernel(windows, windows)
+    value = toxicity.subsequence_kernel(mark, windows) / (toxicity.subsequence_kernel(mark, mark) * (own + 1e-300)) ** 0.5
+    return max([v ** toxicity.POWER for v in value if v >= toxicity.MEETS], default=0.0)
+
+
+def test_strength_equals_the_best_of_all_windows():
+    rng = random.Random(8)
+    marks = ["scum", "idiot", "moron", "stupid", "glorfing", "abcdefghijklmnopqrst"]
+    for landmark in marks:
+        words = [landmark]
+        for i in range(len(landmark)):
+            words += [landmark[:i] + "x" + landmark[i:], landmark[:i] + landmark[i + 1:]]
+        words += ["".join(rng.choices("bvwxyz", k=n)) + w + "".join(rng.choices("bvwxyz", k=m)) for w in words[:9] for n, m in ((0, 3), (4, 0), (9, 30), (27, 9), (31, 70), (300, 1))]
+        found = toxicity.strength(words, marks)[:, marks.index(landmark)]
+        assert found.tolist() == pytest.approx([best_window(w, landmark) for w in words], abs=1e-5)
+    noise = ["".join(rng.choices("abcdeimnorstu", k=rng.randint(1, 90))) for _ in range(200)]
+    found = toxicity.strength(noise, marks)
+    assert all(found[i, k] <= best_window(w, m) + 1e-5 for i, w in enumerate(noise) for k, m in enumerate(marks))
+
+
+def test_distinct_words_are_those_of_the_sentences():
+    texts = [r[1] or "" for r in ROWS] + ["ΑΣ. ΣΑΣ\nΟΔΟΣ ", "i d i o t. I am\x0bhere\u2003s-n-a-b", "a b c. D e. f"]
+    for text in texts:
+        assert toxicity.distinct_words(text) == {w for s in toxicity.sentences(text) for w in toxicity.sentence_words(s)}
+
+
 @pytest.mark.parametrize("mark", ["-", "*", "_", "."])
 def test_spelled_out_words_are_joined_whatever_marks_surround_the_letters(mark):
     meter = toxicity.Meter(["idiot"])
@@ -371,6 +402,14 @@ def test_toxicity_tolerates_gaps_and_learns(spark):
     assert [i for i in range(200) if found[i]["held_out"]] == held
     assert all(found[i]["predicted"] == int(i % 5 == 0) for i in held)
     assert [found[i]["predicted"] for i in range(500, 506)] == [1, 1, 1, 0, 0, 0]
+    again = by_id(toxicity.toxicity(df.repartition(7), marks, sent_bytes=0))  # workers meet the words of their own texts
+    assert again == found
+    machine = toxicity.train_machine(toxicity.training_rows(df, marks, "doc_id", "text", "toxic"))
+    for i, text in list(enumerate(texts))[:60] + odd_ones:
+        rows = toxicity.Meter(machine.landmarks).features([text or ""])[0]
+        margins = sorted([*(rows @ machine.basis @ machine.weights[:-1]).tolist(), 0, 0, 0])[::-1][:toxicity.WORST]
+        curve = sum((m + machine.weights[-1]) * c for m, c in zip(margins, machine.curve)) + machine.curve[-1]
+        assert found[i]["score"] == pytest.approx(1 / (1 + math.exp(-curve)), abs=1e-6)
     blind = toxicity.toxicity(df, marks.filter("toxic = 0")).collect()
     assert all(r["predicted"] == 0 and 0 <= r["score"] <= 1 for r in blind)
 
