@@ -372,7 +372,7 @@ def train_machine(train: DataFrame, landmarks: int = LANDMARKS) -> Machine:
     table = train.select("text", "toxic").mapInArrow(run, "toxic int, features array<float>").toArrow()
     y = np.where(table.column(0).to_numpy() == 1, 1.0, -1.0)
     x = table.column(1).combine_chunks().flatten().to_numpy().astype(float).reshape(len(y), WORST, len(marks))
-    order = np.lexsort([*x[:, 0].T, y])  # rows come in any order
+    order = np.lexsort([*x.reshape(len(y), -1).T, y])  # rows come in any order
     x, y = x[order], y[order]
     between = strength(marks, marks).astype(float)
     values, vectors = np.linalg.eigh((between + between.T) / 2)
