@@ -321,7 +321,7 @@ ORACLES = {
     "subsample": f"""SELECT o_orderkey, o_totalprice FROM {ORDERS_SQL} WHERE split = 'train'
         ORDER BY {hash32_sql('0', 'o_orderkey')}, o_orderkey LIMIT {SAMPLE_ROWS}""",
     "distinct_rows": f"SELECT DISTINCT o_orderstatus, o_orderpriority, order_month FROM {ORDERS_SQL}",
-    "batch_assign": f"SELECT o_orderkey, batch_id, pos FROM {assign_batches_sql('orders', 'o_orderkey', BATCH_ROWS, 1, BUCKET_ROWS)}",
+    "batch_assign": f"SELECT o_orderkey, batch_id, pos FROM {assign_batches_sql('orders', 'o_orderkey', BATCH_ROWS, 1)}",
     "named_splits": """SELECT c_custkey AS key, c_nationkey AS nation, c_acctbal AS balance, 'customer' AS split FROM customer
         UNION ALL SELECT s_suppkey, s_nationkey, s_acctbal, 'supplier' FROM supplier""",
     "union_missing_columns": """SELECT c_custkey AS key, c_nationkey AS nation, c_mktsegment, NULL AS s_name, 'customer' AS party FROM customer

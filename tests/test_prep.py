@@ -1,16 +1,17 @@
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from rowloom.cards import REST, DataCard, card_from_fields, level_check
-from rowloom.functions.hashing import split_name
+from rowloom.functions.hashing import hash32, split_name
 from rowloom.functions.text import clean_text, tokens
 from rowloom.operators import columns as ops
 from rowloom.operators.encoding import LevelCodes, OneHot, levels_of, one_hot_sparse, rank_levels
 from rowloom.operators.lookup import hot_keys, lookup_join, table_bytes
-from rowloom.operators.sampling import assign_batches, subsample, with_split
+from rowloom.operators.sampling import _cuts, assign_batches, range_starts, subsample, with_split
 from rowloom.operators.scaling import MinMax
 from rowloom.plans.recipe import Recipe, cast, clean, codes, log1p, minmax, not_null, rename_map, sanitize
 from rowloom.sources.datasets import DATASETS
@@ -182,12 +183,35 @@ def test_subsample_keeps_exactly_the_smallest_hashes(spark):
 def test_batches_are_full_and_bounded(spark):
     df = assign_batches(spark.range(10000), "id", 64, epoch=2, rows_per_bucket=2000)
     sizes = [r["count"] for r in df.groupBy("batch_id").count().collect()]
-    assert sum(sizes) == 10000 and max(sizes) == 64 and sum(s < 64 for s in sizes) <= 5
+    assert sorted(sizes) == [10000 % 64] + [64] * (10000 // 64)
+    assert {r["batch_id"] for r in df.collect()} == set(range(157))
     assert df.select("batch_id", "pos").distinct().count() == 10000
     other = assign_batches(spark.range(10000).repartition(13), "id", 64, epoch=2, rows_per_bucket=2000)
     assert df.exceptAll(other).count() == 0
 
 
+def test_range_starts_in_two_levels(spark):
+    rng = random.Random(4)
+    sizes = {b: rng.randint(1, 9) for b in rng.sample(range(500), 200)}
+    found = {r["_bucket"]: r["_start"] for r in range_starts(spark.createDataFrame(list(sizes.items()), "_bucket long, count long"), 16).collect()}
+    assert found == {b: sum(n for a, n in sizes.items() if a < b) for b in sizes}
+    assert assign_batches(spark.range(0), "id", 8).collect() == []
+
+
+def test_ranks_are_found_whatever_keys_repeat(spark):
+    rng = random.Random(5)
+    keys = ["hot"] * 400 + [f"k{rng.randrange(300)}" for _ in range(500)] + [None] * 90 + ["", "é", "z"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").withColumn("_h", F.coalesce(hash32("k"), F.lit(0)) % 70_000 * 40)
+    order = sorted(((r["_h"], r["k"]) for r in df.collect()), key=lambda r: (r[0], r[1] is not None, r[1]))
+    ranks = [1, 17, 0, 450, 451, 991, 993]
+    for direct in (0, 100, 10**6):  # with and without the step per whole hash
+        assert _cuts(df, "k", lambda n: ranks, direct) == [order[r - 1] if r else None for r in ranks]
+    split = with_split(df.select("k"), "k", exact=True).groupBy("k").agg(F.count_distinct("split").alias("n"), F.count("*").alias("rows"))
+    assert {r["n"] for r in split.collect()} == {1} and split.agg(F.sum("rows")).first()[0] == len(keys)
+    assert with_split(df.limit(0).select("k"), "k", exact=True).collect() == []
+    assert subsample(df.select("k"), "k", 0).count() == 0 and subsample(df.select("k"), "k", len(keys)).count() == len(keys)
+
+
 def test_union_named_fills_missing_columns(spark):
     a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(3,)], "x int")
     rows = {r["source"]: r["y"] for r in ops.union_named({"a": a, "b": b}, "source").collect()}
