@@ -37,12 +37,12 @@ CLEANED = re.compile(r"[\W_]+")
 SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\s.\-_*]+[^\W_](?![^\W_])){2,}")
 #: What every match of SPELLED holds, its second and third letter, and is found sooner.
 LONE = re.compile(r"[\s.\-_*][^\W_][\s.\-_*]+[^\W_](?![^\W_])")
-#: Windows compared at a time.
-WINDOWS = 20_000
+#: Words, and windows, compared at a time: few enough for a processor's cache.
+TOGETHER, WINDOWS = 8_192, 2_048
 #: Words a worker remembers; then it starts afresh. Longer words are met in pieces that start every LONGEST characters.
 REMEMBERED, LONGEST = 1_000_000, 32
-#: The corpus's met words are sent to every worker below this size, each counted with so much for its entry.
-SENT_BYTES, ENTRY_BYTES = 128 << 20, 120
+#: What a met word counts with, besides its letters, when it is sent to every worker.
+ENTRY_BYTES = 120
 THRESHOLD = 0.3
 
 
@@ -62,25 +62,29 @@ def sentences(text: str) -> list[str]:
 def subsequence_kernel(left: np.ndarray, right: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """Gap-weighted kernel of each row of ``left`` with its row of ``right`` (or the one row there is); -1 pads.
 
-    Row by row this is the usual recursion: ``inner`` weighs common subsequences by the distance to the current ends.
+    A common subsequence weighs the decay to the power of both its spans, which depends on its first and last match only.
+    So ``sums[p]`` holds, for each place of ``right``, the weights of the first matches of the common subsequences of p
+    characters before that place and before the current character of ``left``.
     """
     n, m = left.shape[1], right.shape[1]
     rows = max(left.shape[0], right.shape[0])
-    same = [[(left[:, i] == right[:, j]) & (left[:, i] >= 0) for j in range(m)] for i in range(n)]
-    inner = np.ones((n + 1, m + 1, rows))
+    lefts, rights = np.ascontiguousarray(np.where(left < 0, -2, left).T), np.ascontiguousarray(right.T)
+    place = decay ** np.arange(m)
+    begun = 1 / place[:, None]
+    sums = np.zeros((order, m + 1, rows))
     total = np.zeros(rows)
-    square = decay * decay
-    for p in range(order):
-        after = np.zeros((n + 1, m + 1, rows))
-        for i in range(n):
-            run = np.zeros(rows)
-            for j in range(m):
-                found = np.where(same[i][j], square * inner[i, j], 0.0)
-                if p == order - 1:
-                    total += found
-                run = decay * run + found
-                after[i + 1, j + 1] = decay * after[i, j + 1] + run
-        inner = after
+    for i in range(n):
+        same = lefts[i] == rights
+        # a match that is number p needs p characters before it and order - 1 - p after it, on both sides
+        for p in range(min(i, order - 1), max(0, order - n + i) - 1, -1):
+            part = slice(p, max(p, m - (order - 1 - p)))
+            found = same[part] * (sums[p, part] if p else begun[part] * decay ** -i)
+            if p == order - 1:
+                total += (place[part] @ found) * decay ** (i + 2)
+            else:
+                for j in range(1, len(found)):
+                    found[j] += found[j - 1]
+                sums[p + 1, p + 1:p + 1 + len(found)] += found
     return total
 
 
@@ -93,7 +97,7 @@ def codes(words: list[str], width: int) -> np.ndarray:
 
 def pair_bits(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """One bit of 64 for each pair of characters; no bit where one is padding."""
-    bit = np.uint64(1) << ((first.astype(np.uint64) * np.uint64(31) + second.astype(np.uint64) * np.uint64(7)) % np.uint64(64))
+    bit = np.uint64(1) << ((first.astype(np.uint64) * np.uint64(31) + second.astype(np.uint64) * np.uint64(7)) & np.uint64(63))
     return np.where((first >= 0) & (second >= 0), bit, np.uint64(0))
 
 
@@ -111,50 +115,70 @@ def strength(words: list[str], landmarks: list[str]) -> np.ndarray:
     landmark's first two letters, both sides normalised, to the power POWER.
 
     It is 0 where more than one of the landmark's letters, or more than a third of its neighbouring pairs and more than
-    the two of one letter (with up to SLACK characters inserted), are missing, so most words cost two bit tests.
+    the two of one letter (with up to SLACK characters inserted), are missing, so most words cost two bit tests. Words of
+    about the same length are met together.
     """
     out = np.zeros((len(words), len(landmarks)), np.float32)
+    if not landmarks:
+        return out
+    marks = [(m, codes([m], len(m))) for m in landmarks]
+    needs = [(masks(mark, 1)[0][0], masks(mark, 1)[1][0]) for _, mark in marks]
+    by_length: dict[int, list[int]] = {}
+    for k, landmark in enumerate(landmarks):
+        by_length.setdefault(len(landmark), []).append(k)
+    sides = {n: codes([m if len(m) == n else "" for m in landmarks], n) for n in by_length}
+    norms = {n: subsequence_kernel(side, side) for n, side in sides.items()}
+    reach = max(by_length) + SLACK  # a piece holds the whole windows that start in its first part
     pieces, owner = [], []
-    reach = max((len(m) for m in landmarks), default=0) + SLACK  # a piece holds the whole windows that start in its first part
     for i, w in enumerate(words):
         for a in range(0, max(1, len(w)), LONGEST):
             pieces.append(w[a:a + LONGEST + reach])
             owner.append(i)
-    own = np.array(owner, np.int64)
-    rows = codes(pieces, LONGEST + reach)
-    letters, pairs = masks(rows, SLACK + 1)
-    padded = rows
-    by_length: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for k, landmark in enumerate(landmarks):
-        mark = codes([landmark], len(landmark))
-        (need_letters,), (need_pairs,) = masks(mark, 1)
-        missing = np.bitwise_count(need_pairs & ~pairs)
-        near = np.flatnonzero((np.bitwise_count(need_letters & ~letters) <= 1) & (missing <= max(2, (len(landmark) - 1) // 3)))
-        # the best window starts at the landmark's first letter, or at its second if the first is missing
-        at, start = np.nonzero(np.isin(rows[near, :LONGEST], mark[0, :2]))
-        by_length.setdefault(len(landmark), []).append((np.full(len(at), k), near[at], start))
-    for length, found in by_length.items():
-        kind, piece, start = (np.concatenate(c) for c in zip(*found))
-        windows = np.lib.stride_tricks.sliding_window_view(padded, length + SLACK, axis=1)
-        marks = codes([m if len(m) == length else "" for m in landmarks], length)
-        norms = subsequence_kernel(marks, marks)
-        needed = masks(marks, 1)[0]
-        for first in range(0, len(kind), WINDOWS):
-            k, at = kind[first:first + WINDOWS], piece[first:first + WINDOWS]
-            texts = windows[at, start[first:first + WINDOWS]]
-            lacking = np.bitwise_count(needed[k] & ~np.bitwise_or.reduce(pair_bits(texts, texts), axis=1))
-            k, at, texts = k[lacking <= 1], at[lacking <= 1], texts[lacking <= 1]
-            cross = subsequence_kernel(marks[k], texts)
-            # a text's own kernel is at least that of as many different letters, so few need theirs
-            sizes = (texts >= 0).sum(axis=1)
-            near = np.flatnonzero(cross >= MEETS * np.sqrt(norms[k] * least_norms(length + SLACK)[sizes]))
-            if near.size:
-                texts, k, at = texts[near], k[near], at[near]
-                value = cross[near] / np.sqrt(norms[k] * subsequence_kernel(texts, texts))
-                np.maximum.at(out, (own[at], k), np.where(value >= MEETS, value ** POWER, 0).astype(np.float32))
+    order = np.argsort(np.fromiter(map(len, pieces), np.int64, len(pieces)), kind="stable")
+    owner = np.array(owner, np.int64)[order]
+    for begin in range(0, len(order), TOGETHER):
+        part, own = [pieces[i] for i in order[begin:begin + TOGETHER].tolist()], owner[begin:begin + TOGETHER]
+        starts = min(LONGEST, len(part[-1]))
+        rows = codes(part, starts + reach)
+        single = pair_bits(rows, rows)
+        letters, pairs = (~m for m in masks(rows, SLACK + 1))
+        for length, kinds in by_length.items():
+            found = []
+            for k in kinds:
+                (landmark, mark), (need_letters, need_pairs) = marks[k], needs[k]
+                near = np.flatnonzero(np.bitwise_count(need_letters & letters) <= 1)
+                missing = np.bitwise_count(need_pairs & pairs[near])
+                near = near[missing <= max(2, (len(landmark) - 1) // 3)]
+                # the best window starts at the landmark's first letter, or at its second if the first is missing
+                first = rows[near, :starts]
+                at, start = np.nonzero((first == mark[0, 0]) | (first == mark[0, min(1, length - 1)]))
+                found.append((np.full(len(at), k), near[at], start))
+            kind, piece, start = (np.concatenate(c) for c in zip(*found))
+            windows, bits = (np.lib.stride_tricks.sliding_window_view(x, length + SLACK, axis=1) for x in (rows, single))
+            side, norm = sides[length], norms[length]
+            needed = np.array([letter for letter, _ in needs])
+            for at in range(0, len(kind), 4 * WINDOWS):
+                k, where, begins = (x[at:at + 4 * WINDOWS] for x in (kind, piece, start))
+                lacking = np.bitwise_count(needed[k] & ~np.bitwise_or.reduce(bits[where, begins], axis=1))
+                few = np.flatnonzero(lacking <= 1)
+                for cut in range(0, len(few), WINDOWS):
+                    some = few[cut:cut + WINDOWS]
+                    meet(k[some], own[where[some]], windows[where[some], begins[some]], side, norm, out)
     return out
 
 
+def meet(k: np.ndarray, own: np.ndarray, texts: np.ndarray, side: np.ndarray, norm: np.ndarray, out: np.ndarray) -> None:
+    """Raise the strengths of words ``own`` with landmarks ``k`` to those of their windows."""
+    cross = subsequence_kernel(side[k], texts)
+    # a text's own kernel is at least that of as many different letters, so few need theirs
+    sizes = (texts >= 0).sum(axis=1)
+    near = np.flatnonzero(cross >= MEETS * np.sqrt(norm[k] * least_norms(texts.shape[1])[sizes]))
+    if near.size:
+        texts, k, own = texts[near], k[near], own[near]
+        value = cross[near] / np.sqrt(norm[k] * subsequence_kernel(texts, texts))
+        np.maximum.at(out, (own, k), np.where(value >= MEETS, value ** POWER, 0).astype(np.float32))
+
+
 @lru_cache
 def least_norms(most: int) -> np.ndarray:
     """The kernel of a text of 0 to ``most`` different letters with itself."""
@@ -401,15 +425,15 @@ def held_out(key: str):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic",
-             threshold: float = THRESHOLD, landmarks: int = LANDMARKS, sent_bytes: int = SENT_BYTES) -> DataFrame:
+             threshold: float = THRESHOLD, landmarks: int = LANDMARKS, sent_bytes: int = 0) -> DataFrame:
     """One row per document: the key, held_out, score and predicted.
 
     A document scores by its worst sentences; one whose sentences meet no landmark, such as a null or empty text, has
     the score of no match. Only texts are scored. Without toxic labels nothing is predicted toxic.
 
-    A sentence's margin is the sum of its words' pulls, so each distinct word of the corpus meets the landmarks once, and
-    workers that score look pulls up. If the met words are beyond ``sent_bytes``, workers meet the words of their own
-    texts instead, with the same scores.
+    A sentence's margin is the sum of its words' pulls. Workers meet each distinct word of their own texts once, so the
+    cost follows the texts whatever the vocabulary. With ``sent_bytes``, each distinct word of the corpus meets the
+    landmarks once, and pulls are looked up if all met words are within that size; the scores are the same.
     """
     spark = docs.sparkSession
     train = training_rows(docs, labels, key, text, toxic).repartition(24).persist()
@@ -418,7 +442,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     shared = spark.sparkContext.broadcast(machine)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     known = None
-    if machine.landmarks:
+    if machine.landmarks and sent_bytes > 0:
         scratch = Scratch(spark)
         met = corpus_words(rows.select("_text"), shared, scratch)
         size = met.agg(F.sum(F.octet_length("word") + ENTRY_BYTES)).first()[0] or 0
