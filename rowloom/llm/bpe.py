@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
@@ -12,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.llm.common import each_text
 from rowloom.llm.pretokens import PLAIN, UNSURE_SPACE, PreTokens, pre_tokens
 
 #: Words and pre-tokens that a worker remembers, of up to so many characters each; then it starts afresh.
@@ -246,6 +249,17 @@ def codec(path: str) -> Codec:
     return Codec(pre_tokens(path))
 
 
+@contextmanager
+def task_codec(path: str) -> Iterator[Codec]:
+    """The worker's codec for one task: workers outlive tasks and serve other stages, so what it remembered goes at the end."""
+    both = codec(path)
+    try:
+        yield both
+    finally:
+        both.words, both.parts = {}, {}
+        gc.collect()
+
+
 def _typed(df: DataFrame, key: str) -> str:
     return df.schema[key].dataType.simpleString()
 
@@ -254,10 +268,10 @@ def encoded(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """Rows (key, ids); null and empty texts have no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(path).encode_each
-        for batch in batches:
-            ids = list(encode(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["_key", "ids"])
+        with task_codec(path) as both:
+            for batch in batches:
+                ids = list(both.encode_each(each_text(batch.column(1))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["_key", "ids"])
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     return rows.mapInArrow(run, f"_key {_typed(docs, key)}, ids array<int>").withColumnRenamed("_key", key)
@@ -281,18 +295,18 @@ def round_trip(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
     pass. Null texts count as empty; repeated rows are rows of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = codec(path)
-        digits = both.digits.__getitem__
-        for batch in batches:
-            sizes, first, second = [], [], []
-            for ids in both.encode_each(batch.column(1).to_pylist()):
-                sizes.append(len(ids))
-                first.append(sha256(",".join(map(digits, ids)).encode()).hexdigest())
-                second.append(sha256(both.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
-                ["_key", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with task_codec(path) as both:
+            digits = both.digits.__getitem__
+            for batch in batches:
+                sizes, first, second = [], [], []
+                for ids in both.encode_each(each_text(batch.column(1))):
+                    sizes.append(len(ids))
+                    first.append(sha256(",".join(map(digits, ids)).encode()).hexdigest())
+                    second.append(sha256(both.decode(ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
+                    ["_key", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     schema = f"_key {_typed(docs, key)}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK_RUN), "")
 
 
+def each_text(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The texts of a batch's column, a few rows at a time, so that a task does not hold a batch twice."""
+    for first in range(0, len(column), rows):
+        yield from column.slice(first, rows).to_pylist()
+
+
 def bucket_count(rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
     return max(64, rows // per_bucket)
 

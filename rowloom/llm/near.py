@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import ROW_ID, Scratch, identified
+from rowloom.llm.common import ROW_ID, Scratch, each_text, identified
 from rowloom.llm.wordblocks import STEP, mix, odd, shingle_sets
 
 SHINGLE = 5
@@ -73,7 +73,7 @@ def signed(docs: DataFrame, key: str, text: str, shingle: int, bands: int, rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, flat, ends in shingle_sets(batch.column(1).to_pylist(), shingle):
+            for first, flat, ends in shingle_sets(each_text(batch.column(1)), shingle):
                 sizes = np.diff(ends)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 table = super_minhash(flat, owner, len(sizes), bands * rows)
@@ -104,7 +104,7 @@ def full_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, flat, ends in shingle_sets(batch.column(1).to_pylist(), shingle):
+            for first, flat, ends in shingle_sets(each_text(batch.column(1)), shingle):
                 sets = [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
                 bits = [p.tobytes() for p in parity(flat, np.repeat(np.arange(len(sets)), np.diff(ends)), len(sets))]
                 yield pa.RecordBatch.from_arrays(

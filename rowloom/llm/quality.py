@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.hashing import hash32
-from rowloom.llm.common import Scratch, digest, key_hash
+from rowloom.llm.common import Scratch, digest, each_text, key_hash
 from rowloom.llm.wordblocks import STEP, mix, word_hashes
 
 BUCKETS = 1 << 16
@@ -60,7 +60,7 @@ def fit(docs: DataFrame, text: str, quality: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
-            for value, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for value, good in zip(each_text(batch.column(0)), batch.column(1).to_pylist()):
                 found = gram_counts(value)
                 raw += found
                 if good == 1:
@@ -87,7 +87,7 @@ def scored(docs: DataFrame, text: str, ratio: np.ndarray) -> DataFrame:
         weights = shared.value
         for batch in batches:
             values = []
-            for value in batch.column(len(kept)).to_pylist():
+            for value in each_text(batch.column(len(kept))):
                 found = gram_counts(value)
                 values.append(LENGTH * float(found @ weights) / max(int(found.sum()), FEW))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(values, pa.float64())], [*[f.name for f in kept], "score"])
